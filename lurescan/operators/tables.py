@@ -31,6 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise work on an input with fewer splits than cores.
+
+    A large input has many splits and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table that an iteration carries along."""
     shared_folder(df.sparkSession)
