@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lurescan.operators.tables import attach, with_row_number
 
-PREFIX_DIGITS = 4
+PREFIX_DIGITS = 5
 
 
 def order_hash(key: str, seed: int) -> Column:
