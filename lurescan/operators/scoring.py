@@ -106,14 +106,22 @@ def load_model(path: str):
 
 
 def score_external(
-    df: DataFrame, make_predict_fn: Callable, inputs: Sequence[str], batch_size: int = 512
+    df: DataFrame,
+    make_predict_fn: Callable,
+    inputs: Sequence[str],
+    shapes: Sequence[list[int] | None] | None = None,
+    batch_size: int = 512,
 ) -> DataFrame:
     """Add ``proba`` from a user model that is loaded once per Python worker.
 
     ``make_predict_fn`` loads the model and returns a function from numpy batches to probabilities.
+    ``shapes`` gives the length of each array input, None for a scalar one.
     """
     predict = predict_batch_udf(
-        make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size
+        make_predict_fn,
+        return_type=T.DoubleType(),
+        batch_size=batch_size,
+        input_tensor_shapes=list(shapes) if shapes else None,
     )
     return df.withColumn("proba", predict(*[F.col(c) for c in inputs]))
 

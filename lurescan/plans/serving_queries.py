@@ -284,7 +284,7 @@ def make_logistic():
     SELECT vec_id, proba, CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS pred FROM s""",
 )
 def external_scores(t: Tables):
-    scored = J.score_external(t.embeddings, make_logistic, ["embedding"])
+    scored = J.score_external(t.embeddings, make_logistic, ["embedding"], [[64]])
     return scored.withColumn("pred", J.threshold_pred(F.col("proba"), 0.5))
 
 
