@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDE_SPACE = (
-    r"[ -￿&&[   -     　﻿]]"
+    r"[\u00a0-\uffff&&[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
 )
 _CONSONANT = "[bcdfghjklmnpqrstvwxz]"
 
@@ -52,9 +52,8 @@ def word_count(clean: Column) -> Column:
 
 def words_per_sentence(kept: Column) -> Column:
     """Mean number of words of the given sentences, 0 for none."""
-    return F.coalesce(
-        F.try_divide(word_count(F.array_join(kept, " ")), F.size(kept)), F.lit(0.0)
-    )
+    joined = F.array_join(F.transform(kept, lambda s: F.trim(s)), " ")
+    return F.coalesce(F.try_divide(word_count(joined), F.size(kept)), F.lit(0.0))
 
 
 def syllables_of_word(word: Column) -> Column:

@@ -48,6 +48,14 @@ def host_of(netloc: Column) -> Column:
     ).otherwise(F.regexp_extract(address, r"^([^:]*)", 1))
 
 
+def hostname_of(netloc: Column) -> Column:
+    """Lower-case host; what follows a ``%`` keeps its case, as a zone identifier does."""
+    host = host_of(netloc)
+    return F.concat(
+        F.lower(F.regexp_extract(host, r"^([^%]*)", 1)), F.regexp_extract(host, r"((?s)%.*)$", 1)
+    )
+
+
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Add scheme, netloc, hostname, path, params, query and fragment.
 
@@ -68,7 +76,7 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     parts = {
         "scheme": url_scheme(F.col("_url")),
         "netloc": F.col("_netloc"),
-        "hostname": F.lower(host_of(F.col("_netloc"))),
+        "hostname": hostname_of(F.col("_netloc")),
         "path": F.regexp_replace(full_path, r";[^/]*$", ""),
         "params": F.regexp_extract(full_path, r";([^/]*)$", 1),
         "query": F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1),

@@ -150,15 +150,12 @@ def _dotted_runs(pieces: Column, longest: int) -> Column:
     """Runs of 1 to ``longest`` neighbouring pieces joined by dots (brand names may hold dots)."""
     n = F.size(pieces)
     positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.concat(
-        *[
-            F.transform(
-                F.filter(positions, lambda i, k=k: i + k - 1 <= n),
-                lambda i, k=k: F.array_join(F.slice(pieces, i, k), "."),
-            )
-            for k in range(1, longest + 1)
-        ]
-    )
+
+    def runs_of(k: int) -> Column:
+        starts = F.filter(positions, lambda i: i + k - 1 <= n)
+        return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(k)), "."))
+
+    return F.concat(*[runs_of(k) for k in range(1, longest + 1)])
 
 
 def _brand_features_joined(df: DataFrame, brands: DataFrame) -> DataFrame:

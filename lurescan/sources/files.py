@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lurescan import schemas
 
-BOM = "﻿"
+BOM = "\ufeff"
 CORRUPT = "_corrupt_record"
 
 
