@@ -14,6 +14,15 @@ _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Catalyst copies the definition of a column into every place a pushed-down predicate names it.
+    A bound value keeps such a copy from growing with each use.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def occurrences(text: Column, piece: str) -> Column:
     """Number of non-overlapping occurrences of a fixed string."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
@@ -24,6 +33,15 @@ def any_of(strings: Sequence[str]) -> str:
     return "|".join(re.escape(s) for s in strings)
 
 
+def contains_any(text: Column, pieces: Sequence[str]) -> Column:
+    """One of the fixed strings occurs: byte searches, cheaper than a pattern of alternatives."""
+    tests = [text.contains(p) for p in pieces]
+    found = tests[0]
+    for test in tests[1:]:
+        found = found | test
+    return found
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -56,8 +74,35 @@ def hostname_of(netloc: Column) -> Column:
     )
 
 
+def _url_parts(url: Column) -> Column:
+    """Struct of scheme, netloc, hostname, path, params, query and fragment of a cleaned URL."""
+    rest = F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", "")
+
+    def parts(netloc: Column, tail: Column) -> Column:
+        full_path = F.regexp_extract(tail, r"^([^?#]*)", 1)
+        named = {
+            "scheme": url_scheme(url),
+            "netloc": netloc,
+            "hostname": hostname_of(netloc),
+            "path": F.regexp_replace(full_path, r";[^/]*$", ""),
+            "params": F.regexp_extract(full_path, r";([^/]*)$", 1),
+            "query": F.regexp_extract(tail, r"^[^?#]*\?([^#]*)", 1),
+            "fragment": F.regexp_extract(tail, r"#((?s).*)$", 1),
+        }
+        broken = netloc.contains("[") != netloc.contains("]")
+        empty = F.struct(*[F.lit("").alias(name) for name in named])
+        return F.when(broken, empty).otherwise(
+            F.struct(*[part.alias(name) for name, part in named.items()])
+        )
+
+    return let(url_netloc(url), lambda netloc: let(rest, lambda tail: parts(netloc, tail)))
+
+
+URL_PARTS = ["scheme", "netloc", "hostname", "path", "params", "query", "fragment"]
+
+
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
-    """Add scheme, netloc, hostname, path, params, query and fragment.
+    """Add scheme, netloc, hostname, path, params, query and fragment, '' where there is none.
 
     Unbalanced brackets in the authority make every part empty, like any other URL that cannot be
     split.
@@ -65,26 +110,11 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     cleaned = F.regexp_replace(
         F.regexp_replace(F.col(url), r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""
     )
-    rest = F.regexp_replace(
-        F.col("_url"), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", ""
-    )
-    df = df.withColumn("_url", cleaned).withColumns(
-        {"_netloc": url_netloc(F.col("_url")), "_rest": rest}
+    return (
+        df.withColumn("_parts", let(cleaned, _url_parts))
+        .withColumns({name: F.coalesce(f"_parts.{name}", F.lit("")) for name in URL_PARTS})
+        .drop("_parts")
     )
-    broken = F.col("_netloc").contains("[") != F.col("_netloc").contains("]")
-    full_path = F.regexp_extract("_rest", r"^([^?#]*)", 1)
-    parts = {
-        "scheme": url_scheme(F.col("_url")),
-        "netloc": F.col("_netloc"),
-        "hostname": hostname_of(F.col("_netloc")),
-        "path": F.regexp_replace(full_path, r";[^/]*$", ""),
-        "params": F.regexp_extract(full_path, r";([^/]*)$", 1),
-        "query": F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1),
-        "fragment": F.regexp_extract("_rest", r"#((?s).*)$", 1),
-    }
-    return df.withColumns(
-        {name: F.when(broken, F.lit("")).otherwise(part) for name, part in parts.items()}
-    ).drop("_url", "_netloc", "_rest")
 
 
 def with_registered_domain(
@@ -101,21 +131,6 @@ def with_registered_domain(
     wild = [r[2:] for r in suffix_rules if r.startswith("*.")]
     exceptions = [r[1:] for r in suffix_rules if r.startswith("!")]
 
-    address = F.regexp_extract(
-        F.regexp_replace(F.col(url), r"^(?:[A-Za-z0-9+.\-]*:)?//", ""), r"^([^/?#]*)", 1
-    )
-    address = F.regexp_replace(address, r"^.*@", "")
-    host = F.when(
-        address.startswith("["), F.regexp_extract(address, r"^(\[[^\]]*\]?)", 1)
-    ).otherwise(F.regexp_replace(F.regexp_replace(address, r":[^:]*$", ""), r"[\s.]+$", ""))
-    df = df.withColumn("_host", host).withColumn("_labels", F.split("_host", r"\."))
-
-    n = F.size("_labels")
-    endings = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.lower(F.array_join(F.slice(F.col("_labels"), i, n), ".")),
-    )
-
     def parent(name: Column) -> Column:
         return F.when(name.contains("."), F.regexp_replace(name, r"^[^.]*\.", ""))
 
@@ -123,32 +138,63 @@ def with_registered_domain(
         rule = name.isin(exact) if exact else F.lit(False)
         return (rule | F.coalesce(parent(name).isin(wild), F.lit(False))) if wild else rule
 
-    found = F.get(F.filter("_endings", is_suffix), F.lit(0))
-    if exceptions:
-        kept = F.get(F.filter("_endings", lambda e: e.isin(exceptions)), F.lit(0))
-        found = F.coalesce(parent(kept), found)
-    is_address = F.col("_host").rlike(_IPV4) | F.col("_host").startswith("[")
-    df = df.withColumn("_endings", endings).withColumn(
-        "tld", F.when(is_address, F.lit("")).otherwise(F.coalesce(found, F.lit("")))
+    def suffix(labels: Column) -> Column:
+        n = F.size(labels)
+        endings = F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.lower(F.array_join(F.slice(labels, i, n), ".")),
+        )
+        found = let(endings, lambda e: longest(e))
+        return F.coalesce(found, F.lit(""))
+
+    def longest(endings: Column) -> Column:
+        found = F.get(F.filter(endings, lambda e: is_suffix(e)), F.lit(0))
+        if not exceptions:
+            return found
+        kept = F.get(F.filter(endings, lambda e: e.isin(exceptions)), F.lit(0))
+        return F.coalesce(parent(kept), found)
+
+    def site(host: Column, labels: Column, tld: Column) -> Column:
+        used = F.when(tld == "", 0).otherwise(F.size(F.split(tld, r"\.")))
+        return let(F.size(labels) - used, lambda keep: named_site(host, labels, tld, keep))
+
+    def named_site(host: Column, labels: Column, tld: Column, keep: Column) -> Column:
+        name = F.when(keep > 0, F.get(labels, keep - 1)).otherwise(F.lit(""))
+        under = F.array_join(F.slice(labels, F.lit(1), F.greatest(keep - 1, F.lit(0))), ".")
+        domain = (
+            F.when(name == "", F.col("hostname"))
+            .when(tld == "", name)
+            .otherwise(F.concat(name, F.lit("."), tld))
+        )
+        return F.struct(under.alias("subdomain"), domain.alias("domain"), tld.alias("tld"))
+
+    def of_host(host: Column) -> Column:
+        is_address = host.rlike(_IPV4) | host.startswith("[")
+        address = F.struct(
+            F.lit("").alias("subdomain"), host.alias("domain"), F.lit("").alias("tld")
+        )
+        named = let(
+            F.split(host, r"\."),
+            lambda labels: let(suffix(labels), lambda tld: site(host, labels, tld)),
+        )
+        return F.when(is_address, address).otherwise(named)
+
+    def bare_host(address: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(address, r":[^:]*$", ""), r"[\s.]+$", "")
+        bracketed = F.regexp_extract(address, r"^(\[[^\]]*\]?)", 1)
+        return F.when(address.startswith("["), bracketed).otherwise(plain)
+
+    address = F.regexp_extract(
+        F.regexp_replace(F.col(url), r"^(?:[A-Za-z0-9+.\-]*:)?//", ""), r"^([^/?#]*)", 1
     )
-    used = F.when(F.col("tld") == "", 0).otherwise(F.size(F.split("tld", r"\.")))
-    df = df.withColumn("_used", used)
-    keep = F.size("_labels") - F.col("_used")
-    name = F.when(keep > 0, F.element_at("_labels", F.greatest(keep, F.lit(1)))).otherwise("")
-    df = df.withColumns(
-        {
-            "_name": F.when(is_address, F.col("_host")).otherwise(name),
-            "subdomain": F.when(is_address | (keep < 2), F.lit("")).otherwise(
-                F.array_join(F.slice("_labels", F.lit(1), F.greatest(keep - 1, F.lit(0))), ".")
-            ),
-        }
+    address = F.regexp_replace(address, r"^.*@", "")
+    return (
+        df.withColumn("_site", let(let(address, bare_host), of_host))
+        .withColumns(
+            {c: F.coalesce(f"_site.{c}", F.lit("")) for c in ("subdomain", "domain", "tld")}
+        )
+        .drop("_site")
     )
-    return df.withColumn(
-        "domain",
-        F.when(F.col("_name") == "", F.col("hostname"))
-        .when(F.col("tld") == "", F.col("_name"))
-        .otherwise(F.concat_ws(".", "_name", "tld")),
-    ).drop("_host", "_labels", "_endings", "_used", "_name")
 
 
 def words_of(text: Column) -> Column:
@@ -200,7 +246,10 @@ def page_key(url: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Sum of p*log2(p) over the characters: zero or negative, as the feature is defined."""
+    """Sum of p*log2(p) over the characters: zero or negative, as the feature is defined.
+
+    ``text`` should be a plain column, because it is read once per distinct character.
+    """
     chars = F.split(text, "")
     n = F.length(text)
 

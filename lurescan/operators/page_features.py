@@ -80,15 +80,6 @@ def _tag_counts() -> dict[str, Column]:
     }
 
 
-def contains_any(text: Column, phrases) -> Column:
-    """One of the phrases occurs (plain byte search, faster than a pattern with alternatives)."""
-    tests = [text.contains(p) for p in phrases]
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return found
-
-
 def ad_keywords(lower: Column) -> Column:
     """Keyword occurrences. No keyword overlaps another except the one that begins with ``ad``,
     which is counted once through it, so the counts of the rest add up."""
@@ -101,7 +92,7 @@ def _text_columns() -> dict[str, Column]:
     length = F.length(body)
 
     def says(*phrases: str) -> Column:
-        return U.flag(contains_any(lower, phrases))
+        return U.flag(U.contains_any(lower, phrases))
 
     return {
         "content_txt_len": length,
@@ -138,7 +129,7 @@ def _element_columns(as_of_year: int) -> dict[str, Column]:
         return F.exists(e["attrs"], lambda a: a["name"].isin(list(names)))
 
     def within(e: Column, name: str, *pieces: str) -> Column:
-        return contains_any(value(e, name), pieces)
+        return U.contains_any(value(e, name), pieces)
 
     def external(tag: str, name: str) -> Column:
         host = F.lower(U.host_of(U.url_netloc(F.col("url"))))
@@ -192,7 +183,7 @@ def _element_columns(as_of_year: int) -> dict[str, Column]:
         "has_copyright_year": U.flag(F.col("body_text").contains(str(as_of_year))),
         "nb_social_media_links": count(
             lambda e: (e["tag"] == "a")
-            & contains_any(F.lower(value(e, "href")), C.SOCIAL_SITES)
+            & U.contains_any(F.lower(value(e, "href")), C.SOCIAL_SITES)
         ),
         "has_social_sharing": any_element(lambda e: within(e, "class", "share", "social")),
         "nb_social_buttons": count(lambda e: within(e, "class", "facebook", "twitter", "share")),
@@ -242,9 +233,8 @@ def page_validity(df: DataFrame) -> DataFrame:
     or text holds an error phrase anywhere.
     """
     http_dead = F.col("status_code") >= 400 if "status_code" in df.columns else F.lit(False)
-    said = contains_any(F.lower("title"), C.ERROR_PHRASES) | contains_any(
-        F.lower("body_text"), C.ERROR_PHRASES
-    )
+    both = F.concat(F.lower("title"), F.lit("\n"), F.lower("body_text"))
+    said = U.let(both, lambda text: U.contains_any(text, C.ERROR_PHRASES))
     return df.withColumns(
         {
             "has_error_indicators": U.flag(said),

@@ -127,6 +127,8 @@ def scoring_schedule(
     span and no key's visits are gathered.
     """
     ttl = ttl_seconds * 1_000_000
+    # read once per round, so the keys are not derived from the urls again
+    visits = cut_lineage(visits.select("doc_id", "request_id", "ts_us"))
     earliest = F.min(F.struct("ts_us", "request_id")).alias("_first")
 
     def firsts(open_visits: DataFrame) -> DataFrame:

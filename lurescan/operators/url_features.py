@@ -48,7 +48,7 @@ def _part_columns() -> dict[str, Column]:
     return {
         "url_len": F.length(u),
         "hostname_len": F.length("hostname"),
-        "entropy": U.entropy(U.strip(u)),
+        "entropy": U.entropy(F.col("_stripped")),
         "nb_http_token": F.regexp_count(target, F.lit("https?")),
         "nb_phish_hints": sum(hints[1:], hints[0]),
         "has_ip": U.flag(u.rlike(C.HAS_IP_PATTERN)),
@@ -60,7 +60,7 @@ def _part_columns() -> dict[str, Column]:
         "tld_in_bad_position": F.greatest(tld_in_path, tld_in_subdomain),
         "has_abnormal_subdomain": U.flag(u.rlike(C.ABNORMAL_SUBDOMAIN_PATTERN)),
         "has_prefix_suffix": U.flag(u.rlike(C.PREFIX_SUFFIX_PATTERN)),
-        "has_short_svc": U.flag(u.rlike(U.any_of(C.SHORTENER_HOSTS))),
+        "has_short_svc": U.flag(U.contains_any(u, C.SHORTENER_HOSTS)),
         "has_path_txt_extension": U.flag(F.col("path").endswith(".txt")),
         "has_path_exe_extension": U.flag(F.col("path").endswith(".exe")),
         "has_sus_tld": U.flag(tld.isin(C.SUSPICIOUS_TLDS)),
@@ -71,7 +71,6 @@ def _part_columns() -> dict[str, Column]:
         "count_digits": digits_url,
         "nb_parameters": U.occurrences(u, "&"),
         # corrected twins of rules whose published definition is unusual
-        "entropy_bits": F.abs(U.entropy(U.strip(u))),
         "has_ipv4_host": U.flag(
             F.col("hostname").rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$")
         ),
@@ -99,14 +98,17 @@ def _word_columns() -> dict[str, Column]:
 
 def lexical_features(df: DataFrame) -> DataFrame:
     """All URL columns that need nothing but the decomposed URL."""
-    return df.withColumns(
-        _count_columns(F.col("url")) | _part_columns() | _word_columns()
-    ).withColumn(
-        "skip_reason",
-        F.when(
-            F.size("words_host") == 0,
-            F.lit("exception_init_or_extract: list index out of range"),
-        ),
+    no_host = F.lit("exception_init_or_extract: list index out of range")
+    return (
+        df.withColumn("_stripped", U.strip(F.col("url")))
+        .withColumns(_count_columns(F.col("url")) | _part_columns() | _word_columns())
+        .withColumns(
+            {
+                "entropy_bits": F.abs("entropy"),
+                "skip_reason": F.when(F.size("words_host") == 0, no_host),
+            }
+        )
+        .drop("_stripped")
     )
 
 
@@ -241,8 +243,8 @@ def with_lookalike_flag(df: DataFrame, brands: DataFrame) -> DataFrame:
 def statistical_report(df: DataFrame, dns_snapshot: DataFrame) -> DataFrame:
     """has_statistical_report from a ``dns_snapshot(domain, ip)``; no row means the lookup failed."""
     address = dns_snapshot.groupBy("domain").agg(F.min("ip").alias("_ip"))
-    reported = F.col("url").rlike(U.any_of(C.REPORTED_HOSTS)) | F.col("_ip").rlike(
-        U.any_of(C.REPORTED_IPS)
+    reported = U.contains_any(F.col("url"), C.REPORTED_HOSTS) | U.contains_any(
+        F.col("_ip"), C.REPORTED_IPS
     )
     return (
         df.join(address, "domain", "left")

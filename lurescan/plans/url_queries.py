@@ -216,7 +216,7 @@ _BOOL = "CASE WHEN {} THEN 1 ELSE 0 END AS {}"
     FROM urls""",
 )
 def url_flags(t: Tables):
-    return decomposed(t).withColumns(UF._part_columns())
+    return UF.lexical_features(decomposed(t))
 
 
 @query(
@@ -228,10 +228,9 @@ def url_flags(t: Tables):
     FROM counts GROUP BY page_id""",
 )
 def url_entropy(t: Tables):
-    value = U.entropy(U.strip(F.col("url")))
-    return t.pages.select(
-        "page_id", value.alias("entropy"), F.abs(value).alias("entropy_bits")
-    )
+    stripped = t.pages.select("page_id", U.strip(F.col("url")).alias("stripped"))
+    valued = stripped.withColumn("entropy", U.entropy(F.col("stripped")))
+    return valued.withColumn("entropy_bits", F.abs("entropy"))
 
 
 @query(
@@ -246,7 +245,7 @@ def url_entropy(t: Tables):
     FROM parts""",
 )
 def url_lengths(t: Tables):
-    return decomposed(t).withColumns(UF._part_columns())
+    return UF.lexical_features(decomposed(t))
 
 
 def _stats_sql(words: str, suffix: str) -> str:
@@ -279,7 +278,7 @@ def _stats_sql(words: str, suffix: str) -> str:
     FROM urls u LEFT JOIN windows c USING (page_id)""",
 )
 def url_word_features(t: Tables):
-    return decomposed(t).withColumns(UF._word_columns())
+    return decomposed(t).transform(UF.lexical_features)
 
 
 @query(
