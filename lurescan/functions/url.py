@@ -23,23 +23,33 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def occurrences(text: Column, piece: str) -> Column:
-    """Number of non-overlapping occurrences of a fixed string."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
-    return (removed / F.lit(len(piece))).cast("int")
+def sql_text(text: str) -> str:
+    """SQL literal of a string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurrences_sql(text: str, piece: str) -> str:
+    """Number of non-overlapping occurrences of a fixed string in the SQL expression ``text``."""
+    removed = f"length({text}) - length(replace({text}, {sql_text(piece)}, ''))"
+    return f"(({removed}) div {len(piece)})"
+
+
+def occurrences(text: str, *pieces: str) -> Column:
+    """Occurrences of all the fixed strings together."""
+    return F.expr(" + ".join(occurrences_sql(text, p) for p in pieces)).cast("int")
 
 
 def any_of(strings: Sequence[str]) -> str:
     return "|".join(re.escape(s) for s in strings)
 
 
-def contains_any(text: Column, pieces: Sequence[str]) -> Column:
+def contains_any_sql(text: str, pieces: Sequence[str]) -> str:
     """One of the fixed strings occurs: byte searches, cheaper than a pattern of alternatives."""
-    tests = [text.contains(p) for p in pieces]
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return found
+    return "(" + " OR ".join(f"contains({text}, {sql_text(p)})" for p in pieces) + ")"
+
+
+def contains_any(text: str, pieces: Sequence[str]) -> Column:
+    return F.expr(contains_any_sql(text, pieces))
 
 
 def strip(text: Column) -> Column:

@@ -70,29 +70,24 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def _tag_counts() -> dict[str, Column]:
     """Occurrences in ``|html||body||p|``: a byte search per tag instead of a lambda."""
-
-    def count(names: list[str]) -> Column:
-        parts = [U.occurrences(F.col("_tag_text"), f"|{n}|") for n in names]
-        return sum(parts[1:], parts[0])
-
-    return {column: count(names) for column, names in C.TAG_COUNTS.items()} | {
-        "total_elements": F.size("tags")
-    }
+    return {
+        column: U.occurrences("_tag_text", *[f"|{n}|" for n in names])
+        for column, names in C.TAG_COUNTS.items()
+    } | {"total_elements": F.size("tags")}
 
 
-def ad_keywords(lower: Column) -> Column:
+def ad_keywords(lower: str) -> Column:
     """Keyword occurrences. No keyword overlaps another except the one that begins with ``ad``,
     which is counted once through it, so the counts of the rest add up."""
-    counts = [U.occurrences(lower, k) for k in C.AD_KEYWORDS if k != "advertisement"]
-    return sum(counts[1:], counts[0])
+    return U.occurrences(lower, *[k for k in C.AD_KEYWORDS if k != "advertisement"])
 
 
 def _text_columns() -> dict[str, Column]:
-    body, lower = F.col("body_text"), F.col("_lower")
+    body = F.col("body_text")
     length = F.length(body)
 
     def says(*phrases: str) -> Column:
-        return U.flag(U.contains_any(lower, phrases))
+        return U.flag(U.contains_any("_lower", phrases))
 
     return {
         "content_txt_len": length,
@@ -104,108 +99,96 @@ def _text_columns() -> dict[str, Column]:
         "has_right_click": says("contextmenu", "event.button", "oncontextmenu"),
         "has_ssl": says("secure", "ssl", "encrypted"),
         "has_popup_ad": says("popup", "pop-up"),
-        "has_ad_keywords": ad_keywords(lower),
+        "has_ad_keywords": ad_keywords("_lower"),
         "unique_words_ratio": F.when(length > 0, T.unique_words_ratio(F.col("_pieces"))).otherwise(F.lit(0.0)),
         "punctuation_density": F.try_divide(T.punctuation_marks(body), length),
         "num_in_txt": F.regexp_count(body, F.lit("[0-9]+")),
-        "_blanks": U.occurrences(body, " ") + 1,
+        "_blanks": U.occurrences("body_text", " ") + 1,
     }
 
 
-def _element_columns(as_of_year: int) -> dict[str, Column]:
-    """Counts over elements that have attributes; elements without any cannot match."""
-    found = F.col("_attributed")
+def _attributed(elements: Column) -> Column:
+    """Elements that have attributes, with the values that the features look at."""
 
     def value(e: Column, name: str) -> Column:
         return F.coalesce(H.attribute(e, name), F.lit(""))
 
-    def count(test) -> Column:
-        return F.size(F.filter(found, test))
+    def summary(e: Column) -> Column:
+        names = ["class", "id", "href", "src", "name", "rel"]
+        kind = F.lower(value(e, "type"))
+        return F.struct(
+            e["tag"].alias("tag"),
+            *[value(e, n).alias(n) for n in names],
+            F.when(kind == "", "text").otherwise(kind).alias("type"),
+            F.transform(e["attrs"], lambda a: a["name"]).alias("has"),
+        )
+
+    with_attributes = F.filter(elements, lambda e: F.size(e["attrs"]) > 0)
+    return F.transform(with_attributes, summary)
+
 
-    def any_element(test) -> Column:
-        return U.flag(F.exists(found, test))
+def _element_columns(as_of_year: int) -> dict[str, Column]:
+    """Counts over the elements with attributes; tags without any are counted by name."""
+
+    def count(test: str) -> Column:
+        return F.expr(f"size(filter(_attributed, e -> {test}))")
 
-    def has(e: Column, *names: str) -> Column:
-        return F.exists(e["attrs"], lambda a: a["name"].isin(list(names)))
+    def any_element(test: str) -> Column:
+        return U.flag(F.expr(f"exists(_attributed, e -> {test})"))
 
-    def within(e: Column, name: str, *pieces: str) -> Column:
-        return U.contains_any(value(e, name), pieces)
+    def within(name: str, *pieces: str) -> str:
+        return U.contains_any_sql(f"e.{name}", pieces)
 
     def external(tag: str, name: str) -> Column:
-        host = F.lower(U.host_of(U.url_netloc(F.col("url"))))
         return count(
-            lambda e: (e["tag"] == tag)
-            & value(e, name).startswith("http")
-            & ~F.lower(value(e, name)).contains(host)
+            f"e.tag = '{tag}' AND startswith(e.{name}, 'http') "
+            f"AND NOT contains(lower(e.{name}), _host)"
         )
 
-    def input_type(e: Column) -> Column:
-        kind = F.lower(value(e, "type"))
-        return F.when(kind == "", "text").otherwise(kind)
+    def handler(*names: str) -> Column:
+        return count("(" + " OR ".join(f"array_contains(e.has, '{n}')" for n in names) + ")")
 
-    inputs = F.filter("_elements", lambda e: e["tag"] == "input")
-    password = any_element(lambda e: (e["tag"] == "input") & (input_type(e) == "password"))
-    date_marks = F.size(
-        F.filter("_elements", lambda e: (e["tag"] == "time") | has(e, "datetime"))
-    )
-    pictures = F.size(
-        F.filter(
-            "_elements",
-            lambda e: (e["tag"] == "picture") | ((e["tag"] == "img") & has(e, "srcset")),
-        )
-    )
-    mobile_sheet = any_element(
-        lambda e: (e["tag"] == "link")
-        & (F.lower(value(e, "rel")) == "stylesheet")
-        & value(e, "href").contains("mobile")
-    )
+    bare_input = "CASE WHEN contains(_bare_text, '|input|') THEN array('text') ELSE array() END"
+    input_types = "transform(filter(_attributed, e -> e.tag = 'input'), e -> e.type)"
+    password = any_element("e.tag = 'input' AND e.type = 'password'")
+    captcha = any_element(f"{within('class', 'captcha')} OR {within('id', 'captcha')}")
     return {
-        "has_onclick": count(lambda e: has(e, "onclick")),
-        "has_onmouse": count(
-            lambda e: has(e, "onmouseover", "onmouseout", "onmousedown", "onmouseup")
-        ),
-        "has_onload": count(lambda e: has(e, "onload")),
+        "has_onclick": handler("onclick"),
+        "has_onmouse": handler("onmouseover", "onmouseout", "onmousedown", "onmouseup"),
+        "has_onload": handler("onload"),
         "nb_ext_links": external("a", "href"),
         "nb_ext_scripts": external("script", "src"),
         "nb_ext_imgs": external("img", "src"),
-        "nb_input_types": F.size(F.array_distinct(F.transform(inputs, input_type))),
+        "nb_input_types": F.expr(f"size(array_distinct(concat({input_types}, {bare_input})))"),
         "has_password_field": password,
         "has_login_form": password,
-        "has_file_upload": any_element(
-            lambda e: (e["tag"] == "input") & (input_type(e) == "file")
-        ),
-        "has_captcha": F.greatest(
-            U.flag(F.col("_lower").contains("captcha")),
-            any_element(lambda e: within(e, "class", "captcha") | within(e, "id", "captcha")),
-        ),
-        "has_date_stamps": date_marks,
-        "has_new_badges": count(lambda e: within(e, "class", "new", "badge")),
+        "has_file_upload": any_element("e.tag = 'input' AND e.type = 'file'"),
+        "has_captcha": F.greatest(U.flag(F.col("_lower").contains("captcha")), captcha),
+        "has_date_stamps": U.occurrences("_bare_text", "|time|")
+        + count("e.tag = 'time' OR array_contains(e.has, 'datetime')"),
+        "has_new_badges": count(within("class", "new", "badge")),
         "has_copyright_year": U.flag(F.col("body_text").contains(str(as_of_year))),
         "nb_social_media_links": count(
-            lambda e: (e["tag"] == "a")
-            & U.contains_any(F.lower(value(e, "href")), C.SOCIAL_SITES)
-        ),
-        "has_social_sharing": any_element(lambda e: within(e, "class", "share", "social")),
-        "nb_social_buttons": count(lambda e: within(e, "class", "facebook", "twitter", "share")),
-        "has_sus_ad_class": count(
-            lambda e: within(e, "class", "ad", "banner") | within(e, "id", "ad")
+            f"e.tag = 'a' AND {U.contains_any_sql('lower(e.href)', C.SOCIAL_SITES)}"
         ),
+        "has_social_sharing": any_element(within("class", "share", "social")),
+        "nb_social_buttons": count(within("class", "facebook", "twitter", "share")),
+        "has_sus_ad_class": count(f"{within('class', 'ad', 'banner')} OR {within('id', 'ad')}"),
         "has_comment_sections": any_element(
-            lambda e: within(e, "class", "comment") | within(e, "id", "comment")
-        ),
-        "has_rating_system": any_element(
-            lambda e: within(e, "class", "rating", "star", "review")
+            f"{within('class', 'comment')} OR {within('id', 'comment')}"
         ),
+        "has_rating_system": any_element(within("class", "rating", "star", "review")),
         "has_search_box": any_element(
-            lambda e: ((e["tag"] == "input") & (input_type(e) == "search"))
-            | within(e, "class", "search")
+            f"(e.tag = 'input' AND e.type = 'search') OR {within('class', 'search')}"
         ),
-        "has_view_port_meta": any_element(
-            lambda e: (e["tag"] == "meta") & (value(e, "name") == "viewport")
-        ),
-        "has_responsive_imgs": pictures,
+        "has_view_port_meta": any_element("e.tag = 'meta' AND e.name = 'viewport'"),
+        "has_responsive_imgs": U.occurrences("_bare_text", "|picture|")
+        + count("e.tag = 'picture' OR (e.tag = 'img' AND array_contains(e.has, 'srcset'))"),
         "has_mobile_css": F.greatest(
-            U.flag(F.col("style_text").contains("@media")), mobile_sheet
+            U.flag(F.col("style_text").contains("@media")),
+            any_element(
+                "e.tag = 'link' AND lower(e.rel) = 'stylesheet' AND contains(e.href, 'mobile')"
+            ),
         ),
     }
 
@@ -233,8 +216,9 @@ def page_validity(df: DataFrame) -> DataFrame:
     or text holds an error phrase anywhere.
     """
     http_dead = F.col("status_code") >= 400 if "status_code" in df.columns else F.lit(False)
-    both = F.concat(F.lower("title"), F.lit("\n"), F.lower("body_text"))
-    said = U.let(both, lambda text: U.contains_any(text, C.ERROR_PHRASES))
+    # bound once: a predicate on is_alive must not copy the text expression for each phrase
+    both = "array(concat(lower(title), '\\n', lower(body_text)))"
+    said = F.expr(f"exists({both}, t -> {U.contains_any_sql('t', C.ERROR_PHRASES)})")
     return df.withColumns(
         {
             "has_error_indicators": U.flag(said),
@@ -268,14 +252,19 @@ def page_features_raw(pages: DataFrame, as_of_year: int) -> DataFrame:
             {
                 "_plain": T.plain_spaces(F.col("body_text")),
                 "_elements": H.elements(F.col("_nodes")),
-                "_tag_text": F.concat(F.lit("|"), F.array_join("tags", "||"), F.lit("|")),
+                "_tag_text": F.expr("concat('|', array_join(tags, '||'), '|')"),
+                "_host": F.lower(U.host_of(U.url_netloc(F.col("url")))),
             }
         )
         .withColumns(
             {
                 "_lower": F.lower("_plain"),
                 "_clean": T.squeeze(F.col("_plain")),
-                "_attributed": F.filter("_elements", lambda e: F.size(e["attrs"]) > 0),
+                "_attributed": _attributed(F.col("_elements")),
+                "_bare_text": F.expr(
+                    "concat('|', array_join(transform(filter(_elements, "
+                    "e -> size(e.attrs) = 0), e -> e.tag), '||'), '|')"
+                ),
             }
         )
         .withColumns(
@@ -297,18 +286,18 @@ def default_page_features() -> dict[str, float]:
     return {c: 1 if c == "is_empty_title" else 0 for c in C.PAGE_FEATURE_COLUMNS}
 
 
-def fill_default_page_features(df: DataFrame, dead: Column) -> DataFrame:
-    """Replace the page features of dead rows, and the missing ones of rows without a page."""
+def fill_default_page_features(df: DataFrame, dead: str) -> DataFrame:
+    """Replace the page features of the rows for which the SQL condition ``dead`` holds."""
     defaults = default_page_features()
     return df.withColumns(
-        {c: F.when(dead, F.lit(v)).otherwise(F.col(c)) for c, v in defaults.items()}
+        {c: F.expr(f"CASE WHEN {dead} THEN {v} ELSE {c} END") for c, v in defaults.items()}
     )
 
 
 def page_features(pages: DataFrame, as_of_year: int) -> DataFrame:
     """page_id, url, the 75 page features (defaults for dead pages) and error_reason."""
     raw = page_features_raw(pages, as_of_year)
-    filled = fill_default_page_features(raw, F.col("is_alive") == 0)
+    filled = fill_default_page_features(raw, "is_alive = 0")
     return filled.select("page_id", "url", *C.PAGE_FEATURE_COLUMNS, "error_reason")
 
 

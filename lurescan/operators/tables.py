@@ -64,11 +64,40 @@ def attach(
     return big.join(F.broadcast(local), list(on), how)
 
 
-def split_points(df: DataFrame, column: str, pieces: int) -> list:
-    """At most ``pieces - 1`` values that cut the column into parts of similar row count."""
-    shares = [i / pieces for i in range(1, pieces)]
-    row = df.agg(F.percentile_approx(column, shares, 10_000).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+def ordered_part(df: DataFrame, column: str, pieces: int, fine: int) -> Column:
+    """Number of the part a value falls into; parts are ordered like the values.
+
+    The value range is cut at approximate quantiles, and each piece between two cuts into ``fine``
+    equal widths. The cuts become literals of a search tree, so the parts are the same however
+    often and wherever the expression runs. NULL gets part -1.
+    """
+    x = f"CAST(`{column}` AS DOUBLE)"
+    shares = ", ".join(str(i / pieces) for i in range(1, pieces))
+    row = df.selectExpr(
+        f"min({x}) AS low", f"max({x}) AS high",
+        f"percentile_approx({x}, array({shares}), 10000) AS cuts",
+    ).first()
+    if row["low"] is None:
+        return F.lit(-1)
+    edges = sorted({row["low"], *(row["cuts"] or []), row["high"]})
+    if len(edges) == 1:
+        edges = [edges[0], edges[0] + 1.0]
+
+    def literal(value: float) -> str:
+        return f"CAST('{value!r}' AS DOUBLE)"
+
+    def tree(low: int, high: int) -> str:
+        if high - low == 1:
+            width = literal(edges[high] - edges[low])
+            step = f"CAST(floor(({x} - {literal(edges[low])}) / {width} * {fine}) AS INT)"
+            return f"{low * fine} + least({fine - 1}, {step})"
+        middle = (low + high) // 2
+        return (
+            f"CASE WHEN {x} < {literal(edges[middle])} THEN {tree(low, middle)} "
+            f"ELSE {tree(middle, high)} END"
+        )
+
+    return F.expr(f"CASE WHEN `{column}` IS NULL THEN -1 ELSE {tree(0, len(edges) - 1)} END")
 
 
 def running_totals(
@@ -77,17 +106,14 @@ def running_totals(
     sums: dict[str, str],
     descending: bool = False,
     pieces: int = 64,
+    fine: int = 64,
 ) -> DataFrame:
     """Running sums over a globally ordered, distinct numeric column.
 
-    The order column is cut at fixed split points. Each part is summed on its own, and the totals
-    of the parts before it (one row per part) are added. No task sees more than one part.
+    Each part of the order (see :func:`ordered_part`) is summed on its own, and the totals of the
+    parts before it are added. No task sees more than one part; the totals are one row per part.
     """
-    cuts = split_points(df, order, pieces)
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + (F.col(order) >= F.lit(cut)).cast("int")
-    numbered = df.withColumn("_part", part)
+    numbered = df.withColumn("_part", ordered_part(df, order, pieces, fine))
     totals = numbered.groupBy("_part").agg(
         *[F.sum(source).alias(f"_before_{name}") for name, source in sums.items()]
     )
@@ -103,7 +129,7 @@ def running_totals(
     inner = W.partitionBy("_part").orderBy(
         F.col(order).desc() if descending else F.col(order).asc()
     ).rowsBetween(W.unboundedPreceding, 0)
-    # one row per part, at most `pieces` rows
+    # at most pieces * fine + 1 rows
     joined = numbered.join(F.broadcast(offsets), "_part")
     return joined.select(
         *df.columns,
@@ -114,9 +140,9 @@ def running_totals(
     )
 
 
-def with_row_number(df: DataFrame, order: str, name: str = "row_idx", pieces: int = 64) -> DataFrame:
+def with_row_number(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:
     """0-based global position by a distinct numeric order column."""
-    numbered = running_totals(df.withColumn("_one", F.lit(1)), order, {"_n": "_one"}, pieces=pieces)
+    numbered = running_totals(df.withColumn("_one", F.lit(1)), order, {"_n": "_one"})
     return numbered.withColumn(name, F.col("_n") - 1).drop("_one", "_n")
 
 

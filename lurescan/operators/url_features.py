@@ -21,15 +21,14 @@ def decompose(
     return U.with_words(U.with_registered_domain(U.with_url_parts(df, url), url, suffix_rules))
 
 
-def _count_columns(u: Column) -> dict[str, Column]:
-    counts = {name: U.occurrences(u, char) for name, char in C.URL_CHARACTER_COUNTS.items()}
-    pieces = F.split(u, "//", -1)
-    last_start = F.length(u) - F.length(F.element_at(pieces, -1)) - 2
-    dots = U.occurrences(u, ".")
+def _count_columns() -> dict[str, Column]:
+    counts = {name: U.occurrences("url", char) for name, char in C.URL_CHARACTER_COUNTS.items()}
+    last_start = "length(url) - length(element_at(split(url, '//', -1), -1)) - 2"
+    dots = U.occurrences("url", ".")
     return counts | {
-        "nb_tilde": U.flag(u.contains("~")),
-        "nb_space": U.occurrences(u, " ") + U.occurrences(u, "%20"),
-        "nb_dslash": U.flag((F.size(pieces) > 1) & (last_start > 6)),
+        "nb_tilde": U.flag(F.col("url").contains("~")),
+        "nb_space": U.occurrences("url", " ", "%20"),
+        "nb_dslash": U.flag(F.expr(f"contains(url, '//') AND {last_start} > 6")),
         "nb_subdomain": F.when(dots == 1, 1).when(dots == 2, 2).otherwise(3),
     }
 
@@ -39,7 +38,6 @@ def _part_columns() -> dict[str, Column]:
     target = F.when(F.col("query") == "", F.col("path")).otherwise(
         F.concat_ws("?", "path", "query")
     )
-    hints = [U.occurrences(path, hint) for hint in C.PHISH_HINTS]
     digits_url, digits_host = F.regexp_count(u, F.lit("[0-9]")), F.regexp_count(
         F.col("hostname"), F.lit("[0-9]")
     )
@@ -50,7 +48,7 @@ def _part_columns() -> dict[str, Column]:
         "hostname_len": F.length("hostname"),
         "entropy": U.entropy(F.col("_stripped")),
         "nb_http_token": F.regexp_count(target, F.lit("https?")),
-        "nb_phish_hints": sum(hints[1:], hints[0]),
+        "nb_phish_hints": U.occurrences("lower(path)", *C.PHISH_HINTS),
         "has_ip": U.flag(u.rlike(C.HAS_IP_PATTERN)),
         "has_https": F.when(F.col("scheme") == "https", 0).otherwise(1),
         "has_punnycode": U.flag(u.startswith("http://xn--")),
@@ -60,7 +58,7 @@ def _part_columns() -> dict[str, Column]:
         "tld_in_bad_position": F.greatest(tld_in_path, tld_in_subdomain),
         "has_abnormal_subdomain": U.flag(u.rlike(C.ABNORMAL_SUBDOMAIN_PATTERN)),
         "has_prefix_suffix": U.flag(u.rlike(C.PREFIX_SUFFIX_PATTERN)),
-        "has_short_svc": U.flag(U.contains_any(u, C.SHORTENER_HOSTS)),
+        "has_short_svc": U.flag(U.contains_any("url", C.SHORTENER_HOSTS)),
         "has_path_txt_extension": U.flag(F.col("path").endswith(".txt")),
         "has_path_exe_extension": U.flag(F.col("path").endswith(".exe")),
         "has_sus_tld": U.flag(tld.isin(C.SUSPICIOUS_TLDS)),
@@ -69,7 +67,7 @@ def _part_columns() -> dict[str, Column]:
             F.try_divide(digits_host, F.length("hostname")), F.lit(0.0)
         ),
         "count_digits": digits_url,
-        "nb_parameters": U.occurrences(u, "&"),
+        "nb_parameters": U.occurrences("url", "&"),
         # corrected twins of rules whose published definition is unusual
         "has_ipv4_host": U.flag(
             F.col("hostname").rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$")
@@ -101,7 +99,7 @@ def lexical_features(df: DataFrame) -> DataFrame:
     no_host = F.lit("exception_init_or_extract: list index out of range")
     return (
         df.withColumn("_stripped", U.strip(F.col("url")))
-        .withColumns(_count_columns(F.col("url")) | _part_columns() | _word_columns())
+        .withColumns(_count_columns() | _part_columns() | _word_columns())
         .withColumns(
             {
                 "entropy_bits": F.abs("entropy"),
@@ -131,20 +129,26 @@ def brand_features(df: DataFrame, brands: Sequence[str] | DataFrame) -> DataFram
 
 
 def _brand_features_inline(df: DataFrame, names: list[str]) -> DataFrame:
-    domain = F.col("domain")
+    listed = ", ".join(U.sql_text(n) for n in names) or "NULL"
 
-    def hit(pieces: Column) -> Column:
-        return F.exists(pieces, lambda p: p.isin(names) & ~domain.contains(p))
+    def hit(pieces: str) -> str:
+        return f"exists({pieces}, p -> p IN ({listed}) AND NOT contains(domain, p))"
 
-    in_path = hit(_interior_segments(F.col("path")))
-    for name in (n for n in names if "." in n):
-        in_path = in_path | (F.col("path").contains(f".{name}.") & ~domain.contains(name))
-    return df.withColumns(
-        {
-            "has_domain_in_brand": U.flag(F.get("words_host", F.lit(0)).isin(names)),
-            "has_brand_in_path": U.flag(in_path),
-            "has_brand_in_subdomain": U.flag(hit(F.split("subdomain", r"\."))),
-        }
+    in_path = [hit("_interior")] + [
+        f"contains(path, {U.sql_text('.' + n + '.')}) AND NOT contains(domain, {U.sql_text(n)})"
+        for n in names
+        if "." in n
+    ]
+    return (
+        df.withColumn("_interior", _interior_segments(F.col("path")))
+        .withColumns(
+            {
+                "has_domain_in_brand": U.flag(F.expr(f"get(words_host, 0) IN ({listed})")),
+                "has_brand_in_path": U.flag(F.expr(" OR ".join(in_path))),
+                "has_brand_in_subdomain": U.flag(F.expr(hit(r"split(subdomain, '[.]')"))),
+            }
+        )
+        .drop("_interior")
     )
 
 
@@ -243,8 +247,8 @@ def with_lookalike_flag(df: DataFrame, brands: DataFrame) -> DataFrame:
 def statistical_report(df: DataFrame, dns_snapshot: DataFrame) -> DataFrame:
     """has_statistical_report from a ``dns_snapshot(domain, ip)``; no row means the lookup failed."""
     address = dns_snapshot.groupBy("domain").agg(F.min("ip").alias("_ip"))
-    reported = U.contains_any(F.col("url"), C.REPORTED_HOSTS) | U.contains_any(
-        F.col("_ip"), C.REPORTED_IPS
+    reported = U.contains_any("url", C.REPORTED_HOSTS) | U.contains_any(
+        "_ip", C.REPORTED_IPS
     )
     return (
         df.join(address, "domain", "left")

@@ -182,7 +182,7 @@ _COUNTED = list(C.URL_CHARACTER_COUNTS.items())
     FROM pages""",
 )
 def url_character_counts(t: Tables):
-    return t.pages.select("page_id", "url").withColumns(UF._count_columns(F.col("url")))
+    return t.pages.select("page_id", "url").withColumns(UF._count_columns())
 
 
 _BOOL = "CASE WHEN {} THEN 1 ELSE 0 END AS {}"
@@ -342,7 +342,7 @@ def site_profile(t: Tables):
             F.count("*").alias("n_pages"),
             F.sum((F.col("scheme") == "https").cast("int")).alias("n_https"),
             F.avg(F.length("url")).alias("avg_url_len"),
-            F.max(U.occurrences(F.col("url"), "/")).alias("max_slashes"),
+            F.max(U.occurrences("url", "/")).alias("max_slashes"),
         )
     )
 

@@ -72,8 +72,19 @@ def test_running_totals(spark, descending):
     for x, v in sorted(rows, reverse=descending):
         total += v
         expected[x] = total
-    found = tables.running_totals(df, "x", {"t": "v"}, descending, pieces=16)
-    assert {r["x"]: r["t"] for r in found.collect()} == expected
+    for pieces, fine in [(16, 8), (1, 1), (64, 64)]:
+        found = tables.running_totals(df, "x", {"t": "v"}, descending, pieces, fine)
+        assert {r["x"]: r["t"] for r in found.collect()} == expected
+    one = tables.running_totals(df.limit(1), "x", {"t": "v"}, descending)
+    assert one.first()["t"] == df.limit(1).first()["v"]
+    assert tables.running_totals(df.limit(0), "x", {"t": "v"}).count() == 0
+
+
+def test_row_numbers_of_large_values_and_null(spark):
+    values = [None, -(2**60), 2**60, 2**60 + 1, 2**60 + 2, 5, 7]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    found = {r["x"]: r["row_idx"] for r in tables.with_row_number(df, "x").collect()}
+    assert found == {None: 0, -(2**60): 1, 5: 2, 7: 3, 2**60: 4, 2**60 + 1: 5, 2**60 + 2: 6}
 
 
 def test_attach_shuffles_a_large_table(spark):
