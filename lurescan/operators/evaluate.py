@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescan.operators.tables import running_totals
+from lurescan.operators.tables import attach, running_totals
 
 HISTOGRAM_BINS = 50
 
@@ -170,9 +170,8 @@ def score_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         F.when(flat, 1.0).otherwise(F.col("_max") - F.col("_min")).alias("_width"),
     )
     place = F.floor((F.col("score") - F.col("_low")) / F.col("_width") * bins).cast("int")
-    # one row per class: labels are 0 and 1
     counts = (
-        df.join(F.broadcast(ranges), "label")
+        attach(df, ranges, ["label"], "inner")
         .groupBy("label", F.least(place, F.lit(bins - 1)).alias("bin"))
         .agg(F.count("*").alias("n"))
     )

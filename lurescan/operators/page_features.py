@@ -34,7 +34,10 @@ def with_page_tokens(pages: DataFrame) -> DataFrame:
             {
                 "tags": F.array_remove(nodes["tag"], ""),
                 "title": F.coalesce(
-                    T.squeeze(T.plain_spaces(H.decode_entities(F.get(contents("title"), F.lit(0))))),
+                    U.let(
+                        U.let(F.get(contents("title"), F.lit(0)), H.decode_entities),
+                        lambda text: T.squeeze(T.plain_spaces(text)),
+                    ),
                     F.lit(""),
                 ),
                 "body_text": H.text_content(
@@ -223,7 +226,7 @@ def page_validity(df: DataFrame) -> DataFrame:
         {
             "has_error_indicators": U.flag(said),
             "content_length": F.length(
-                F.regexp_replace(T.plain_spaces(F.col("body_text")), r"^\s+|\s+$", "")
+                F.regexp_replace(T.plain_spaces(F.col("body_text")), r"^\s+|\s+\z", "")
             ),
             "has_generic_structure": U.flag((F.col("nb_divs") < 3) & (F.col("nb_paragraphs") < 1)),
         }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lurescan.functions import url as U
 from lurescan.operators.scoring import threshold_pred
-from lurescan.operators.tables import cut_lineage
+from lurescan.operators.tables import cut_lineage, join_split_hot
 
 TTL_SECONDS = 30 * 86_400
 PAGE_SIZE = 10
@@ -109,7 +109,7 @@ def responses(
     fresh = new_rows.select("doc_id", "pred", "proba", F.col("request_id").alias("_scored_by"))
     verdicts = stored.unionByName(fresh)
     usable = F.when(F.col("error").isNull(), F.col("doc_id"))
-    answered = requests.withColumn("doc_id", usable).join(verdicts, "doc_id", "left")
+    answered = join_split_hot(requests.withColumn("doc_id", usable), verdicts, "doc_id")
     cached = F.col("_scored_by").isNull() | (F.col("_scored_by") != F.col("request_id"))
     return answered.withColumn(
         "cached", F.when(F.col("error").isNull(), cached.cast("int"))
@@ -137,13 +137,14 @@ def scoring_schedule(
 
     def after(previous: DataFrame) -> DataFrame:
         last = previous.select("doc_id", F.col("ts_us").alias("_last"))
-        return visits.join(last, "doc_id").filter(F.col("ts_us") > F.col("_last") + ttl)
+        expired = F.col("ts_us") > F.col("_last") + ttl
+        return join_split_hot(visits, last, "doc_id", "inner", expired)
 
     if log is None:
         current = firsts(visits)
     else:
         known = log.groupBy("doc_id").agg(F.max("created_us").alias("_last"))
-        opened = visits.join(known, "doc_id", "left").filter(
+        opened = join_split_hot(visits, known, "doc_id").filter(
             F.col("_last").isNull() | (F.col("ts_us") > F.col("_last") + ttl)
         )
         current = firsts(opened)

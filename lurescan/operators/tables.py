@@ -64,6 +64,35 @@ def attach(
     return big.join(F.broadcast(local), list(on), how)
 
 
+def join_split_hot(
+    big: DataFrame, small: DataFrame, key: str, how: str = "left", condition: Column | None = None,
+    parts: int = 100,
+) -> DataFrame:
+    """Equi join on one key with the hot keys of ``big`` joined by broadcast.
+
+    A key is hot if it holds more than 1/``parts`` of the rows, so there are fewer than ``parts``
+    hot keys and their rows of ``small`` (few per key) are safe to broadcast. All other keys are
+    shuffled as usual. This does not rely on adaptive execution, which streams may switch off.
+    ``condition`` may restrict the pairs further; columns other than the key must differ.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = counts.agg((F.sum("_n") / parts).alias("_limit")).scalar()
+    hot = [r[key] for r in counts.filter(F.col("_n") > limit).select(key).collect()]
+    hot = [k for k in hot if k is not None]
+    other = small.withColumnRenamed(key, "_join_key")
+    match = F.col(key) == F.col("_join_key")
+    if condition is not None:
+        match = match & condition
+    if not hot:
+        return big.join(other, match, how).drop("_join_key")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    spread_hot = big.filter(is_hot).join(
+        F.broadcast(other.filter(F.col("_join_key").isin(hot))), match, how
+    )
+    rest = big.filter(~is_hot).join(other.filter(~F.col("_join_key").isin(hot)), match, how)
+    return spread_hot.unionByName(rest).drop("_join_key")
+
+
 def ordered_part(df: DataFrame, column: str, pieces: int, fine: int) -> Column:
     """Number of the part a value falls into; parts are ordered like the values.
 

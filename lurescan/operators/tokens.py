@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lurescan.functions import url as U
 from lurescan.operators.clean import label_text
-from lurescan.operators.tables import attach
+from lurescan.operators.tables import join_split_hot
 
 VECTOR_SIZE = 50
 SEQUENCE_LENGTH = 200
@@ -61,12 +61,11 @@ def url_vectors(
 ) -> DataFrame:
     """Mean vector of the known tokens per row, zeros without any.
 
-    Frequent tokens (a scheme, ``www``) fill most rows. The vocabulary is broadcast if its row count
-    is small; otherwise the join is shuffled and adaptive execution splits the hot tokens, because
-    a token has one row on the vocabulary side. The mean is combined before the second shuffle.
+    Frequent tokens (a scheme, ``www``) fill most rows, so they are joined by broadcast and only
+    the rest is shuffled. The mean is combined before the second shuffle.
     """
     long = df.select(key, F.explode_outer(tokens).alias("token"))
-    known = attach(long, vectors, ["token"])
+    known = join_split_hot(long, vectors, "token")
     means = known.groupBy(key).agg(
         *[F.avg(F.get("vector", F.lit(i))).alias(f"v{i}") for i in range(size)]
     )

@@ -39,7 +39,9 @@ def build_resumable(
         return 0
     starts = range(bounds["low"], bounds["high"] + 1, chunks_per_write)
     for start in starts:
-        wave = todo.filter(F.col("chunk_id").between(start, start + chunks_per_write - 1))
+        # on the row number itself, so that the range reaches the scan
+        end = (start + chunks_per_write) * step
+        wave = todo.filter((F.col(index) >= start * step) & (F.col(index) < end))
         (
             build(wave)
             .write.mode("overwrite")

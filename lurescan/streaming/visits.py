@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lurescan.operators import predlog as M
+from lurescan.operators.tables import join_split_hot
 
 # --- fixed values: visit configuration -------------------------------------------------------------
 VISIT_DEFAULTS = {"model": "rf", "threshold": 0.6, "scan_mode": "full"}
@@ -101,10 +102,10 @@ def serve_batch(
         "_key", F.when((F.col("is_web") == 1) & F.col("error").isNull(), F.col("doc_id"))
     )
     answers = verdicts.withColumnRenamed("doc_id", "_key")
-    covered = (asked["_key"] == answers["_key"]) & asked["ts_us"].between(
-        answers["_from"], answers["created_us"] + ttl
+    covered = F.col("ts_us").between(F.col("_from"), F.col("created_us") + ttl)
+    served = join_split_hot(asked, answers, "_key", "left", covered).drop(
+        "_key", "_from", "created_us"
     )
-    served = asked.join(answers, covered, "left").drop("_key", "_from", "created_us")
     cached = F.col("_scored_by").isNull() | (F.col("_scored_by") != F.col("request_id"))
     return verdict_rows(
         served.withColumn("cached", F.when(F.col("pred").isNotNull(), cached.cast("int")))

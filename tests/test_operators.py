@@ -95,6 +95,18 @@ def test_attach_shuffles_a_large_table(spark):
         assert joined.filter("v = k * 2").count() == 100
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_join_like_the_others(spark, how):
+    rows = [(i, "hot" if i % 3 else f"k{i % 40}") for i in range(600)] + [(600, None)]
+    big = spark.createDataFrame(rows, "i int, k string")
+    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, v int")
+    expected = big.join(small, "k", how).select("i", "k", "v")
+    found = tables.join_split_hot(big, small, "k", how).select("i", "k", "v")
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    some = tables.join_split_hot(big, small, "k", "inner", F.col("i") > 300)
+    assert some.count() == expected.filter("v is not null and i > 300").count()
+
+
 def test_splits_are_exact_and_disjoint(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("label"))
     split = S.stratified_split(df, "k").groupBy("label", "split").count().collect()
