@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lurescan.functions import url as U
 from lurescan.operators.scoring import threshold_pred
-from lurescan.operators.tables import cut_lineage, join_split_hot
+from lurescan.operators.tables import cut_lineage, hot_keys, join_split_hot
 
 TTL_SECONDS = 30 * 86_400
 PAGE_SIZE = 10
@@ -129,6 +129,7 @@ def scoring_schedule(
     ttl = ttl_seconds * 1_000_000
     # read once per round, so the keys are not derived from the urls again
     visits = cut_lineage(visits.select("doc_id", "request_id", "ts_us"))
+    hot = hot_keys(visits, "doc_id")
     earliest = F.min(F.struct("ts_us", "request_id")).alias("_first")
 
     def firsts(open_visits: DataFrame) -> DataFrame:
@@ -138,13 +139,13 @@ def scoring_schedule(
     def after(previous: DataFrame) -> DataFrame:
         last = previous.select("doc_id", F.col("ts_us").alias("_last"))
         expired = F.col("ts_us") > F.col("_last") + ttl
-        return join_split_hot(visits, last, "doc_id", "inner", expired)
+        return join_split_hot(visits, last, "doc_id", "inner", expired, hot)
 
     if log is None:
         current = firsts(visits)
     else:
         known = log.groupBy("doc_id").agg(F.max("created_us").alias("_last"))
-        opened = join_split_hot(visits, known, "doc_id").filter(
+        opened = join_split_hot(visits, known, "doc_id", hot=hot).filter(
             F.col("_last").isNull() | (F.col("ts_us") > F.col("_last") + ttl)
         )
         current = firsts(opened)

@@ -64,21 +64,26 @@ def attach(
     return big.join(F.broadcast(local), list(on), how)
 
 
+def hot_keys(df: DataFrame, key: str, parts: int = 100) -> list:
+    """Keys with more than 1/``parts`` of the rows; there are fewer than ``parts`` of them."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = counts.agg((F.sum("_n") / parts).alias("_limit")).scalar()
+    hot = counts.filter((F.col("_n") > limit) & F.col(key).isNotNull())
+    return [row[key] for row in hot.select(key).collect()]
+
+
 def join_split_hot(
     big: DataFrame, small: DataFrame, key: str, how: str = "left", condition: Column | None = None,
-    parts: int = 100,
+    hot: list | None = None,
 ) -> DataFrame:
     """Equi join on one key with the hot keys of ``big`` joined by broadcast.
 
-    A key is hot if it holds more than 1/``parts`` of the rows, so there are fewer than ``parts``
-    hot keys and their rows of ``small`` (few per key) are safe to broadcast. All other keys are
-    shuffled as usual. This does not rely on adaptive execution, which streams may switch off.
-    ``condition`` may restrict the pairs further; columns other than the key must differ.
+    There are fewer than a hundred hot keys and few rows of ``small`` per key, so those rows are
+    safe to broadcast. All other keys are shuffled as usual. This does not rely on adaptive
+    execution, which streams may switch off. ``condition`` may restrict the pairs further; columns
+    other than the key must differ. ``hot`` passes keys that are known already.
     """
-    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
-    limit = counts.agg((F.sum("_n") / parts).alias("_limit")).scalar()
-    hot = [r[key] for r in counts.filter(F.col("_n") > limit).select(key).collect()]
-    hot = [k for k in hot if k is not None]
+    hot = hot_keys(big, key) if hot is None else hot
     other = small.withColumnRenamed(key, "_join_key")
     match = F.col(key) == F.col("_join_key")
     if condition is not None:

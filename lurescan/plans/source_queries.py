@@ -5,9 +5,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from lurescan import schemas
+from lurescan.operators import attributions as L
 from lurescan.operators import dataset as G
+from lurescan.operators import evaluate as K
 from lurescan.operators.tables import shared_folder
-from lurescan.plans import url_queries
+from lurescan.plans import evaluation_queries, url_queries
 from lurescan.plans.registry import Tables, query
 from lurescan.plans.url_queries import PARTS_SQL
 from lurescan.sources import crawl, files, resumable
@@ -135,3 +137,44 @@ def prepared_sets(t: Tables):
         sets["test"].withColumn("set_name", F.lit("test"))
     )
     return both.groupBy("set_name", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    "resumable_attributions",
+    "chunk_id:i samples:i tokens:i",
+    """SELECT doc_id // 500 AS chunk_id, count(*) AS samples, sum(len(string_split(text, ' '))) AS tokens
+    FROM documents GROUP BY 1""",
+)
+def resumable_attributions(t: Tables):
+    """Attribution intake by chunks of 500 samples; a second call finds nothing to do."""
+    folder = new_folder(t, "attributions")
+    samples = t.documents.select(F.col("doc_id").alias("sample_id"), "text")
+
+    def build(part):
+        words = part.select("sample_id", "chunk_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+        return words.withColumns({"class_idx": F.lit(1), "value": F.length("token") / 100})
+
+    for _ in range(2):
+        resumable.build_resumable(samples, build, folder, index="sample_id", step=500)
+    stored = L.of_class(t.spark.read.parquet(folder))
+    per_sample = stored.groupBy("chunk_id", "sample_id").agg(F.count("*").alias("n"))
+    return per_sample.groupBy("chunk_id").agg(
+        F.count("*").alias("samples"), F.sum("n").alias("tokens")
+    )
+
+
+@query(
+    "stored_results",
+    "label:i pred:i n:i",
+    f"""WITH {evaluation_queries.SCORES_SQL} SELECT 0 AS label, 0 AS pred, tn AS n FROM tally UNION ALL SELECT 0, 1, fp FROM tally
+    UNION ALL SELECT 1, 0, fn FROM tally UNION ALL SELECT 1, 1, tp FROM tally""",
+)
+def stored_results(t: Tables):
+    """The confusion matrix written as JSON and CSV and read back."""
+    folder = new_folder(t, "results")
+    matrix = {"confusion": K.confusion_matrix(evaluation_queries.scores(t))}
+    files.write_results(matrix, f"{folder}/json", "json")
+    files.write_results(matrix, f"{folder}/csv")
+    from_json = t.spark.read.schema("label int, pred int, n long").json(f"{folder}/json/confusion")
+    from_csv = t.spark.read.csv(f"{folder}/csv/confusion", schema="label int, pred int, n long", header=True)
+    return from_json.join(from_csv, ["label", "pred", "n"])

@@ -368,3 +368,26 @@ def crawl_candidates(t: Tables):
         "redirect_detected",
         (F.col("requested") != F.coalesce("candidate", F.lit(""))).cast("int"),
     )
+
+
+@query(
+    "redirect_features",
+    "page_id:i nb_redirection:i nb_e_redirection:i",
+    f"""WITH {PARTS_SQL},
+    first_of AS (SELECT domain, min(url) AS home FROM urls GROUP BY domain),
+    hops AS (SELECT u.page_id, u.domain, CASE WHEN u.scheme = 'http' THEN
+        ['http://' || u.tld || '/', 'HTTP://' || upper(u.domain) || '/', f.home] END AS chain FROM urls u JOIN first_of f USING (domain))
+    SELECT page_id, coalesce(len(chain), -1) AS nb_redirection,
+      coalesce(len(list_filter(chain, lambda h: NOT contains(lower(h), lower(domain)))), -1) AS nb_e_redirection FROM hops""",
+)
+def redirect_features(t: Tables):
+    """The http pages came through the hosting domain, their site and its first page."""
+    rows = decomposed(t)
+    home = rows.groupBy("domain").agg(F.min("url").alias("home"))
+    chain = F.array(
+        F.concat(F.lit("http://"), "tld", F.lit("/")),
+        F.concat(F.lit("HTTP://"), F.upper("domain"), F.lit("/")),
+        F.col("home"),
+    )
+    chained = rows.join(home, "domain").withColumn("chain", F.when(F.col("scheme") == "http", chain))
+    return UF.redirect_features(chained, "chain")
