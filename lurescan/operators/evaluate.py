@@ -93,26 +93,20 @@ def binary_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def _totals(counts: DataFrame, **sums: str) -> dict[str, Column]:
-    total = counts.agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-    return {name: total.select(name).scalar() for name in sums}
-
-
 def score_points(df: DataFrame) -> DataFrame:
     """score, tp, fp, tp_before, fp_before per distinct score: rows at or above, and above, it."""
     counts = df.groupBy("score").agg(
         count_if(F.col("label") == 1).alias("_pos"), count_if(F.col("label") == 0).alias("_neg")
     )
     running = running_totals(counts, "score", {"tp": "_pos", "fp": "_neg"}, descending=True)
-    totals = _totals(counts, positives="_pos", negatives="_neg")
     return running.select(
         "score",
         "tp",
         "fp",
         (F.col("tp") - F.col("_pos")).alias("tp_before"),
         (F.col("fp") - F.col("_neg")).alias("fp_before"),
-        totals["positives"].alias("positives"),
-        totals["negatives"].alias("negatives"),
+        F.col("tp_total").alias("positives"),
+        F.col("fp_total").alias("negatives"),
     )
 
 
@@ -210,8 +204,6 @@ def metric_summary(df: DataFrame) -> DataFrame:
         "accuracy", "roc_auc", "pr_auc", "average_precision", "precision", "recall", "f1", "fpr",
         "fnr",
     ]
-    from_counts, from_curve = binary_metrics(df), areas(df)
-    joined = from_counts.withColumns(
-        {c: from_curve.select(c).scalar() for c in ("roc_auc", "pr_auc", "average_precision")}
-    )
+    from_curve = areas(df).select(F.struct("roc_auc", "pr_auc", "average_precision")).scalar()
+    joined = binary_metrics(df).withColumn("_areas", from_curve).select("*", "_areas.*")
     return _rows(joined, [{"metric": F.lit(m), "value": F.col(m)} for m in names])

@@ -135,9 +135,12 @@ def row_range(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """label, n and weight = rows / (classes * n)."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    rows, classes = totals.select("total").scalar(), totals.select("k").scalar()
-    return counts.withColumn("weight", rows / (classes * F.col("n")))
+    totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("classes"))).scalar()
+    return (
+        counts.withColumn("_all", totals)
+        .withColumn("weight", F.col("_all.rows") / (F.col("_all.classes") * F.col("n")))
+        .drop("_all")
+    )
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:

@@ -146,6 +146,7 @@ def running_totals(
 
     Each part of the order (see :func:`ordered_part`) is summed on its own, and the totals of the
     parts before it are added. No task sees more than one part; the totals are one row per part.
+    ``<name>_total`` holds the sum over all rows.
     """
     numbered = df.withColumn("_part", ordered_part(df, order, pieces, fine))
     totals = numbered.groupBy("_part").agg(
@@ -153,12 +154,14 @@ def running_totals(
     )
     key = F.col("_part").desc() if descending else F.col("_part").asc()
     earlier = W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    everything = W.orderBy(key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = totals.select(
         "_part",
         *[
             F.coalesce(F.sum(f"_before_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
             for name in sums
         ],
+        *[F.sum(f"_before_{name}").over(everything).alias(f"{name}_total") for name in sums],
     )
     inner = W.partitionBy("_part").orderBy(
         F.col(order).desc() if descending else F.col(order).asc()
@@ -171,13 +174,14 @@ def running_totals(
             (F.sum(source).over(inner) + F.col(f"_before_{name}")).alias(name)
             for name, source in sums.items()
         ],
+        *[f"{name}_total" for name in sums],
     )
 
 
 def with_row_number(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:
     """0-based global position by a distinct numeric order column."""
     numbered = running_totals(df.withColumn("_one", F.lit(1)), order, {"_n": "_one"})
-    return numbered.withColumn(name, F.col("_n") - 1).drop("_one", "_n")
+    return numbered.withColumn(name, F.col("_n") - 1).drop("_one", "_n", "_n_total")
 
 
 def missing(column: str, dtype: str) -> Column:
