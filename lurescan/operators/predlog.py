@@ -109,27 +109,35 @@ def responses(
     fresh = new_rows.select("doc_id", "pred", "proba", F.col("request_id").alias("_scored_by"))
     verdicts = stored.unionByName(fresh)
     usable = F.when(F.col("error").isNull(), F.col("doc_id"))
-    answered = join_split_hot(requests.withColumn("doc_id", usable), verdicts, "doc_id")
+    answered = requests.withColumn("doc_id", usable).join(verdicts, "doc_id", "left")
     cached = F.col("_scored_by").isNull() | (F.col("_scored_by") != F.col("request_id"))
     return answered.withColumn(
         "cached", F.when(F.col("error").isNull(), cached.cast("int"))
     ).drop("_scored_by")
 
 
+def materialised_visits(visits: DataFrame) -> tuple[DataFrame, list]:
+    """Keys and times of the visits, stored so that no round derives them again, and hot keys."""
+    stored = cut_lineage(visits.select("doc_id", "request_id", "ts_us"))
+    return stored, hot_keys(stored, "doc_id")
+
+
 def scoring_schedule(
-    visits: DataFrame, log: DataFrame | None = None, ttl_seconds: int = TTL_SECONDS
+    visits: DataFrame,
+    log: DataFrame | None = None,
+    ttl_seconds: int = TTL_SECONDS,
+    hot: list | None = None,
 ) -> DataFrame:
     """The visits that must be scored: per key the first, then each first one after expiry.
 
     ``visits`` has doc_id, request_id and ts_us. Expiry counts from the scoring, not from the last
     use. Round r finds the r-th scoring of every key with one minimum per key; only that small
     table is carried to the next round, so the rounds are as many as times to live fit in the time
-    span and no key's visits are gathered.
+    span and no key's visits are gathered. ``hot`` comes with visits that are stored already.
     """
     ttl = ttl_seconds * 1_000_000
-    # read once per round, so the keys are not derived from the urls again
-    visits = cut_lineage(visits.select("doc_id", "request_id", "ts_us"))
-    hot = hot_keys(visits, "doc_id")
+    if hot is None:
+        visits, hot = materialised_visits(visits)
     earliest = F.min(F.struct("ts_us", "request_id")).alias("_first")
 
     def firsts(open_visits: DataFrame) -> DataFrame:

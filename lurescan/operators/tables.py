@@ -72,30 +72,34 @@ def hot_keys(df: DataFrame, key: str, parts: int = 100) -> list:
     return [row[key] for row in hot.select(key).collect()]
 
 
+SALTS = 64
+
+
 def join_split_hot(
     big: DataFrame, small: DataFrame, key: str, how: str = "left", condition: Column | None = None,
     hot: list | None = None,
 ) -> DataFrame:
-    """Equi join on one key with the hot keys of ``big`` joined by broadcast.
+    """Equi join on one key with the hot keys of ``big`` spread over salts.
 
-    There are fewer than a hundred hot keys and few rows of ``small`` per key, so those rows are
-    safe to broadcast. All other keys are shuffled as usual. This does not rely on adaptive
-    execution, which streams may switch off. ``condition`` may restrict the pairs further; columns
-    other than the key must differ. ``hot`` passes keys that are known already.
+    The rows of a hot key are spread by their hash, and its few rows of ``small`` are repeated once
+    per salt; there are fewer than a hundred hot keys. All other keys are joined as they are, and
+    either side is computed once. This does not rely on adaptive execution, which streams may
+    switch off. ``condition`` may restrict the pairs further; columns other than the key must
+    differ. ``hot`` passes keys that are known already.
     """
     hot = hot_keys(big, key) if hot is None else hot
     other = small.withColumnRenamed(key, "_join_key")
     match = F.col(key) == F.col("_join_key")
+    if hot:
+        spread_over = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
+        big = big.withColumn("_salt", F.when(F.col(key).isin(hot), spread_over).otherwise(0))
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        copies = F.when(F.col("_join_key").isin(hot), salts).otherwise(F.array(F.lit(0)))
+        other = other.withColumn("_small_salt", F.explode(copies))
+        match = match & (F.col("_salt") == F.col("_small_salt"))
     if condition is not None:
         match = match & condition
-    if not hot:
-        return big.join(other, match, how).drop("_join_key")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    spread_hot = big.filter(is_hot).join(
-        F.broadcast(other.filter(F.col("_join_key").isin(hot))), match, how
-    )
-    rest = big.filter(~is_hot).join(other.filter(~F.col("_join_key").isin(hot)), match, how)
-    return spread_hot.unionByName(rest).drop("_join_key")
+    return big.join(other, match, how).drop("_join_key", "_salt", "_small_salt")
 
 
 def ordered_part(df: DataFrame, column: str, pieces: int, fine: int) -> Column:

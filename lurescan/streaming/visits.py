@@ -80,7 +80,8 @@ def serve_batch(
     ttl = ttl_seconds * 1_000_000
     gated = configured(visits, known_models).withColumn("is_web", is_web_url(F.col("url")).cast("int"))
     usable = gated.filter("is_web = 1 AND error IS NULL")
-    schedule = M.scoring_schedule(usable.select("doc_id", "request_id", "ts_us"), log, ttl_seconds)
+    keys, hot = M.materialised_visits(usable)
+    schedule = M.scoring_schedule(keys, log, ttl_seconds, hot)
     to_score = usable.join(schedule.select("request_id"), "request_id", "left_semi")
     new_rows = store(M.score_requests(to_score, scorer, F.col("ts_us")))
 
@@ -103,7 +104,7 @@ def serve_batch(
     )
     answers = verdicts.withColumnRenamed("doc_id", "_key")
     covered = F.col("ts_us").between(F.col("_from"), F.col("created_us") + ttl)
-    served = join_split_hot(asked, answers, "_key", "left", covered).drop(
+    served = join_split_hot(asked, answers, "_key", "left", covered, hot).drop(
         "_key", "_from", "created_us"
     )
     cached = F.col("_scored_by").isNull() | (F.col("_scored_by") != F.col("request_id"))
