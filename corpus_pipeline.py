@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescan.llm import decontaminate, packing, simhash
+from lurescan.llm import decontaminate, packing, pii, quality, simhash
 from lurescan.llm.text import stored, table
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.without_copies(docs, shingle=3, distance=2)
@@ -18,14 +23,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return pii.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents that are left."""
     return packing.pack(docs, max_tokens=2048)
 
 
 STAGES = [
+    ("quality", drop_low_quality),
     ("near copies", drop_near_copies),
     ("benchmark passages", drop_contaminated),
+    ("personal data", redact),
     ("packing", pack),
 ]
 

@@ -161,7 +161,7 @@ def shortest_pack_first(histogram: dict[int, int], max_tokens: int) -> list[tupl
 
 def pack(
     documents: DataFrame, max_tokens: int = 2048, tokenizer: str | None = None, end_id: int = 1,
-    with_ids: bool = False, rows_per_group: int = 20_000,
+    with_ids: bool = False, rows_per_group: int = 5_000,
 ) -> DataFrame:
     """Every token of every row in exactly one piece, and each piece with its sequence and offset.
 

@@ -205,3 +205,31 @@ def longs(values) -> pa.Array:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
+
+
+def prior_shift(rows: list[dict]) -> float:
+    """What to add to a logit fitted on sampled classes so that it holds for all labelled rows.
+
+    With one class only, or none, it pushes every score to that class, or to 0.
+    """
+    weight = {r["label"]: r["weight"] for r in rows}
+    if len(weight) < 2:
+        return 35.0 if 1 in weight else -35.0
+    return float(np.log(weight[1]) - np.log(weight[0]))
+
+
+def sample_slices(rows: list[dict], lower: bool = False, limit: int = SLICE_BYTES):
+    """The texts of training rows as byte arrays: ``(buf, offsets, rows)`` in order."""
+    part, size = [], 0
+    for i, row in enumerate(rows):
+        data = (row["text"] or "").lower() if lower else row["text"] or ""
+        part.append((data.encode(), row))
+        size += len(part[-1][0])
+        if size >= limit or i + 1 == len(rows):
+            offsets = np.cumsum([0, *(len(d) for d, _ in part)]).astype(np.int64)
+            yield np.frombuffer(b"".join(d for d, _ in part), np.uint8), offsets, [r for _, r in part]
+            part, size = [], 0
