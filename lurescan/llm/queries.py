@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescan.llm import decontaminate, html_text, packing, pii, quality, simhash, toxicity
+from lurescan.llm import decontaminate, fingerprints, html_text, packing, pii, quality, simhash, toxicity
 from lurescan.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+@register
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"), shingle=5, scale=8)
+
+
 @register
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = html_text.train(html_text.labelled_pages())
