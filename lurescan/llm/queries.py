@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurescan.llm import decontaminate, fingerprints, html_text, license_scan, packing, pii, quality, simhash, toxicity
+from lurescan.llm import decontaminate, fingerprints, html_text, license_scan, packing, pii, quality, secrets, simhash, toxicity
 from lurescan.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents, benchmark, window=10)
 
 
+@register
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), threshold=0.5)
+
+
 @register
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
