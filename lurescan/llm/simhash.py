@@ -125,8 +125,9 @@ def whole_balls(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def components(links: DataFrame, rank: DataFrame) -> DataFrame:
-    """``(fp, label)`` for every fingerprint with a link; the label is the smallest rank it can reach.
+    """``(fp, label, root)`` for every fingerprint with a link.
 
+    The label is the smallest rank it can reach, the root a fingerprint that names its component.
     ``rank`` holds ``(fp, least)``. Rounds of alternating stars: each vertex hands the smallest label
     of its neighbourhood to its larger neighbours, then to its smaller ones. Paths halve in each round;
     the tables of a round are written to the shared folder, so a lost executor costs one round.
@@ -134,8 +135,8 @@ def components(links: DataFrame, rank: DataFrame) -> DataFrame:
     both = links.select(F.col("fp").alias("u"), F.col("other").alias("v"))
     edges = stored(both.filter("u <> v").distinct())
     if edges.isEmpty():
-        return edges.select(F.col("u").alias("fp"), F.col("v").alias("label")).limit(0).withColumn(
-            "label", F.lit(None).cast("bigint"))
+        none = rank.select("fp", F.col("least").alias("label"), F.col("fp").alias("root"))
+        return none.limit(0)
     roots = None
     while True:
         flat = star(edges, larger=True)
@@ -152,7 +153,7 @@ def components(links: DataFrame, rank: DataFrame) -> DataFrame:
     members = members.unionByName(roots.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     named = members.join(rank, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("label"))
-    return members.join(least, "root").select("fp", "label")
+    return members.join(least, "root").select("fp", "label", "root")
 
 
 def star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -190,19 +191,19 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2) -
 
 
 def labelled(rows: DataFrame, distance: int) -> DataFrame:
-    """Add component_id to rows with ``doc_id`` and ``fp``; ``rows`` is read several times."""
+    """Add component_id and root to rows with ``doc_id`` and ``fp``; ``rows`` is read several times."""
     rank = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = neighbours(rank.select("fp"), distance)
     found = components(links, rank)
-    names = rank.join(found, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
+    names = rank.join(found, "fp", "left").select(
+        "fp", F.coalesce("label", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return rows.join(names, "fp", "left")
 
 
 def without_copies(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id, all columns kept.
 
-    Of rows that repeat this doc_id one stays, the first by its text. Rows
-    without an id keep one row for each fingerprint that no other row reaches.
+    Of rows that repeat this doc_id one stays, the first by a hash of its text; a NULL doc_id comes last.
     """
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64("text").alias("__h")]
     packed = documents.select(F.struct("doc_id", *key).alias("key"), "text")
@@ -210,8 +211,8 @@ def without_copies(documents: DataFrame, shingle: int = 3, distance: int = 2) ->
     groups = labelled(prints, distance)
     # the row to keep is found on narrow rows before the texts are read again
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h", "__id")
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
-        F.min(order).alias("k"))
+    first = groups.groupBy("root").agg(F.min(order).alias("k"))
     chosen = first.select("k.__id", "k.__h").distinct()
-    kept = documents.select("*", *key).join(chosen, ["__id", "__h"], "left_semi")
-    return kept.dropDuplicates(["__id", "__h"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    kept = documents.select(row, *key).join(chosen, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
