@@ -72,7 +72,7 @@ class Network:
         return [(f[j][:, None, :] + f[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
 
     def chunk_scores(self, pooled: np.ndarray) -> np.ndarray:
-        a = np.maximum(pooled + self.w["floor"], 0)
+        a = np.maximum(pooled + self.w["floor"], 0).astype(np.float64)  # so that a score hardly depends on its batch
         return np.tanh(a @ self.w["hidden"] + self.w["shift"]) @ self.w["out"] + self.w["bias"][0]
 
     def logits(self, buf: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +164,7 @@ def score(documents: DataFrame, model: bytes, keep: list[str] | None = None) ->
     """
     def work(buf, offsets, prepared, part):
         net, tables, prior = prepared
-        return [doubles(sigmoid(net.logits(buf, offsets, tables) + prior))]
+        return [doubles(np.round(sigmoid(net.logits(buf, offsets, tables) + prior), 9))]
 
     return map_slices(
         documents, "text", keep or ["doc_id"], work, [T.StructField("score", T.DoubleType())],

@@ -100,7 +100,7 @@ def score(documents: DataFrame, model: bytes, keep: list[str] | None = None) ->
         used = np.flatnonzero(weight)
         pairs = np.unique((owner[used] << BITS) | index[used])
         total = np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], minlength=len(offsets) - 1)
-        return [doubles(sigmoid(total + bias))]
+        return [doubles(np.round(sigmoid(total + bias), 9))]
 
     lowered = documents.withColumn("text", F.lower(F.col("text").cast("string")))
     return map_slices(

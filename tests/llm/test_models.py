@@ -1,0 +1,310 @@
+"""Trained operators: gradients and decoders against brute force, held-out accuracy, edge rows."""
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from lurescan.llm import html_text, pii, quality, secrets, toxicity
+from llm_helpers import read
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.fixture()
+def quick(monkeypatch):
+    monkeypatch.setattr(pii, "STEPS", 5)
+    monkeypatch.setattr(quality, "STEPS", 5)
+
+
+# ---- scores
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality"])
+def test_held_out_accuracy(spark, name):
+    label, run = {"toxicity": ("toxic", toxicity.toxicity), "quality": ("quality", quality.quality)}[name]
+    labels = read(spark, "labels", SMALL)
+    scored = run(read(spark, "documents", SMALL), labels).join(labels, "doc_id")
+    rows = scored.filter("held_out").select("predicted", label).collect()
+    assert len(rows) > 50
+    assert np.mean([r.predicted == r[label] for r in rows]) > 0.9
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
+def test_score_edges(edge, none, labels, quick, run):
+    rows = run(edge, labels).collect()
+    assert len(rows) == edge.count()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert all(r.held_out is not None for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
+    assert run(none, labels).count() == 0
+    unlabelled = run(edge, labels.limit(0)).collect()
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in unlabelled)
+
+
+def test_held_out_labels_do_not_matter(spark, quick):
+    """Scores are equal when every held-out label is turned round."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    for run, label, held in (
+        (toxicity.toxicity, "toxic", "crc32(cast(doc_id AS string)) % 4 = 2"),
+        (quality.quality, "quality", "crc32(cast(doc_id AS string)) % 5 = 0"),
+    ):
+        turned = labels.selectExpr("doc_id", f"CASE WHEN {held} THEN 1 - {label} ELSE {label} END AS {label}")
+        a = {r.doc_id: r.score for r in run(docs, labels).collect()}
+        assert a == {r.doc_id: r.score for r in run(docs, turned).collect()}
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(0)
+    net = quality.Network(1)
+    texts = [bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in (5, 300, 700)]
+    offsets = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    labels = np.array([1, 0, 1], np.float32)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+
+    def loss():
+        p = quality.sigmoid(net.logits(buf, offsets, net.pairs()))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    grads = net.gradients(buf, offsets, labels)
+    for name in ("out", "bias", "hidden", "shift", "floor"):
+        flat = net.w[name].reshape(-1)
+        spot = int(np.abs(grads[name]).reshape(-1).argmax())
+        old, step = flat[spot], 1e-3
+        flat[spot] = old + step
+        up = loss()
+        flat[spot] = old - step
+        down = loss()
+        flat[spot] = old
+        assert (up - down) / (2 * step) == pytest.approx(float(grads[name].reshape(-1)[spot]), rel=0.05, abs=1e-4)
+
+
+def test_network_sees_every_byte():
+    """A byte anywhere in a long text can change its score."""
+    net = quality.Network(2)
+    tables = net.pairs()
+    text = np.full(5000, 97, np.uint8)
+    ends = np.array([0, len(text)])
+    plain = net.logits(text, ends, tables)[0]
+    for at in (0, 2500, 4999):
+        changed = text.copy()
+        changed[at] = 33
+        assert net.logits(changed, ends, tables)[0] != plain
+
+
+# ---- personal data
+
+
+def tiny_model(seed=1):
+    w = pii.initial(seed)
+    rng = np.random.default_rng(seed)
+    w["trans"] = np.where(pii.ALLOWED, rng.normal(0, 1, w["trans"].shape), 0).astype(np.float32)
+    return w
+
+
+def path_score(score, trans, tags):
+    return score[0, tags[0]] + sum(trans[a, b] + score[t, b] for t, (a, b) in enumerate(zip(tags, tags[1:]), 1))
+
+
+def allowed_paths(steps):
+    tags = len(pii.KINDS) + 1
+    return [p for p in itertools.product(range(tags), repeat=steps) if all(pii.ALLOWED[a, b] for a, b in zip(p, p[1:]))]
+
+
+def test_viterbi_and_likelihood_by_listing_all_paths():
+    rng = np.random.default_rng(3)
+    w = tiny_model()
+    lengths = [5, 5, 4, 2, 1]
+    score = rng.normal(0, 2, (5, len(pii.KINDS) + 1, len(lengths))).astype(np.float32)
+    active = np.array([sum(n > t for n in lengths) for t in range(5)])
+    path = pii.viterbi(score, w["trans"], active)
+    for k, n in enumerate(lengths):
+        best = max(allowed_paths(n), key=lambda p: path_score(score[:, :, k], w["trans"], p))
+        assert tuple(path[:n, k]) == best
+    gold = np.zeros((5, len(lengths)), np.intp)
+    d_score, _ = pii.crf_gradients(score, w["trans"], gold)
+    weights = np.array([path_score(score[:, :, 0], w["trans"], p) for p in allowed_paths(5)])
+    share = np.exp(weights - weights.max())
+    share /= share.sum()
+    first = np.zeros(len(pii.KINDS) + 1)
+    for p, s in zip(allowed_paths(5), share):
+        first[p[0]] += s
+    first[0] -= 1
+    assert np.allclose(d_score[0, :, 0] * len(lengths), first, atol=1e-3)
+
+
+def test_lstm_gradients():
+    rng = np.random.default_rng(5)
+    w = {k: v.astype(np.float32) for k, v in tiny_model(6).items()}
+    chars = rng.integers(32, 120, (7, 3))
+    gold = np.zeros((7, 3), np.intp)
+    gold[2:4, 0] = 1
+    gold[3:6, 1] = 4
+
+    def loss():
+        score = pii.emissions(w, chars, np.full(7, 3)).astype(np.float64)
+        total = 0
+        for k in range(3):
+            every = np.array([path_score(score[:, :, k], w["trans"], p) for p in allowed_paths(7)])
+            total += np.log(np.exp(every - every.max()).sum()) + every.max()
+            total -= path_score(score[:, :, k], w["trans"], tuple(gold[:, k]))
+        return total / 3
+
+    grads = pii.gradients(w, chars, gold)
+    for name in ("emit", "trans", "right", "left", "embed"):
+        flat, g = w[name].reshape(-1), np.asarray(grads[name]).reshape(-1)
+        for spot in np.abs(g).argsort()[-2:]:
+            old, step = flat[spot], 2e-3
+            flat[spot] = old + step
+            up = loss()
+            flat[spot] = old - step
+            down = loss()
+            flat[spot] = old
+            assert (up - down) / (2 * step) == pytest.approx(float(g[spot]), rel=0.08, abs=2e-3), name
+
+
+def test_windows_of_any_length_agree_with_one_window(monkeypatch):
+    """Texts up to a window give the tags of a single pass, whatever stands beside them."""
+    w = tiny_model(8)
+    texts = ["call +1 555 010 4477 now", "", "x", "a@b.cd " * 20]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+    together = pii.tags_of(w, codes, ends)
+    for t, a, b in zip(texts, ends, ends[1:]):
+        alone = pii.tags_of(w, codes[a:b], np.array([0, b - a]))
+        assert (alone == together[a:b]).all()
+    monkeypatch.setattr(pii, "GROUP", 1)
+    assert (pii.tags_of(w, codes, ends) == together).all()
+
+
+def test_trained_spans():
+    """The network finds data that the patterns leave out, and leaves plain prose alone."""
+    words = [f"{a}{b} {c}." for a in ("ten", "fol", "mar") for b in ("der", "ing", "ock") for c in ("lo", "mira", "test")]
+    prose = [" ".join(words[i:] + words[:i]) * 4 for i in range(20)]
+    w = pii.unpack(pii.fit([{"text": t} for t in prose]))
+
+    def spans(t):
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        return pii.spans_of(t, pii.tags_of(w, codes, np.array([0, len(codes)])))
+
+    text = prose[0] + " call (327) 555-3642 or mail jo.doe@mail.example.com " + prose[1] * 3
+    got = {(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans(text)}
+    assert ("email", "jo.doe@mail.example.com", True) in got
+    assert ("phone", "(327) 555-3642", False) in got
+    assert not [s for t in prose for s in spans(t * 3)]
+
+
+def test_span_edges(edge, none, quick):
+    rows = {(r.doc_id, r.spans): r for r in pii.personal_data(edge).collect()}
+    eight = next(r for r in rows.values() if r.doc_id == 8)
+    assert (eight.n_email, eight.n_card, eight.n_phone, eight.n_ip) == (1, 1, 1, 0)
+    text = next(r.text for r in edge.collect() if r.doc_id == 8)
+    start = text.index("me@example.org")
+    assert eight.spans.split(",")[0] == f"email:{start}:{start + 14}"
+    assert pii.personal_data(none).count() == 0
+    clean = pii.redacted(edge)
+    assert clean.columns == edge.columns
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert "mail [EMAIL] or [PHONE], card [CARD]." in got[8] and got[4] is None and got[3] == ""
+    assert any(r.text == "a row without an id, from [IP]" for r in clean.collect())
+    assert next(r.n_chars for r in clean.collect() if r.doc_id == 8) == len(got[8])
+
+
+# ---- pages
+
+
+@pytest.fixture(scope="module")
+def field():
+    return html_text.train(html_text.labelled_pages(250))
+
+
+def test_blocks():
+    page = """<!doctype html><head><title>no</title></head><body>lead<!-- a <p> --><script>var t="</p><b>";</script>
+    <p>one &amp; <b>two&lt;three<br>four<p>five&nbsp;six</p></p><ul><li>a<li>b <a href="x>y">link</a></ul>
+    <table><tr><td>c<td>d</table><textarea><p>no</p></textarea>5 < 6 <style>p{}</style>end"""
+    assert [b.text for b in html_text.blocks(page)] == [
+        "lead", "one & two<three four", "five six", "a", "b link", "c", "d", "5 < 6 end"]
+
+
+@pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<p>a", "&amp;&#x41;&bogus;", "<script>never closed <p>x", "<!-- open", "a<b c='>d"])
+def test_odd_markup(page, field):
+    html_text.main_text(page, html_text.unpack(field))
+
+
+def test_field_decodes_the_best_path(field):
+    f = html_text.unpack(field)
+    rows = html_text.features(html_text.blocks(html_text.labelled_pages(1, seed=5)[0][0]))[:9]
+
+    def total(path):
+        s = f.start[path[0]] + sum(f.trans[a, b] for a, b in zip(path, path[1:]))
+        return s + sum(f.weights[f.index[n], k] for r, k in zip(rows, path) for n in r if n in f.index)
+
+    best = max(itertools.product((0, 1), repeat=len(rows)), key=total)
+    assert [int(x) for x in f.decode(rows)] == list(best)
+
+
+def test_unseen_pages_are_cut_right(field):
+    f = html_text.unpack(field)
+    hit = [f.decode(html_text.features(html_text.blocks(p))) == labels for p, labels in html_text.labelled_pages(120, seed=91)]
+    assert np.mean(hit) > 0.9
+
+
+def test_labels_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        html_text.train([("<p>a</p><p>b</p>", [True])])
+
+
+def test_main_text_of_the_tables(spark, field):
+    """The pages of the tables hold their text in an article element."""
+    import html
+
+    pages = read(spark, "pages", SMALL)
+    got = {r.page_id: r for r in html_text.extract(pages, field, ["page_id", "url"]).collect()}
+    same = 0
+    for r in pages.collect():
+        inner = re.search("<article>(.*)</article>", r.html, re.DOTALL)[1]
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", inner)]
+        same += got[r.page_id].text == "\n".join(x for x in parts if x)
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
+    assert same > 0.98 * len(got)
+
+
+def test_page_edges(spark, field):
+    rows = [(1, "u", None, "t"), (None, None, "", None), (2, "v", "<p>" + "long words. " * 20_000, "x"), (2, "v", "<p>", "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = html_text.extract(pages, field, ["page_id", "url"]).collect()
+    assert len(got) == 4 and [r.n_chars for r in got if r.page_id == 1] == [0]
+    assert html_text.extract(pages.limit(0), field, ["page_id", "url"]).count() == 0
+
+
+# ---- secrets
+
+
+def test_secrets_against_written_ones(spark):
+    """Findings of the usual forms that no rule of training marks, next to harmless long strings."""
+    rows, wanted = [], {}
+    rng = np.random.default_rng(2)
+    plain = "der und the of ening lyther con los".split()
+
+    def prose(n):
+        return " ".join(rng.choice(plain, n))
+
+    for k in range(60):
+        value = "".join(rng.choice(list("0123456789abcdef"), 40))
+        good = k % 3 != 0
+        middle = [f"token = \"{value}\"", f"password={value[:18]}", f"build {rng.integers(1e12, 1e13)}"][k % 3 - 1]
+        rows.append((k, f"{prose(9)} {middle} {prose(9)}", "src1"))
+        wanted[k] = int(good)
+    got = {r.doc_id: r.n_secrets for r in secrets.scan(
+        spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert np.mean([got[k] == wanted[k] for k in wanted]) > 0.95
+
+
+def test_secret_edges(edge, none):
+    rows = secrets.scan(edge).collect()
+    assert len(rows) == edge.count()
+    assert all(r.n_candidates == 0 and r.secrets == "" and r.score == 0 for r in rows if r.doc_id in (3, 4, 5, 6))
+    assert next(r for r in rows if r.n_secrets).secrets == "7:9f8e7d6c5b4a39281706"
+    assert secrets.scan(none).count() == 0
