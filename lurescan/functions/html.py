@@ -96,7 +96,7 @@ def _entity_table() -> Column:
 def decode_entities(text: Column) -> Column:
     """Replace ``&name;``, ``&#65;`` and ``&#x41;``; unknown names stay as they are."""
     table = _entity_table()
-    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    reference = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
     def split_name(piece: Column) -> Column:
         return F.struct(
@@ -104,9 +104,9 @@ def decode_entities(text: Column) -> Column:
         )
 
     def numeric(name: Column) -> Column:
-        code = F.when(
-            name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)
-        ).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("bigint")
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        known = F.when(F.length(digits) <= 7, digits)  # longer ones are beyond Unicode
+        code = F.when(name.rlike("^#[xX]"), F.conv(known, 16, 10)).otherwise(known).try_cast("bigint")
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(valid, char).otherwise(F.lit("\ufffd"))

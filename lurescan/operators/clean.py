@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurescan.functions.url import strip
-from lurescan.operators.tables import missing
+from lurescan.operators.tables import attach, join_split_hot, missing
 
 IMBALANCE_LIMIT = 1.5
 
@@ -84,9 +84,8 @@ def drop_missing_cols(df: DataFrame) -> DataFrame:
 def missing_urls(df: DataFrame, other: DataFrame) -> DataFrame:
     """url, label of the rows whose trimmed url is not in ``other``."""
     known = other.select(strip(F.col("url")).alias("url")).distinct()
-    return df.withColumn("url", strip(F.col("url"))).join(known, "url", "left_anti").select(
-        "url", "label"
-    )
+    trimmed = df.select(strip(F.col("url")).alias("url"), "label")
+    return join_split_hot(trimmed, known, "url", "left_anti")
 
 
 def keep_cols(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,10 +103,10 @@ def add_const_col(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def label_mismatch_report(first: DataFrame, second: DataFrame) -> DataFrame:
-    """url, label_first, label_second of joined rows whose labels differ."""
+    """url, label_first, label_second of joined rows whose labels differ; NULL differs from a value."""
     a = normalise(first).select("url", F.col("label").alias("label_first"))
     b = normalise(second).select("url", F.col("label").alias("label_second"))
-    return a.join(b, "url").filter("label_first != label_second")
+    return join_split_hot(a, b, "url", "inner").filter("NOT (label_first <=> label_second)")
 
 
 def merge_on_url(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -120,7 +119,7 @@ def merge_on_url(first: DataFrame, second: DataFrame) -> DataFrame:
     shared = [c for c in a.columns if c in b.columns and c != "url"]
     left = a.withColumnsRenamed({c: f"{c}_first" for c in shared})
     right = b.withColumnsRenamed({c: f"{c}_second" for c in shared})
-    merged = left.join(right, "url")
+    merged = join_split_hot(left, right, "url", "inner")
     if "label" not in shared:
         return merged
     if label_mismatch_report(first, second).isEmpty():
@@ -193,7 +192,7 @@ def class_distribution(df: DataFrame, split: str = "split") -> DataFrame:
     """split, label, n and share within the split."""
     counts = df.groupBy(split, "label").agg(F.count("*").alias("n"))
     totals = counts.groupBy(split).agg(F.sum("n").alias("_total"))
-    return counts.join(totals, split).select(
+    return attach(counts, totals, [split], "inner").select(
         split, "label", "n", (F.col("n") / F.col("_total")).alias("share")
     )
 

@@ -8,27 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurescan.functions import constants as C
-from lurescan.operators.domains import domain_features
+from lurescan.operators.domains import LOOKED_UP, all_values, domain_table, index_record
 from lurescan.operators.page_features import default_page_features
-from lurescan.operators.url_features import url_features
+from lurescan.operators.tables import join_split_hot
+from lurescan.operators.url_features import addresses, decompose, described, report_flag, url_features
 
 NOT_ALIVE = "crawler_not_alive"
 
 
-def crawled_url(df: DataFrame) -> DataFrame:
-    """Use the crawled URL where the page is alive, else keep the requested one."""
-    return df.withColumn(
-        "url",
-        F.when((F.col("is_alive") == 1) & F.col("final_url").isNotNull(), F.col("final_url"))
-        .otherwise(F.col("url")),
-    ).drop("final_url")
+def crawled_url() -> Column:
+    """The crawled URL where the page is alive, else the requested one."""
+    live = (F.col("is_alive") == 1) & F.col("final_url").isNotNull()
+    return F.when(live, F.col("final_url")).otherwise(F.col("url"))
 
 
-def with_page_features(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """Left join of page features by url, defaults where there is no page."""
-    return urls.join(pages.select("url", *C.PAGE_FEATURE_COLUMNS), "url", "left").fillna(
-        default_page_features()
-    )
+def one_page_per_url(pages: DataFrame) -> DataFrame:
+    """A live page before a dead one; among equals the first by a hash of the row."""
+    columns = [c for c in pages.columns if c != "url"]
+    order = F.struct(F.coalesce("is_alive", F.lit(0)), F.xxhash64(*columns))
+    best = F.max_by(F.struct(*columns), order).alias("_page")
+    return pages.filter("url IS NOT NULL").groupBy("url").agg(best).select("url", "_page.*")
+
+
+def url_table(pages: DataFrame, index_status: DataFrame) -> DataFrame:
+    """All that is known of a requested URL: its page, the crawled URL and that URL's index status."""
+    for name, dtype in (("final_url", "string"), ("redirect_chain", "array<string>")):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast(dtype))
+    chosen = pages.select("url", *C.PAGE_FEATURE_COLUMNS, "final_url", "redirect_chain")
+    page = one_page_per_url(chosen).withColumn("_crawled", crawled_url())
+    index = index_record(index_status)
+    of_page = join_split_hot(page, index.withColumnRenamed("url", "_crawled"), "_crawled")
+    of_page = of_page.withColumn("_has_page", F.lit(True))
+    alone = index.join(page.select("url"), "url", "left_anti")
+    return of_page.unionByName(alone, allowMissingColumns=True)
+
+
+def filled_page_features() -> list[Column]:
+    """Page features of a live page as they are, the defaults for a dead page or none."""
+    live = F.coalesce(F.col("_has_page") & (F.col("is_alive") == 1), F.lit(False))
+    defaults = default_page_features()
+    return [F.when(live, F.col(c)).otherwise(F.lit(defaults[c])).alias(c) for c in C.PAGE_FEATURE_COLUMNS]
 
 
 def build_dataset(
@@ -46,13 +66,21 @@ def build_dataset(
     """The 140 columns in dataset order plus ``reason`` (NULL for usable rows).
 
     ``urls`` has url and label; further columns such as a row number are kept in front. ``pages``
-    holds the page features by url.
+    holds the page features by requested url, and if known ``final_url`` and ``redirect_chain``. All
+    other features are those of the crawled URL of a live page. The rows are joined once by url and
+    once by domain, before the URL features make them wide.
     """
     extra = [c for c in urls.columns if c not in ("url", "label")]
-    lexical = url_features(urls, brands, dns_snapshot, suffix_rules)
-    enriched = domain_features(
-        with_page_features(lexical, pages), registry, dns_ns, index_status, domain_rank, as_of
-    )
+    paged = join_split_hot(urls, url_table(pages, index_status), "url")
+    paged = paged.withColumn("url", F.coalesce("_crawled", "url"))
+    known = domain_table(registry, dns_ns, domain_rank, addresses(dns_snapshot))
+    joined = join_split_hot(decompose(paged, "url", suffix_rules), known, "domain")
+    columns = [c for c in joined.columns if c not in C.PAGE_FEATURE_COLUMNS]
+    full = joined.select(
+        *columns, *filled_page_features(), *[c.alias(k) for k, c in all_values(as_of).items()],
+        report_flag().alias("has_statistical_report"),
+    ).drop(*LOOKED_UP, "_ip")
+    enriched = described(full, brands, "redirect_chain")
     reason = F.coalesce("skip_reason", F.when(F.col("is_alive") == 0, NOT_ALIVE))
     return enriched.select(
         *extra,

@@ -1,8 +1,8 @@
 """Domain features from snapshot tables instead of live lookups.
 
-Snapshots hold one row per domain. Facts join them on the domain; a domain with many pages is a
-skewed key of the large side only, which adaptive execution splits because the other side is
-unique. ``lookup_status = 'timeout'`` in a snapshot gives the feature's timeout value.
+Snapshots hold one row per domain. They are combined into one table per domain, which the facts join
+once; a domain with many pages is spread over several tasks. ``lookup_status = 'timeout'`` in a
+snapshot gives the feature's timeout value.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurescan.operators.tables import join_split_hot
+
 DAY_SECONDS = 86_400
 
 # --- fixed values: result of a lookup that ran into its deadline ---------------------------------
@@ -29,22 +31,26 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.floor(seconds).cast("int")
 
 
-def registry_features(df: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
-    """whois_reg_domain, domain_reg_len and domain_age.
+def _status(snapshot: DataFrame) -> Column:
+    return F.col("lookup_status") if "lookup_status" in snapshot.columns else F.lit("ok")
 
-    ``registry`` has domain, domain_names, creation_dates and expiration_dates (arrays; one date is
-    an array of one), all in UTC, and optionally lookup_status.
-    """
-    status = F.col("lookup_status") if "lookup_status" in registry.columns else F.lit("ok")
-    record = registry.select(
+
+def registry_record(registry: DataFrame) -> DataFrame:
+    """What the registry says of a domain; ``registry`` has domain, domain_names, creation_dates and
+    expiration_dates (arrays; one date is an array of one), all in UTC, and optionally lookup_status."""
+    return registry.select(
         "domain",
         F.col("domain_names").alias("_names"),
         F.array_min(known_dates(F.col("creation_dates"))).alias("_created"),
         F.array_min(known_dates(F.col("expiration_dates"))).alias("_expires"),
-        status.alias("_status"),
+        _status(registry).alias("_registry_status"),
         F.lit(True).alias("_known"),
     )
-    unknown, late = F.col("_known").isNull(), F.col("_status") == "timeout"
+
+
+def registry_values(as_of: Column) -> dict[str, Column]:
+    """whois_reg_domain, domain_reg_len and domain_age from a registry record."""
+    unknown, late = F.col("_known").isNull(), F.col("_registry_status") == "timeout"
     age = whole_days(as_of, F.col("_created"))
     left = whole_days(F.col("_expires"), as_of)
     named = F.exists("_names", lambda n: F.col("domain").contains(F.lower(n)))
@@ -54,70 +60,74 @@ def registry_features(df: DataFrame, registry: DataFrame, as_of: Column) -> Data
             F.when(unknown, without_record).when(late, TIMEOUT_VALUES[name]).otherwise(value)
         ).cast("int")
 
-    return (
-        df.join(record, "domain", "left")
-        .withColumns(
-            {
-                "whois_reg_domain": feature(
-                    "whois_reg_domain", 1, F.when(F.coalesce(named, F.lit(False)), 0).otherwise(1)
-                ),
-                "domain_reg_len": feature(
-                    "domain_reg_len", -1, F.greatest(F.coalesce(left, F.lit(0)), F.lit(0))
-                ),
-                "domain_age": feature("domain_age", -1, F.when(age >= 0, age).otherwise(-2)),
-            }
-        )
-        .drop("_names", "_created", "_expires", "_status", "_known")
-    )
+    return {
+        "whois_reg_domain": feature(
+            "whois_reg_domain", 1, F.when(F.coalesce(named, F.lit(False)), 0).otherwise(1)
+        ),
+        "domain_reg_len": feature(
+            "domain_reg_len", -1, F.greatest(F.coalesce(left, F.lit(0)), F.lit(0))
+        ),
+        "domain_age": feature("domain_age", -1, F.when(age >= 0, age).otherwise(-2)),
+    }
 
 
-def _lookup(
-    df: DataFrame, snapshot: DataFrame, key: str, value: str, features: dict[str, Column]
-) -> DataFrame:
-    """Left join of one snapshot value with the timeout rule applied to each feature."""
-    status = F.col("lookup_status") if "lookup_status" in snapshot.columns else F.lit("ok")
-    found = snapshot.select(key, F.col(value).alias("_value"), status.alias("_status"))
-    late = F.col("_status") == "timeout"
-    return (
-        df.join(found, key, "left")
-        .withColumns(
-            {
-                name: F.when(late, TIMEOUT_VALUES.get(name, 0)).otherwise(column).cast("int")
-                for name, column in features.items()
-            }
-        )
-        .drop("_value", "_status")
-    )
+def lookup_record(snapshot: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """A looked-up value and its status under names of their own."""
+    return snapshot.select(key, F.col(value).alias(f"_{name}"), _status(snapshot).alias(f"_{name}_status"))
+
 
+def lookup_values(name: str, features: dict[str, Column]) -> dict[str, Column]:
+    """The timeout rule applied to features of a looked-up value."""
+    late = F.col(f"_{name}_status") == "timeout"
+    return {
+        feature: F.when(late, TIMEOUT_VALUES.get(feature, 0)).otherwise(column).cast("int")
+        for feature, column in features.items()
+    }
 
-def dns_feature(df: DataFrame, dns_ns: DataFrame) -> DataFrame:
+
+def server_values() -> dict[str, Column]:
     """dns_record: 0 with a name server, 1 without."""
-    return _lookup(
-        df, dns_ns, "domain", "ns_count", {"dns_record": F.when(F.col("_value") > 0, 0).otherwise(1)}
-    )
+    return lookup_values("servers", {"dns_record": F.when(F.col("_servers") > 0, 0).otherwise(1)})
 
 
-def index_feature(df: DataFrame, index_status: DataFrame) -> DataFrame:
+def index_values() -> dict[str, Column]:
     """google_index per URL: 0 indexed, -1 blocked, 1 otherwise."""
-    status = F.col("_value")
+    status = F.col("_index")
     value = F.when(status == "indexed", 0).when(status == "blocked", -1).otherwise(1)
-    return _lookup(df, index_status, "url", "status", {"google_index": value})
+    return lookup_values("index", {"google_index": value})
 
 
-def rank_features(df: DataFrame, domain_rank: DataFrame) -> DataFrame:
+def rank_values() -> dict[str, Column]:
     """page_rank and global_rank (-1 if absent) and web_traffic (0 if absent)."""
-    rank = F.col("_value")
-    return _lookup(
-        df,
-        domain_rank,
-        "domain",
-        "rank",
-        {
-            "page_rank": F.coalesce(rank, F.lit(-1)),
-            "global_rank": F.coalesce(rank, F.lit(-1)),
-            "web_traffic": F.coalesce(rank, F.lit(0)),
-        },
-    )
+    rank = F.col("_rank")
+    return lookup_values("rank", {
+        "page_rank": F.coalesce(rank, F.lit(-1)),
+        "global_rank": F.coalesce(rank, F.lit(-1)),
+        "web_traffic": F.coalesce(rank, F.lit(0)),
+    })
+
+
+def index_record(index_status: DataFrame) -> DataFrame:
+    return lookup_record(index_status, "url", "status", "index")
+
+
+def domain_table(registry: DataFrame, dns_ns: DataFrame, domain_rank: DataFrame, *more: DataFrame) -> DataFrame:
+    """One row per domain with all that the snapshots know of it.
+
+    The records are put under each other and combined by one aggregate instead of a chain of joins.
+    ``more`` are further tables with a domain and columns of their own.
+    """
+    records = [
+        registry_record(registry),
+        lookup_record(dns_ns, "domain", "ns_count", "servers"),
+        lookup_record(domain_rank, "domain", "rank", "rank"),
+        *more,
+    ]
+    stacked = records[0]
+    for record in records[1:]:
+        stacked = stacked.unionByName(record, allowMissingColumns=True)
+    known = [F.first(c, ignorenulls=True).alias(c) for c in stacked.columns if c != "domain"]
+    return stacked.filter("domain IS NOT NULL").groupBy("domain").agg(*known)
 
 
 def domains_to_look_up(df: DataFrame, *snapshots: DataFrame) -> DataFrame:
@@ -136,7 +146,16 @@ def domain_features(
     domain_rank: DataFrame,
     as_of: Column,
 ) -> DataFrame:
-    """All domain columns for rows with ``url`` and ``domain``."""
-    by_registry = registry_features(df, registry, as_of)
-    by_dns = dns_feature(by_registry, dns_ns)
-    return rank_features(index_feature(by_dns, index_status), domain_rank)
+    """All domain columns for rows with ``url`` and ``domain``: one join by domain, one by url."""
+    by_domain = join_split_hot(df, domain_table(registry, dns_ns, domain_rank), "domain")
+    joined = join_split_hot(by_domain, index_record(index_status), "url")
+    return joined.select("*", *[c.alias(k) for k, c in all_values(as_of).items()]).drop(*LOOKED_UP)
+
+
+LOOKED_UP = (
+    "_names _created _expires _registry_status _known _servers _servers_status _index _index_status _rank _rank_status"
+).split()
+
+
+def all_values(as_of: Column) -> dict[str, Column]:
+    return registry_values(as_of) | server_values() | index_values() | rank_values()

@@ -170,7 +170,7 @@ def score_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(counts, ["label", "bin"], "left").select(
+    return attach(grid, counts, ["label", "bin"]).select(
         "label",
         "bin",
         (F.col("_low") + F.col("bin") * F.col("_width") / bins).alias("lower"),

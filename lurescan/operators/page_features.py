@@ -304,6 +304,11 @@ def page_features(pages: DataFrame, as_of_year: int) -> DataFrame:
     return filled.select("page_id", "url", *C.PAGE_FEATURE_COLUMNS, "error_reason")
 
 
+def redirect_detected(requested: Column, final: Column) -> Column:
+    """1 where the crawl ended at another URL than the requested one, or nowhere."""
+    return F.when(requested.eqNullSafe(F.coalesce(final, F.lit(""))), 0).otherwise(1)
+
+
 def first_alive_candidate(
     requests: DataFrame, snapshot: DataFrame, key: str, requested: str
 ) -> DataFrame:

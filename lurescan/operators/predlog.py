@@ -23,6 +23,9 @@ PAGE_SIZE = 10
 # --- fixed values: request defaults ----------------------------------------------------------------
 REQUEST_DEFAULTS = {"model": "xgb", "threshold": 0.5, "scan_mode": "full"}
 
+#: Error of a usable request whose scorer gave no result.
+FAILED = "Scoring failed"
+
 LOG_COLUMNS = ["doc_id", "url", "original_url", "model", "pred", "proba", "created_us"]
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -54,9 +57,10 @@ def normalise_requests(
 
 
 def upsert(log: DataFrame, rows: DataFrame, stamp: str = "created_us") -> DataFrame:
-    """Keyed put: the newest row per doc_id wins."""
-    both = log.unionByName(rows, allowMissingColumns=True)
-    newest = F.max_by(F.struct(*both.columns), F.col(stamp)).alias("_row")
+    """Keyed put: the newest row per doc_id wins, among equally new ones the put row, then by a hash."""
+    both = log.withColumn("_put", F.lit(0)).unionByName(rows.withColumn("_put", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "_put"]
+    newest = F.max_by(F.struct(*columns), F.struct(stamp, "_put", F.xxhash64(*columns))).alias("_row")
     return both.groupBy("doc_id").agg(newest).select("_row.*")
 
 
@@ -72,7 +76,10 @@ def first_requests(requests: DataFrame, order: str, columns: Sequence[str]) -> D
 
 
 def score_requests(requests: DataFrame, scorer: Scorer, created_us: Column) -> DataFrame:
-    """Log rows for requests: the scorer adds proba, the request's threshold decides."""
+    """Log rows for requests: the scorer adds proba, the request's threshold decides.
+
+    A scorer that fails gives NULL; such rows have no verdict and must not be stored.
+    """
     return scorer(requests).select(
         "doc_id",
         "url",
@@ -92,31 +99,40 @@ def rows_to_score(
     requests: DataFrame, log: DataFrame, scorer: Scorer, as_of_us: Column,
     ttl_seconds: int = TTL_SECONDS,
 ) -> DataFrame:
-    """New log rows for a batch of requests at one moment: one per missing or expired key."""
+    """New log rows for a batch of requests at one moment: one per missing or expired key.
+
+    A key whose scoring failed has no row, so the next batch tries it again.
+    """
     live = live_rows(log, as_of_us, ttl_seconds).select("doc_id")
-    missed = requests.filter("error IS NULL").join(live, "doc_id", "left_anti")
-    return score_requests(first_requests(missed, "request_id", _REQUEST), scorer, as_of_us)
+    missed = join_split_hot(requests.filter("error IS NULL"), live, "doc_id", "left_anti")
+    scored = score_requests(first_requests(missed, "request_id", _REQUEST), scorer, as_of_us)
+    return scored.filter("pred IS NOT NULL")
 
 
 def responses(
     requests: DataFrame, log: DataFrame, new_rows: DataFrame, as_of_us: Column,
     ttl_seconds: int = TTL_SECONDS,
 ) -> DataFrame:
-    """One row per request: its own url, the stored or new verdict, cached, error."""
+    """One row per request: its own url, the stored or new verdict, cached, error.
+
+    A usable request without a verdict is a failed scoring.
+    """
     stored = live_rows(log, as_of_us, ttl_seconds).select(
         "doc_id", "pred", "proba", F.lit(None).cast("bigint").alias("_scored_by")
     )
     fresh = new_rows.select("doc_id", "pred", "proba", F.col("request_id").alias("_scored_by"))
     verdicts = stored.unionByName(fresh)
     usable = F.when(F.col("error").isNull(), F.col("doc_id"))
-    answered = requests.withColumn("doc_id", usable).join(verdicts, "doc_id", "left")
+    answered = join_split_hot(requests.withColumn("doc_id", usable), verdicts, "doc_id")
     cached = F.col("_scored_by").isNull() | (F.col("_scored_by") != F.col("request_id"))
-    return answered.withColumn(
-        "cached", F.when(F.col("error").isNull(), cached.cast("int"))
-    ).drop("_scored_by")
+    failed = F.col("error").isNull() & F.col("pred").isNull()
+    return answered.withColumns({
+        "cached": F.when(F.col("error").isNull() & ~failed, cached.cast("int")),
+        "error": F.when(failed, FAILED).otherwise(F.col("error")),
+    }).drop("_scored_by")
 
 
-def materialised_visits(visits: DataFrame) -> tuple[DataFrame, list]:
+def materialised_visits(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys and times of the visits, stored so that no round derives them again, and hot keys."""
     stored = cut_lineage(visits.select("doc_id", "request_id", "ts_us"))
     return stored, hot_keys(stored, "doc_id")
@@ -126,7 +142,7 @@ def scoring_schedule(
     visits: DataFrame,
     log: DataFrame | None = None,
     ttl_seconds: int = TTL_SECONDS,
-    hot: list | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The visits that must be scored: per key the first, then each first one after expiry.
 
@@ -174,11 +190,22 @@ def list_logs(log: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered.limit(limit) if limit and limit > 0 else ordered
 
 
-def update_logs(log: DataFrame, updates: DataFrame, as_of_us: Column) -> DataFrame:
-    """Apply ``updates(doc_id, pred, is_verified)`` and stamp updated_us; NULL means unchanged."""
-    changes = updates.filter("pred IS NOT NULL OR is_verified IS NOT NULL").select(
-        "doc_id", F.col("pred").alias("_pred"), F.col("is_verified").alias("_verified"),
-        as_of_us.alias("_at"),
+def update_logs(log: DataFrame, updates: DataFrame, as_of_us: Column, order: str | None = None) -> DataFrame:
+    """Apply ``updates(doc_id, pred, is_verified)`` and stamp updated_us; NULL means unchanged.
+
+    Several updates of one id are applied in the rising order of the column ``order``: each field
+    gets its last value. Without such a column, or on a tie, the larger value is the last one.
+    """
+    at = F.col(order) if order else F.lit(0)
+
+    def last(column: str) -> Column:
+        return F.max(F.when(F.col(column).isNotNull(), F.struct(at.alias("at"), F.col(column).alias("value"))))["value"]
+
+    changes = (
+        updates.filter("doc_id IS NOT NULL AND (pred IS NOT NULL OR is_verified IS NOT NULL)")
+        .groupBy("doc_id")
+        .agg(last("pred").alias("_pred"), last("is_verified").alias("_verified"))
+        .withColumn("_at", as_of_us)
     )
     for column, dtype in [("is_verified", "boolean"), ("updated_us", "bigint")]:
         if column not in log.columns:

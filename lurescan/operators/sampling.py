@@ -1,9 +1,10 @@
 """Reproducible splits and samples.
 
-Rows are ordered by ``md5(key, seed)``. A quota per class is met by a threshold on that hash, found
-in two small steps: counts per hash prefix, then the rows of the one prefix that holds the cut. The
-choice itself is a filter, so a class with most of the rows is never sorted or shuffled as a whole.
-The key must be unique.
+Rows are ordered by ``md5(key, seed)``, rows of one key by a hash of the whole row. A quota per class
+is met by a threshold on that order, found in two small steps: counts per hash prefix, then the rows
+of the one prefix that holds the cut. The choice itself is a filter, so a class with most of the rows
+is never sorted or shuffled as a whole. NULL is a class of its own. Only rows that are equal in every
+column cannot be told apart; they are chosen together.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ PREFIX_DIGITS = 5
 
 
 def order_hash(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def mark_by_quota(
@@ -28,7 +29,9 @@ def mark_by_quota(
 ) -> DataFrame:
     """Add ``picked``: the rows with the smallest hashes, ``quota(class size)`` of each class."""
     classes = F.col(by) if by else F.lit(0)
-    hashed = df.withColumns({"_class": classes, "_hash": order_hash(key, seed)})
+    plain = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    whole = F.lpad(F.hex(F.xxhash64(*plain)), 16, "0")
+    hashed = df.withColumns({"_class": classes, "_hash": F.concat(order_hash(key, seed), whole)})
     keyed = hashed.select("_class", "_hash", F.substring("_hash", 1, PREFIX_DIGITS).alias("_prefix"))
 
     counts = keyed.groupBy("_class", "_prefix").agg(F.count("*").alias("_n"))
@@ -82,6 +85,16 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(order_hash(key, seed), key)
 
 
+def shuffled_positions(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Add ``position``, from 1, in the order of :func:`shuffled`.
+
+    The parts of the order are ranges of the hash; each is numbered on its own.
+    """
+    placed = df.withColumn("_hash", order_hash(key, seed))
+    numbered = with_row_number(placed, "_hash", "position", ties=[key])
+    return numbered.withColumn("position", F.col("position") + 1).drop("_hash")
+
+
 def sample_exactly(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows; all rows if there are fewer."""
     quota = lambda total: F.least(total, F.lit(n))
@@ -114,10 +127,9 @@ def second_sample(
 
 def last_rows_split(df: DataFrame, order: str, share: float = 0.15) -> DataFrame:
     """Add ``split``: the last rows in the order of a distinct numeric column are validation."""
-    keys = df.select(order)
-    n = keys.count()
-    at = int(n * (1 - share))
-    first = with_row_number(keys, order).filter(F.col("row_idx") == at).agg(F.min(order)).scalar()
+    numbered = with_row_number(df.select(order), order)
+    counted = numbered.agg(F.floor(F.count("*") * F.lit(1 - share)).alias("at")).scalar()
+    first = numbered.filter(F.col("row_idx") == counted).agg(F.min(order)).scalar()
     return df.withColumn(
         "split",
         F.when(F.coalesce(F.col(order) >= first, F.lit(False)), "validation").otherwise("train"),

@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
+ROWS_PER_TASK = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder, which it then sets.
+    The cluster names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Only a local session
+    may fall back to a temporary folder, which it then sets.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -46,113 +46,90 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_values(df: DataFrame, limit: int) -> list[str] | None:
-    """Distinct values of the first column, or None if there are more than ``limit``."""
-    column = df.columns[0]
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().take(limit + 1)
-    return [r[0] for r in rows] if len(rows) <= limit else None
+#: Rows without a key are dealt over so many values.
+NULL_SALTS = 1 << 20
 
 
-def attach(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = SMALL_ROWS
-) -> DataFrame:
-    """Join with a per-group table: broadcast if it has at most ``limit`` rows, else shuffled."""
-    rows = small.take(limit + 1)
-    if len(rows) > limit:
-        return big.join(small, list(on), how)
-    local = small.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(local), list(on), how)
+def same(*columns: str) -> Column:
+    """Null-safe equality of ``left`` and ``right`` on the columns."""
+    match = F.lit(True)
+    for c in columns:
+        match = match & F.col(f"left.{c}").eqNullSafe(F.col(f"right.{c}"))
+    return match
+
 
+def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join with a per-group table; NULL is a group like any other.
 
-def hot_keys(df: DataFrame, key: str, parts: int = 100) -> list:
-    """Keys with more than 1/``parts`` of the rows; there are fewer than ``parts`` of them."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    limit = counts.agg((F.sum("_n") / parts).alias("_limit")).scalar()
-    hot = counts.filter((F.col("_n") > limit) & F.col(key).isNotNull())
-    return [row[key] for row in hot.select(key).collect()]
+    The table has one row per group. Adaptive execution broadcasts it by its real size, or splits
+    a group with many rows.
+    """
+    added = [c for c in small.columns if c not in on]
+    joined = big.alias("left").join(small.alias("right"), same(*on), how)
+    return joined.select("left.*", *[F.col(f"right.{c}") for c in added])
 
 
-SALTS = 64
+def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``_hot, _salts``: the keys with more rows than a task should get, and the tasks they need.
+
+    There are fewer than rows / ``rows_per_task`` of them.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    hot = counts.filter(F.col("_n") > rows_per_task)
+    return cut_lineage(hot.select("_hot", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
 
 
 def join_split_hot(
     big: DataFrame, small: DataFrame, key: str, how: str = "left", condition: Column | None = None,
-    hot: list | None = None,
+    hot: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Equi join on one key with the hot keys of ``big`` spread over salts.
+    """Equi join on one key with the rows of a hot key of ``big`` spread over as many tasks as it needs.
 
-    The rows of a hot key are spread by their hash, and its few rows of ``small`` are repeated once
-    per salt; there are fewer than a hundred hot keys. All other keys are joined as they are, and
-    either side is computed once. This does not rely on adaptive execution, which streams may
-    switch off. ``condition`` may restrict the pairs further; columns other than the key must
-    differ. ``hot`` passes keys that are known already.
+    The rows of a hot key are spread by a hash, and its few rows of ``small`` are repeated once per
+    salt. Rows without a key match nothing and are spread over all tasks. This does not rely on adaptive
+    execution, which streams may switch off. ``condition`` may restrict the pairs further; columns
+    other than the key must differ. ``hot`` passes the table of :func:`hot_keys` if it is known.
     """
-    hot = hot_keys(big, key) if hot is None else hot
-    other = small.withColumnRenamed(key, "_join_key")
-    match = F.col(key) == F.col("_join_key")
-    if hot:
-        spread_over = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
-        big = big.withColumn("_salt", F.when(F.col(key).isin(hot), spread_over).otherwise(0))
-        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        copies = F.when(F.col("_join_key").isin(hot), salts).otherwise(F.array(F.lit(0)))
-        other = other.withColumn("_small_salt", F.explode(copies))
-        match = match & (F.col("_salt") == F.col("_small_salt"))
+    if how not in ("left", "inner", "left_anti"):
+        raise ValueError(f"unsupported join {how}")
+    hot = F.broadcast(hot_keys(big, key, rows_per_task) if hot is None else hot)
+    plain = [f.name for f in big.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    salts = F.when(F.col(key).isNull(), NULL_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*plain), salts).cast("int")
+    ).drop("_hot", "_salts")
+    other = small.withColumnRenamed(key, "_join_key").filter(F.col("_join_key").isNotNull())
+    other = other.join(hot, F.col("_join_key") == F.col("_hot"), "left")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    other = other.withColumn("_small_salt", F.explode(copies)).drop("_hot", "_salts")
+    match = (F.col(key) == F.col("_join_key")) & (F.col("_salt") == F.col("_small_salt"))
     if condition is not None:
         match = match & condition
-    return big.join(other, match, how).drop("_join_key", "_salt", "_small_salt")
+    return salted.join(other, match, how).drop("_join_key", "_salt", "_small_salt")
 
 
-def ordered_part(df: DataFrame, column: str, pieces: int, fine: int) -> Column:
-    """Number of the part a value falls into; parts are ordered like the values.
+def ordered_parts(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``_part``: ranges of a column with about ``rows_per_task`` rows each, in its order.
 
-    The value range is cut at approximate quantiles, and each piece between two cuts into ``fine``
-    equal widths. The cuts become literals of a search tree, so the parts are the same however
-    often and wherever the expression runs. NULL gets part -1.
+    Spark's range partitioner finds the cuts from a sample of every split. The result is stored, so
+    that every reader sees the same parts. NULL comes first.
     """
-    x = f"CAST(`{column}` AS DOUBLE)"
-    shares = ", ".join(str(i / pieces) for i in range(1, pieces))
-    row = df.selectExpr(
-        f"min({x}) AS low", f"max({x}) AS high",
-        f"percentile_approx({x}, array({shares}), 10000) AS cuts",
-    ).first()
-    if row["low"] is None:
-        return F.lit(-1)
-    edges = sorted({row["low"], *(row["cuts"] or []), row["high"]})
-    if len(edges) == 1:
-        edges = [edges[0], edges[0] + 1.0]
-
-    def literal(value: float) -> str:
-        return f"CAST('{value!r}' AS DOUBLE)"
-
-    def tree(low: int, high: int) -> str:
-        if high - low == 1:
-            width = literal(edges[high] - edges[low])
-            step = f"CAST(floor(({x} - {literal(edges[low])}) / {width} * {fine}) AS INT)"
-            return f"{low * fine} + least({fine - 1}, {step})"
-        middle = (low + high) // 2
-        return (
-            f"CASE WHEN {x} < {literal(edges[middle])} THEN {tree(low, middle)} "
-            f"ELSE {tree(middle, high)} END"
-        )
-
-    return F.expr(f"CASE WHEN `{column}` IS NULL THEN -1 ELSE {tree(0, len(edges) - 1)} END")
+    parts = max(1, -(-df.count() // rows_per_task))
+    ranged = df.repartitionByRange(parts, F.col(order).asc_nulls_first())
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
 
 
 def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: dict[str, str],
-    descending: bool = False,
-    pieces: int = 64,
-    fine: int = 64,
+    df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, rows_per_task: int = ROWS_PER_TASK,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Running sums over a globally ordered, distinct numeric column.
+    """Running sums over a globally ordered column; ``ties`` order the rows of one value.
 
-    Each part of the order (see :func:`ordered_part`) is summed on its own, and the totals of the
+    Each part of the order (see :func:`ordered_parts`) is summed on its own, and the totals of the
     parts before it are added. No task sees more than one part; the totals are one row per part.
     ``<name>_total`` holds the sum over all rows.
     """
-    numbered = df.withColumn("_part", ordered_part(df, order, pieces, fine))
+    numbered = ordered_parts(df, order, rows_per_task)
     totals = numbered.groupBy("_part").agg(
         *[F.sum(source).alias(f"_before_{name}") for name, source in sums.items()]
     )
@@ -168,9 +145,9 @@ def running_totals(
         *[F.sum(f"_before_{name}").over(everything).alias(f"{name}_total") for name in sums],
     )
     inner = W.partitionBy("_part").orderBy(
-        F.col(order).desc() if descending else F.col(order).asc()
+        F.col(order).desc() if descending else F.col(order).asc(), *ties
     ).rowsBetween(W.unboundedPreceding, 0)
-    # at most pieces * fine + 1 rows
+    # one row per part
     joined = numbered.join(F.broadcast(offsets), "_part")
     return joined.select(
         *df.columns,
@@ -182,9 +159,9 @@ def running_totals(
     )
 
 
-def with_row_number(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:
-    """0-based global position by a distinct numeric order column."""
-    numbered = running_totals(df.withColumn("_one", F.lit(1)), order, {"_n": "_one"})
+def with_row_number(df: DataFrame, order: str, name: str = "row_idx", ties: Sequence[str] = ()) -> DataFrame:
+    """0-based global position by an order column; ``ties`` order the rows of one value."""
+    numbered = running_totals(df.withColumn("_one", F.lit(1)), order, {"_n": "_one"}, ties=ties)
     return numbered.withColumn(name, F.col("_n") - 1).drop("_one", "_n", "_n_total")
 
 

@@ -14,7 +14,8 @@ from lurescan.operators.tables import join_split_hot
 
 VECTOR_SIZE = 50
 SEQUENCE_LENGTH = 200
-INLINE_VOCABULARY = 20_000
+#: Tokens of a training partition; Word2Vec averages the partitions' vectors after each round.
+TOKENS_PER_PARTITION = 10_000_000
 
 # --- fixed values: chat example texts -------------------------------------------------------------
 SYSTEM_TEXT = "You are a cybersecurity assistant that classifies URLs as phishing or benign."
@@ -41,10 +42,17 @@ def truncated(tokens: Column, length: int) -> Column:
     return F.slice(tokens, F.lit(1), F.lit(length))
 
 
-def word2vec_fit(df: DataFrame, tokens: str = "tokens", epochs: int = 15) -> Word2VecModel:
-    """Skip-gram vectors of size 50, window 5, every token kept (5 plus 10 epochs)."""
+def word2vec_fit(df: DataFrame, tokens: str = "tokens", epochs: int = 15, min_count: int = 1) -> Word2VecModel:
+    """Skip-gram vectors of size 50, window 5 (5 plus 10 epochs); every token kept by default.
+
+    The vocabulary lives on the driver, so a large corpus needs a higher ``min_count``. Token lists are
+    not cut, and the training partitions follow from the number of tokens.
+    """
+    sizes = df.agg(F.sum(F.size(tokens)).alias("all"), F.max(F.size(tokens)).alias("longest")).first()
     return Word2Vec(
-        vectorSize=VECTOR_SIZE, windowSize=5, minCount=1, maxIter=epochs, seed=42,
+        vectorSize=VECTOR_SIZE, windowSize=5, minCount=min_count, maxIter=epochs, seed=42,
+        maxSentenceLength=max(1, sizes["longest"] or 1),
+        numPartitions=max(1, -(-(sizes["all"] or 0) // TOKENS_PER_PARTITION)),
         inputCol=tokens, outputCol="vector",
     ).fit(df)
 
@@ -61,8 +69,8 @@ def url_vectors(
 ) -> DataFrame:
     """Mean vector of the known tokens per row, zeros without any.
 
-    Frequent tokens (a scheme, ``www``) fill most rows, so they are joined by broadcast and only
-    the rest is shuffled. The mean is combined before the second shuffle.
+    Frequent tokens (a scheme, ``www``) fill most rows, so their rows are spread over several tasks.
+    The mean is combined before the second shuffle.
     """
     long = df.select(key, F.explode_outer(tokens).alias("token"))
     known = join_split_hot(long, vectors, "token")
@@ -96,28 +104,21 @@ def _padded(ids: Column) -> Column:
     return F.slice(F.concat(ids, zeros), 1, SEQUENCE_LENGTH)
 
 
-def char_sequences(
-    df: DataFrame, vocabulary: DataFrame, key: str, url: str = "url"
-) -> DataFrame:
-    """Add ``sequence``: ids of the known characters, cut to 200 and padded with 0 at the end."""
-    rows = vocabulary.select("char", "id").orderBy("id").take(INLINE_VOCABULARY + 1)
+def char_sequences(df: DataFrame, vocabulary: DataFrame, url: str = "url") -> DataFrame:
+    """Add ``sequence``: ids of the known characters, cut to 200 and padded with 0 at the end.
+
+    The vocabulary is one value in the plan: its characters as a string and their ids, in the same
+    order. Unicode bounds it. Each row is mapped on its own.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("id", "char")))
+    known = vocabulary.agg(F.struct(
+        F.array_join(F.transform(listed, lambda x: x["char"]), "").alias("chars"),
+        F.transform(listed, lambda x: x["id"]).alias("ids"),
+    )).scalar()
     chars = F.split(sequence_text(F.col(url)), "")
-    if len(rows) <= INLINE_VOCABULARY and [r["id"] for r in rows] == list(range(1, len(rows) + 1)):
-        # the vocabulary as one string: the id of a character is its position
-        alphabet = F.lit("".join(r["char"] for r in rows))
-        ids = F.transform(chars, lambda c: F.when(c != "", F.position(c, alphabet)).otherwise(0))
-        return df.withColumn("sequence", _padded(F.filter(ids, lambda i: i > 0)))
-    long = df.select(key, F.posexplode(chars).alias("pos", "char"))
-    known = long.join(vocabulary.select("char", "id"), "char")
-    # the window limit keeps 200 rows per key before the shuffle
-    first = known.withColumn(
-        "_rank", F.row_number().over(W.partitionBy(key).orderBy("pos"))
-    ).filter(F.col("_rank") <= SEQUENCE_LENGTH)
-    ids = first.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids")
-    )
-    listed = F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>"))
-    return df.join(ids, key, "left").withColumn("sequence", _padded(listed)).drop("_ids")
+    places = F.transform(chars, lambda c: F.when(c != "", F.position(c, F.col("_known.chars"))).otherwise(0))
+    ids = F.transform(F.filter(places, lambda p: p > 0), lambda p: F.get("_known.ids", p - 1))
+    return df.withColumn("_known", known).withColumn("sequence", _padded(ids)).drop("_known")
 
 
 def chat_messages(url: Column, label: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The URL feature job: one projection, joins only for tables too large to inline."""
+"""The URL feature job: one projection; snapshots join by domain with hot domains split."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lurescan.functions import constants as C
 from lurescan.functions import url as U
-from lurescan.operators.tables import small_values
+from lurescan.operators.tables import join_split_hot
 
-INLINE_BRANDS = 10_000
+#: A brand list is a parameter of the plan; a longer one is refused.
+MOST_BRANDS = 100_000
 
 
 def decompose(
@@ -116,19 +117,24 @@ def _interior_segments(path: Column) -> Column:
     return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
 
 
+def brand_names(brands: Sequence[str] | DataFrame) -> list[str]:
+    """Distinct brand names of a list or a table; more than ``MOST_BRANDS`` are an error."""
+    if isinstance(brands, DataFrame):
+        rows = brands.select(F.col(brands.columns[0]).alias("b")).filter("b IS NOT NULL").distinct()
+        names = [r["b"] for r in rows.limit(MOST_BRANDS + 1).collect()]
+    else:
+        names = list(brands)
+    if len(names) > MOST_BRANDS:
+        raise ValueError(f"more than {MOST_BRANDS} brands")
+    return sorted(names)
+
+
 def brand_features(df: DataFrame, brands: Sequence[str] | DataFrame) -> DataFrame:
     """has_domain_in_brand, has_brand_in_path and has_brand_in_subdomain.
 
-    A short brand list is inlined as a hash set, so nothing is shuffled. A longer one is joined on
-    equal words: only the distinct (word, domain) pairs that can hit travel.
+    The brands are a hash set inside the projection, so nothing is shuffled.
     """
-    names = brands if not isinstance(brands, DataFrame) else small_values(brands, INLINE_BRANDS)
-    if names is not None:
-        return _brand_features_inline(df, list(names))
-    return _brand_features_joined(df, brands)
-
-
-def _brand_features_inline(df: DataFrame, names: list[str]) -> DataFrame:
+    names = brand_names(brands)
     listed = ", ".join(U.sql_text(n) for n in names) or "NULL"
 
     def hit(pieces: str) -> str:
@@ -152,55 +158,6 @@ def _brand_features_inline(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _dotted_runs(pieces: Column, longest: int) -> Column:
-    """Runs of 1 to ``longest`` neighbouring pieces joined by dots (brand names may hold dots)."""
-    n = F.size(pieces)
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def runs_of(k: int) -> Column:
-        starts = F.filter(positions, lambda i: i + k - 1 <= n)
-        return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(k)), "."))
-
-    return F.concat(*[runs_of(k) for k in range(1, longest + 1)])
-
-
-def _brand_features_joined(df: DataFrame, brands: DataFrame) -> DataFrame:
-    brand = brands.select(F.col(brands.columns[0]).alias("_brand")).distinct()
-    longest = brand.agg(F.max(F.size(F.split("_brand", r"\."))).alias("n")).first()["n"] or 1
-    first = F.coalesce(F.get("words_host", F.lit(0)), F.lit(""))
-
-    def hits(source: str, candidates: Column, column: str) -> DataFrame:
-        pairs = (
-            df.select(source, "domain", F.explode(candidates).alias("_brand"))
-            .filter(~F.col("domain").contains(F.col("_brand")))
-            .distinct()
-        )
-        return (
-            pairs.join(brand, "_brand", "left_semi")
-            .select(source, "domain")
-            .distinct()
-            .withColumn(column, F.lit(1))
-        )
-
-    segments = _interior_segments(F.col("path"))
-    in_path = hits("path", _dotted_runs(segments, longest), "_in_path")
-    in_subdomain = hits("subdomain", F.split("subdomain", r"\."), "_in_subdomain")
-    return (
-        df.withColumn("_brand", first)
-        .join(brand.withColumn("_is_brand", F.lit(1)), "_brand", "left")
-        .join(in_path, ["path", "domain"], "left")
-        .join(in_subdomain, ["subdomain", "domain"], "left")
-        .withColumns(
-            {
-                "has_domain_in_brand": F.coalesce("_is_brand", F.lit(0)),
-                "has_brand_in_path": F.coalesce("_in_path", F.lit(0)),
-                "has_brand_in_subdomain": F.coalesce("_in_subdomain", F.lit(0)),
-            }
-        )
-        .drop("_brand", "_is_brand", "_in_path", "_in_subdomain")
-    )
-
-
 def brand_lookalikes(df: DataFrame, brands: DataFrame) -> DataFrame:
     """Distinct first host words with a brand at edit distance 0 or 1.
 
@@ -236,31 +193,32 @@ def brand_lookalikes(df: DataFrame, brands: DataFrame) -> DataFrame:
 def with_lookalike_flag(df: DataFrame, brands: DataFrame) -> DataFrame:
     """Add has_domain_in_brand1."""
     hits = brand_lookalikes(df, brands).select("word", F.lit(1).alias("_hit"))
+    worded = df.withColumn("word", F.get("words_host", F.lit(0)))
+    return join_split_hot(worded, hits, "word").withColumn(
+        "has_domain_in_brand1", F.coalesce("_hit", F.lit(0))
+    ).drop("word", "_hit")
+
+
+def addresses(dns_snapshot: DataFrame) -> DataFrame:
+    """One address per domain."""
+    return dns_snapshot.groupBy("domain").agg(F.min("ip").alias("_ip"))
+
+
+def report_flag(url: str = "url", address: str = "_ip") -> Column:
+    """has_statistical_report; no address means the lookup failed."""
+    reported = U.contains_any(url, C.REPORTED_HOSTS) | U.contains_any(address, C.REPORTED_IPS)
     return (
-        df.withColumn("word", F.get("words_host", F.lit(0)))
-        .join(hits, "word", "left")
-        .withColumn("has_domain_in_brand1", F.coalesce("_hit", F.lit(0)))
-        .drop("word", "_hit")
+        F.when(F.col(address).isNull(), 2)
+        .when(reported, 1)
+        .when(F.col(address) == C.UNRESOLVED_SENTINEL_IP, 2)
+        .otherwise(0)
     )
 
 
 def statistical_report(df: DataFrame, dns_snapshot: DataFrame) -> DataFrame:
     """has_statistical_report from a ``dns_snapshot(domain, ip)``; no row means the lookup failed."""
-    address = dns_snapshot.groupBy("domain").agg(F.min("ip").alias("_ip"))
-    reported = U.contains_any("url", C.REPORTED_HOSTS) | U.contains_any(
-        "_ip", C.REPORTED_IPS
-    )
-    return (
-        df.join(address, "domain", "left")
-        .withColumn(
-            "has_statistical_report",
-            F.when(F.col("_ip").isNull(), 2)
-            .when(reported, 1)
-            .when(F.col("_ip") == C.UNRESOLVED_SENTINEL_IP, 2)
-            .otherwise(0),
-        )
-        .drop("_ip")
-    )
+    joined = join_split_hot(df, addresses(dns_snapshot), "domain")
+    return joined.withColumn("has_statistical_report", report_flag()).drop("_ip")
 
 
 def redirect_features(df: DataFrame, chain: str | None = None) -> DataFrame:
@@ -287,7 +245,10 @@ def url_features(
     redirect_chain: str | None = None,
 ) -> DataFrame:
     """Input columns, URL parts and the 57 URL features (``skip_reason`` marks unusable rows)."""
-    decomposed = decompose(df, "url", suffix_rules)
-    flagged = brand_features(decomposed, brands)
-    with_dns = statistical_report(flagged, dns_snapshot)
-    return lexical_features(redirect_features(with_dns, redirect_chain))
+    reported = statistical_report(decompose(df, "url", suffix_rules), dns_snapshot)
+    return described(reported, brands, redirect_chain)
+
+
+def described(df: DataFrame, brands: Sequence[str] | DataFrame, redirect_chain: str | None = None) -> DataFrame:
+    """The URL features of decomposed rows that have has_statistical_report already."""
+    return lexical_features(redirect_features(brand_features(df, brands), redirect_chain))

@@ -7,7 +7,7 @@ from lurescan.operators import dataset as G
 from lurescan.operators import domains as D
 from lurescan.operators import page_features as P
 from lurescan.plans import page_queries, url_queries
-from lurescan.plans.registry import Tables, query
+from lurescan.plans.registry import COLUMNS, ORACLES, Tables, parse_columns, query
 
 AS_OF_SECONDS = 1717200000  # 2024-06-01 00:00 UTC
 
@@ -117,6 +117,28 @@ def domains_to_look_up(t: Tables):
     return D.domains_to_look_up(url_queries.decomposed(t), registry(t), domain_rank(t))
 
 
+class Crawled(Tables):
+    """The pages under the URL at which the crawler ended; ``requested`` is the one it was given."""
+
+    @property
+    def pages(self):
+        kind = hash_number("url", 20, 1)
+        moved = (
+            F.when(kind < 4, F.concat("url", F.lit("/moved")))
+            .when(kind < 6, F.regexp_replace("url", "^http:", "https:"))
+            .otherwise(F.col("url"))
+        )
+        pages = self.spark.read.parquet(f"{self.folder}/pages.parquet")
+        return pages.withColumns({"requested": F.col("url"), "url": moved})
+
+
+CRAWLED_SQL = f"""
+moved AS (SELECT page_id, url AS requested, html,
+  CASE WHEN {hash_sql("url", 20, 1)} < 4 THEN url || '/moved'
+       WHEN {hash_sql("url", 20, 1)} < 6 THEN regexp_replace(url, '^http:', 'https:') ELSE url END AS url FROM pages),
+pages AS (SELECT page_id, url, html, requested FROM moved)"""
+
+
 def labelled_urls(t: Tables):
     """URL list: all pages and, without a page, the plain site address of each."""
     url = F.col("url")
@@ -127,13 +149,25 @@ def labelled_urls(t: Tables):
     return pages.unionByName(sites).withColumn("label", label)
 
 
+LABEL_SQL = "CASE WHEN substr(md5({url}), 1, 1) < '8' THEN 1 ELSE 0 END"
+
+
+def crawled_pages(c: Crawled):
+    """Page features by requested URL, with the final URL and its redirect chain."""
+    features = P.page_features(c.pages, page_queries.AS_OF_YEAR).withColumnRenamed("url", "final_url")
+    chains = url_queries.redirect_chains(c).select("page_id", F.col("chain").alias("redirect_chain"))
+    requested = c.pages.select("page_id", F.col("requested").alias("url"))
+    return features.join(chains, "page_id").join(requested, "page_id")
+
+
 def _dataset(t: Tables):
+    c = Crawled(t.spark, t.folder)
     return G.build_dataset(
         labelled_urls(t),
-        P.page_features(t.pages, page_queries.AS_OF_YEAR),
-        url_queries.www_brands(t),
-        url_queries.dns_snapshot(t),
-        registry(t), dns_ns(t), index_status(t), domain_rank(t),
+        crawled_pages(c),
+        url_queries.www_brands(c),
+        url_queries.dns_snapshot(c),
+        registry(c), dns_ns(c), index_status(c), domain_rank(c),
         as_of(),
         url_queries.SUFFIX_RULES,
     )
@@ -149,7 +183,35 @@ _KINDS = " ".join(
 )
 
 
-@query("build_dataset", f"url:s {_KINDS} label:i")
+#: Registered queries whose columns make up the dataset.
+URL_PARTS = (
+    "url_lengths url_entropy url_character_counts url_flags url_word_features brand_flags statistical_report "
+    "redirect_features"
+).split()
+PAGE_PARTS = "page_tag_counts page_text_measures page_element_flags page_validity domain_features".split()
+
+
+def composed_sql(parts: list[str], columns: list[str], tail: str) -> str:
+    """The columns of several SQL twins side by side, by page."""
+    taken, joins = {"page_id"}, []
+    for name in parts:
+        listed = parse_columns(COLUMNS[name])
+        mine = [c for c, _ in listed if c in columns and c not in taken]
+        taken.update(mine)
+        joins.append(f"(SELECT page_id, {', '.join(mine)} FROM ({ORACLES[name]}) AS {name}) AS p_{name}")
+    return "\nJOIN ".join([joins[0], *(f"{j} USING (page_id)" for j in joins[1:])]) + tail
+
+
+@query(
+    "build_dataset",
+    f"url:s {_KINDS} label:i",
+    f"""WITH {CRAWLED_SQL}
+    SELECT p.url, w.* EXCLUDE (page_id), {LABEL_SQL.format(url="p.requested")} AS label
+    FROM pages p JOIN (SELECT * FROM {composed_sql(
+        URL_PARTS + PAGE_PARTS, C.URL_FEATURE_COLUMNS + C.PAGE_FEATURE_COLUMNS + C.DOMAIN_FEATURE_COLUMNS, "")}) w
+      USING (page_id)
+    WHERE w.is_alive = 1""",
+)
 def build_dataset(t: Tables):
     return G.usable_rows(_dataset(t))
 
@@ -159,6 +221,13 @@ def build_dataset(t: Tables):
     "url:s "
     + " ".join(f"{c}:{'d' if c in _DOUBLES else 'i'}" for c in C.URL_FEATURE_COLUMNS)
     + " label:i",
+    rf"""WITH listed AS (
+      SELECT page_id, url, html FROM pages
+      UNION ALL SELECT -page_id - 1, regexp_extract(url, '^([a-z]+://[^/]*)', 1), '' FROM pages),
+    pages AS (SELECT * FROM listed)
+    SELECT p.url, w.* EXCLUDE (page_id, nb_redirection, nb_e_redirection), -1 AS nb_redirection, -1 AS nb_e_redirection,
+      {LABEL_SQL.format(url="p.url")} AS label
+    FROM pages p JOIN (SELECT * FROM {composed_sql(URL_PARTS, C.URL_FEATURE_COLUMNS, "")}) w USING (page_id)""",
 )
 def build_static_dataset(t: Tables):
     return G.usable_rows(
@@ -172,15 +241,16 @@ def build_static_dataset(t: Tables):
 @query(
     "dataset_profile",
     "label:i reason:s n:i sum_url_len:i sum_slashes:i sum_paragraphs:i sum_text:i sum_age:i n_alive:i",
-    rf"""WITH {url_queries.PARTS_SQL}, {REGISTRY_SQL}, {page_queries.NODES_SQL},
+    rf"""WITH {CRAWLED_SQL}, {url_queries.PARTS_SQL}, {REGISTRY_SQL}, {page_queries.NODES_SQL},
     paras AS (SELECT page_id, sum(CASE WHEN tag = 'p' THEN 1 ELSE 0 END) AS n_p FROM nodes GROUP BY page_id),
     dead AS (SELECT page_id, length(body_text) AS len,
        CASE WHEN {" OR ".join(f"contains(lower(body_text), '{p}') OR contains(lower(title), '{p}')" for p in C.ERROR_PHRASES)} THEN 1 ELSE 0 END AS bad FROM texts),
     listed AS (
-      SELECT u.url, u.domain, 1 - d.bad AS alive, CASE WHEN d.bad = 1 THEN 0 ELSE p.n_p END AS n_p, CASE WHEN d.bad = 1 THEN 0 ELSE d.len END AS len
-      FROM urls u JOIN paras p USING (page_id) JOIN dead d USING (page_id)
-      UNION ALL SELECT regexp_extract(url, '^([a-z]+://[^/]*)', 1), domain, 0, 0, 0 FROM urls)
-    SELECT CASE WHEN substr(md5(url), 1, 1) < '8' THEN 1 ELSE 0 END AS label,
+      SELECT CASE WHEN d.bad = 1 THEN m.requested ELSE u.url END AS url, m.requested, u.domain, 1 - d.bad AS alive, CASE WHEN d.bad = 1 THEN 0 ELSE p.n_p END AS n_p, CASE WHEN d.bad = 1 THEN 0 ELSE d.len END AS len
+      FROM urls u JOIN paras p USING (page_id) JOIN dead d USING (page_id) JOIN moved m USING (page_id)
+      UNION ALL SELECT site, site, domain, 0, 0, 0
+        FROM (SELECT regexp_extract(requested, '^([a-z]+://[^/]*)', 1) AS site, domain FROM urls JOIN moved USING (page_id)))
+    SELECT CASE WHEN substr(md5(requested), 1, 1) < '8' THEN 1 ELSE 0 END AS label,
       CASE WHEN alive = 0 THEN 'crawler_not_alive' END AS reason, count(*) AS n, sum(length(url)) AS sum_url_len,
       sum(len(string_split(url, '/')) - 1) AS sum_slashes, sum(n_p) AS sum_paragraphs, sum(len) AS sum_text,
       sum(r.domain_age) AS sum_age, sum(alive) AS n_alive

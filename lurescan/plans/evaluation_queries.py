@@ -1,5 +1,6 @@
 """Evaluation of scores and summaries of attributions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lurescan.operators import attributions as L
@@ -284,6 +285,23 @@ def token_strength(t: Tables):
     )
 
 
+@query(
+    "token_rows",
+    "sample_id:i position:i token:s value:d abs_value:d impact:s strength:s direction:s place:i",
+    f"""WITH {ATTRIBUTIONS_SQL}
+    SELECT sample_id, pos AS position, token, value, abs(value) AS abs_value, 'Push to Phishing' AS impact,
+      CASE WHEN abs(value) > 0.05 THEN 'Strong' WHEN abs(value) > 0.02 THEN 'Medium' ELSE 'Weak' END AS strength,
+      CASE WHEN value > 0 THEN 'benign' ELSE 'phish' END AS direction,
+      row_number() OVER (PARTITION BY sample_id ORDER BY abs(value) DESC, pos) AS place
+    FROM attributions WHERE class_idx = 0 AND trim(token) NOT IN ('', '[CLS]', '[SEP]', '[PAD]')""",
+)
+def token_rows(t: Tables):
+    """The table of the other class; its order is the place of a token in its sample."""
+    rows = L.token_table(attributions(t), class_idx=0)
+    order = W.partitionBy("sample_id").orderBy(F.desc("abs_value"), "position")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 @query(
     "cumulative_values",
     "sample_id:i pos:i token:s cumulative:d is_top:i",

@@ -243,6 +243,27 @@ def page_validity(t: Tables):
     return P.page_features_raw(t.pages, AS_OF_YEAR)
 
 
+@query(
+    "page_status",
+    "page_id:i is_alive:i error_reason:s nb_divs:i is_empty_title:i",
+    rf"""WITH {NODES_SQL},
+    tags AS (SELECT page_id, sum(CASE WHEN tag = 'div' THEN 1 ELSE 0 END) AS n_div FROM nodes GROUP BY page_id),
+    checked AS (
+      SELECT page_id, n_div, title, substr(md5(CAST(page_id AS VARCHAR)), 1, 1) < '4' AS refused,
+        {" OR ".join(f"contains(lower(body_text), '{p}') OR contains(lower(title), '{p}')" for p in C.ERROR_PHRASES)} AS bad
+      FROM texts JOIN tags USING (page_id))
+    SELECT page_id, CASE WHEN refused OR bad THEN 0 ELSE 1 END AS is_alive,
+      CASE WHEN refused THEN 'Page not accessible or redirected to error page' WHEN bad THEN 'Page appears to be an error/placeholder page' END AS error_reason,
+      CASE WHEN refused OR bad THEN 0 ELSE n_div END AS nb_divs,
+      CASE WHEN refused OR bad OR title = '' THEN 1 ELSE 0 END AS is_empty_title FROM checked""",
+)
+def page_status(t: Tables):
+    """A quarter of the pages was answered with an HTTP status of 404 or 503."""
+    kind = F.substring(F.md5(F.col("page_id").cast("string")), 1, 1)
+    status = F.when(kind < "2", 404).when(kind < "4", 503).otherwise(200)
+    return P.page_features(t.pages.withColumn("status_code", status), AS_OF_YEAR)
+
+
 @query(
     "document_readability",
     "doc_id:i n_sentences:i n_words:i n_syllables:i avg_sentence_len:d readability_score:d",

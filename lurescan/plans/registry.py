@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+COLUMNS: dict[str, str] = {}
 
 _SPARK = {
     "s": lambda c: F.col(c).cast("string"),
@@ -52,6 +53,7 @@ def query(name: str, columns: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
+        COLUMNS[name] = columns
         if sql is not None:
             chosen = ", ".join(_SQL[kind].format(c=c) for c, kind in pairs)
             ORACLES[name] = f"SELECT {chosen} FROM (\n{sql.strip()}\n) AS result"

@@ -9,6 +9,9 @@ from lurescan.plans.registry import Tables, query
 from lurescan.plans.url_queries import PARTS_SQL
 
 
+SALTED = "token || ':{i}'"
+
+
 def tokens_sql(include_scheme: bool) -> str:
     scheme = "[lower(scheme)] || " if include_scheme else ""
     return rf"""
@@ -43,32 +46,31 @@ def url_tokens(t: Tables):
 
 @query(
     "url_vectors",
-    "page_id:i v0:d v1:d v2:d v3:d",
+    "page_id:i " + " ".join(f"v{i}:d" for i in range(50)),
     f"""WITH {PARTS_SQL}, {tokens_sql(False)},
     long AS (SELECT page_id, scheme, unnest(tokens) AS token FROM tokenised),
     known AS (SELECT DISTINCT token FROM long WHERE scheme = 'https'),
-    vectors AS (SELECT token, {", ".join(f"{hash_sql('token', 1 + 4 * i, 4)} / 65536 AS v{i}" for i in range(4))} FROM known)
-    SELECT page_id, {", ".join(f"coalesce(avg(v{i}), 0) AS v{i}" for i in range(4))}
+    vectors AS (SELECT token, {", ".join(f"{hash_sql(SALTED.format(i=i), 1, 4)} / 65536 AS v{i}" for i in range(50))} FROM known)
+    SELECT page_id, {", ".join(f"coalesce(avg(v{i}), 0) AS v{i}" for i in range(50))}
     FROM long LEFT JOIN vectors USING (token) GROUP BY page_id""",
 )
 def url_vectors(t: Tables):
     rows = tokenised(t)
+    numbers = [hash_number(F.concat("token", F.lit(f":{i}")), 1, 4) / 65536 for i in range(H.VECTOR_SIZE)]
     vectors = (
         rows.filter(F.col("url").startswith("https:"))
         .select(F.explode("tokens").alias("token"))
         .distinct()
-        .withColumn(
-            "vector", F.array(*[hash_number("token", 1 + 4 * i, 4) / 65536 for i in range(4)])
-        )
+        .withColumn("vector", F.array(*numbers))
     )
-    found = H.url_vectors(rows, vectors, "page_id", size=4)
-    return found.select("page_id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(4)])
+    found = H.url_vectors(rows, vectors, "page_id")
+    return found.select("page_id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(H.VECTOR_SIZE)])
 
 
 @query("word2vec_url_vectors", "page_id:i size:i norm:d")
 def word2vec_url_vectors(t: Tables):
     rows = tokenised(t, True)
-    model = H.word2vec_fit(rows, epochs=1)
+    model = H.word2vec_fit(rows)
     found = H.url_vectors(rows, H.vectors_of(model), "page_id")
     squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
     return found.select("page_id", F.size("vector").alias("size"), F.sqrt(squares).alias("norm"))
@@ -94,9 +96,7 @@ def char_vocabulary(t: Tables):
     SELECT page_id, array_to_string((ids || list_transform(range(200), lambda x: 0))[1:200], ' ') AS sequence FROM listed""",
 )
 def char_sequences(t: Tables):
-    rows = H.char_sequences(
-        t.pages.select("page_id", "url"), H.char_vocabulary(t.pages), "page_id"
-    )
+    rows = H.char_sequences(t.pages.select("page_id", "url"), H.char_vocabulary(t.pages))
     return rows.withColumn("sequence", F.array_join(F.col("sequence").cast("array<string>"), " "))
 
 
@@ -162,13 +162,7 @@ def random_split(t: Tables):
     f"WITH {LABELS_SQL} SELECT doc_id, label, row_number() OVER (ORDER BY h) AS position FROM rows_of",
 )
 def shuffled_rows(t: Tables):
-    from lurescan.operators.tables import with_row_number
-
-    # the position of the shuffled order, by the leading bits of the hash
-    rows = labels(t).withColumn(
-        "h", F.conv(F.substring(S.order_hash("doc_id", 42), 1, 15), 16, 10).cast("bigint")
-    )
-    return with_row_number(rows, "h").withColumn("position", F.col("row_idx") + 1)
+    return S.shuffled_positions(labels(t), "doc_id")
 
 
 @query(

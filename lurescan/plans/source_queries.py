@@ -41,15 +41,42 @@ def url_list_round_trip(t: Tables):
 )
 def tolerant_read(t: Tables):
     """The URL list with the benchmark texts as lines that do not fit."""
+    return files.read_tolerant(t.spark, uneven_lines(t), schemas.URL_LIST)
+
+
+def uneven_lines(t: Tables) -> str:
     folder = new_folder(t, "tolerant")
-    good = url_list(t).select(F.concat_ws(";", "url", F.col("label").cast("string")).alias("line"))
-    bad = t.benchmark.select(F.concat(F.lit("x;"), F.regexp_replace("text", r"[\s;]+", " ")).alias("line"))
-    header = t.spark.range(1).select(F.lit("url;label").alias("line"))
-    good.unionByName(bad).unionByName(header).write.text(folder)
-    parsed = t.spark.read.csv(
-        folder, schema=schemas.URL_LIST, sep=";", mode="DROPMALFORMED"
-    )
-    return parsed
+    good = url_list(t).select(F.concat_ws(";", "url", F.col("label").cast("string")).alias("url;label"))
+    bad = t.benchmark.select(F.concat(F.lit("x;"), F.regexp_replace("text", r"[\s;\"]+", " ")).alias("url;label"))
+    lines = good.unionByName(bad)
+    lines.write.csv(folder, header=True, sep="\t", escapeQuotes=False)
+    return folder
+
+
+@query(
+    "audited_read",
+    "url:s label:i fits:i",
+    """SELECT url, CASE WHEN starts_with(url, 'https') THEN 1 ELSE 0 END AS label, 1 AS fits FROM pages
+    UNION ALL SELECT 'x', NULL, 0 FROM benchmark""",
+)
+def audited_read(t: Tables):
+    rows = files.read_with_audit(t.spark, uneven_lines(t), schemas.URL_LIST)
+    return rows.withColumn("fits", F.col(files.CORRUPT).isNull().cast("int"))
+
+
+@query(
+    "brand_list",
+    "brand:s",
+    f"WITH {PARTS_SQL}, {url_queries.BRANDS_SQL} SELECT brand FROM brands",
+)
+def brand_list(t: Tables):
+    """The brands written with blanks, empty lines and repeats, and read back."""
+    folder = new_folder(t, "brands")
+    names = url_queries.www_brands(t)
+    padded = names.select(F.concat(F.lit("  "), "brand", F.lit(" ")).alias("line"))
+    names.unionByName(padded.withColumnRenamed("line", "brand")).unionByName(
+        names.select(F.lit("  ").alias("brand"))).write.text(folder)
+    return files.read_brands(t.spark, folder)
 
 
 @query(

@@ -311,6 +311,17 @@ def brand_lookalikes(t: Tables):
     return UF.brand_lookalikes(decomposed(t), www_brands(t))
 
 
+@query(
+    "lookalike_flags",
+    "page_id:i has_domain_in_brand1:i",
+    f"""WITH {PARTS_SQL}, {BRANDS_SQL}
+    SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM brands b WHERE levenshtein(u.words_host[1], b.brand) < 2) THEN 1 ELSE 0 END
+      AS has_domain_in_brand1 FROM urls u""",
+)
+def lookalike_flags(t: Tables):
+    return UF.with_lookalike_flag(decomposed(t), www_brands(t))
+
+
 @query(
     "statistical_report",
     "page_id:i has_statistical_report:i",
@@ -354,20 +365,23 @@ def site_profile(t: Tables):
     options AS (
       SELECT page_id, requested, unnest(CASE WHEN regexp_matches(requested, '^https?://') THEN [requested] ELSE ['https://' || requested, 'http://' || requested] END) AS candidate,
              unnest(CASE WHEN regexp_matches(requested, '^https?://') THEN [0] ELSE [0, 1] END) AS pos FROM asked),
-    alive AS (SELECT o.*, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM options o JOIN (SELECT DISTINCT url FROM pages) p ON o.candidate = p.url)
+    snapshot AS (SELECT url FROM pages WHERE substr(md5(url), 5, 1) >= '4'
+      UNION ALL SELECT regexp_replace(url, '^https:', 'http:') FROM pages WHERE starts_with(url, 'https')),
+    alive AS (SELECT o.*, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM options o JOIN (SELECT DISTINCT url FROM snapshot) p ON o.candidate = p.url)
     SELECT a.page_id, a.requested, v.candidate, CASE WHEN a.requested <> coalesce(v.candidate, '') THEN 1 ELSE 0 END AS redirect_detected
     FROM asked a LEFT JOIN alive v ON a.page_id = v.page_id AND v.rn = 1""",
 )
 def crawl_candidates(t: Tables):
-    from lurescan.operators.page_features import first_alive_candidate
+    """A quarter of the pages is dead; the https pages answer under http as well."""
+    from lurescan.operators.page_features import first_alive_candidate, redirect_detected
 
     asked = t.pages.select("page_id", F.regexp_replace("url", "^https://", "").alias("requested"))
-    snapshot = t.pages.select("url", F.lit(1).alias("is_alive"))
+    status = F.when(F.substring(F.md5("url"), 5, 1) >= "4", 1).otherwise(0).alias("is_alive")
+    plain = t.pages.filter(F.col("url").startswith("https")).select(
+        F.regexp_replace("url", "^https:", "http:").alias("url"), F.lit(1).alias("is_alive"))
+    snapshot = t.pages.select("url", status).unionByName(plain)
     found = first_alive_candidate(asked, snapshot, "page_id", "requested")
-    return found.withColumn(
-        "redirect_detected",
-        (F.col("requested") != F.coalesce("candidate", F.lit(""))).cast("int"),
-    )
+    return found.withColumn("redirect_detected", redirect_detected(F.col("requested"), F.col("candidate")))
 
 
 @query(
@@ -381,6 +395,10 @@ def crawl_candidates(t: Tables):
       coalesce(len(list_filter(chain, lambda h: NOT contains(lower(h), lower(domain)))), -1) AS nb_e_redirection FROM hops""",
 )
 def redirect_features(t: Tables):
+    return UF.redirect_features(redirect_chains(t), "chain")
+
+
+def redirect_chains(t: Tables):
     """The http pages came through the hosting domain, their site and its first page."""
     rows = decomposed(t)
     home = rows.groupBy("domain").agg(F.min("url").alias("home"))
@@ -389,5 +407,4 @@ def redirect_features(t: Tables):
         F.concat(F.lit("HTTP://"), F.upper("domain"), F.lit("/")),
         F.col("home"),
     )
-    chained = rows.join(home, "domain").withColumn("chain", F.when(F.col("scheme") == "http", chain))
-    return UF.redirect_features(chained, "chain")
+    return rows.join(home, "domain").withColumn("chain", F.when(F.col("scheme") == "http", chain))

@@ -14,10 +14,13 @@ BOM = "\ufeff"
 CORRUPT = "_corrupt_record"
 
 
-def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled URL list: ``;`` between fields, ``"`` around them, a field may hold line breaks."""
+def read_url_list(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Labelled URL list: ``;`` between fields, ``"`` around them.
+
+    With ``multi_line`` a field may hold line breaks; a file is then read by one task.
+    """
     return spark.read.csv(
-        path, schema=schemas.URL_LIST, sep=";", quote='"', escape='"', header=True, multiLine=True
+        path, schema=schemas.URL_LIST, sep=";", quote='"', escape='"', header=True, multiLine=multi_line
     )
 
 
@@ -48,15 +51,20 @@ def read_with_audit(
 def read_parts(spark: SparkSession, folder: str, sep: str = ";") -> DataFrame:
     """All part files of a folder as one table, with the union of their columns.
 
-    ``part_file`` keeps the name order. Only names and header lines are looked at here; files with
-    the same header are read together.
+    ``part_file`` keeps the name order. One job finds the header line of every file; files with the
+    same header are read together.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    paths = sorted(row["path"] for row in listing.select("path").collect())
-    by_header: dict[tuple, list[str]] = {}
-    for path in paths:
-        header = tuple(spark.read.csv(path, sep=sep, header=True).columns)
-        by_header.setdefault(header, []).append(path)
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
+    heads = (
+        lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        .filter("at = 0")
+        .withColumn("place", F.monotonically_increasing_id())
+        .groupBy("path")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    by_header: dict[str, list[str]] = {}
+    for row in heads.orderBy("path").collect():
+        by_header.setdefault(row["header"], []).append(row["path"])
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
     parts = [
         read_table(spark, group, sep).withColumn("part_file", name) for group in by_header.values()

@@ -13,7 +13,9 @@ def finished_chunks(spark: SparkSession, folder: str) -> DataFrame | None:
     """chunk_id of the partitions that have been committed."""
     try:
         return spark.read.parquet(folder).select("chunk_id").distinct()
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
@@ -22,14 +24,15 @@ def build_resumable(
     build: Callable[[DataFrame], DataFrame],
     folder: str,
     index: str = "row_idx",
-    step: int = 200,
-    chunks_per_write: int = 50,
+    step: int = 100_000,
+    writes: int = 16,
 ) -> int:
     """Build the missing chunks and return how many writes that took.
 
-    A chunk is ``step`` consecutive row numbers. Each write covers some chunks and replaces exactly
-    their partitions, so a write that was cut off is repeated as a whole. ``build`` keeps the
-    ``chunk_id`` column and gives every input row back, usable or with a reason.
+    A chunk is ``step`` consecutive row numbers. The missing ones are built in at most ``writes`` writes,
+    however many there are. Each replaces exactly its partitions, so a write that was cut off is
+    repeated as a whole and at most that share of the work is lost. ``build`` keeps the ``chunk_id``
+    column and gives every input row back, usable or with a reason.
     """
     chunked = rows.withColumn("chunk_id", F.floor(F.col(index) / step).cast("int"))
     done = finished_chunks(rows.sparkSession, folder)
@@ -37,11 +40,11 @@ def build_resumable(
     bounds = todo.agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).first()
     if bounds["low"] is None:
         return 0
-    starts = range(bounds["low"], bounds["high"] + 1, chunks_per_write)
+    size = -(-(bounds["high"] + 1 - bounds["low"]) // writes)
+    starts = range(bounds["low"], bounds["high"] + 1, size)
     for start in starts:
         # on the row number itself, so that the range reaches the scan
-        end = (start + chunks_per_write) * step
-        wave = todo.filter((F.col(index) >= start * step) & (F.col(index) < end))
+        wave = todo.filter((F.col(index) >= start * step) & (F.col(index) < (start + size) * step))
         (
             build(wave)
             .write.mode("overwrite")

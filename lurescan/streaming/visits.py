@@ -40,10 +40,14 @@ def configured(visits: DataFrame, known_models: Sequence[str]) -> DataFrame:
 
 
 def verdict_rows(served: DataFrame) -> DataFrame:
-    """One row per visit: badge P, OK, ERR or '' (a cleared tab) and is_phishing."""
+    """One row per visit: badge P, OK, ERR or '' (a cleared tab), is_phishing and error.
+
+    A visit without a verdict is never shown as safe: it is an error and has no is_phishing.
+    """
     web = F.col("is_web") == 1
     phishing = F.col("pred") == 0
-    return served.withColumns(
+    failed = web & F.col("error").isNull() & F.col("pred").isNull()
+    return served.withColumn("error", F.when(failed, M.FAILED).otherwise(F.col("error"))).withColumns(
         {
             "badge": F.when(~web, "")
             .when(F.col("error").isNotNull(), "ERR")
@@ -58,7 +62,9 @@ def read_log(spark: SparkSession, folder: str, before_batch: int) -> DataFrame |
     """Log rows of earlier batches, None before the first."""
     try:
         rows = spark.read.schema(LOG_SCHEMA).parquet(folder)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return rows.filter(F.col("batch_id") < before_batch)
 
@@ -83,7 +89,8 @@ def serve_batch(
     keys, hot = M.materialised_visits(usable)
     schedule = M.scoring_schedule(keys, log, ttl_seconds, hot)
     to_score = usable.join(schedule.select("request_id"), "request_id", "left_semi")
-    new_rows = store(M.score_requests(to_score, scorer, F.col("ts_us")))
+    scored = M.score_requests(to_score, scorer, F.col("ts_us"))
+    new_rows = store(scored.filter("pred IS NOT NULL"))
 
     columns = ["doc_id", "pred", "proba", "created_us"]
     verdicts = new_rows.select(

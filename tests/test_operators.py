@@ -72,8 +72,8 @@ def test_running_totals(spark, descending):
     for x, v in sorted(rows, reverse=descending):
         total += v
         expected[x] = total
-    for pieces, fine in [(16, 8), (1, 1), (64, 64)]:
-        found = tables.running_totals(df, "x", {"t": "v"}, descending, pieces, fine)
+    for rows_per_task in (7, 100, 10_000):
+        found = tables.running_totals(df, "x", {"t": "v"}, descending, rows_per_task)
         assert {r["x"]: r["t"] for r in found.collect()} == expected
     one = tables.running_totals(df.limit(1), "x", {"t": "v"}, descending)
     assert one.first()["t"] == df.limit(1).first()["v"]
@@ -87,26 +87,60 @@ def test_row_numbers_of_large_values_and_null(spark):
     assert found == {None: 0, -(2**60): 1, 5: 2, 7: 3, 2**60: 4, 2**60 + 1: 5, 2**60 + 2: 6}
 
 
-def test_attach_shuffles_a_large_table(spark):
-    big = spark.range(100).select((F.col("id") % 10).alias("k"))
-    small = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for limit in (5, 50):
-        joined = tables.attach(big, small, ["k"], limit=limit)
-        assert joined.filter("v = k * 2").count() == 100
+def test_attach_treats_null_as_a_group(spark):
+    big = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, x string")
+    small = spark.createDataFrame([(1, 10), (None, 20)], "k int, v int")
+    rows = {r["x"]: r["v"] for r in tables.attach(big, small, ["k"]).collect()}
+    assert rows == {"a": 10, "b": 20, "c": None}
+    assert tables.attach(big, small, ["k"], "inner").count() == 2
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_hot_keys_join_like_the_others(spark, how):
-    rows = [(i, "hot" if i % 3 else f"k{i % 40}") for i in range(600)] + [(600, None)]
-    big = spark.createDataFrame(rows, "i int, k string")
-    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, v int")
-    expected = big.join(small, "k", how).select("i", "k", "v")
-    found = tables.join_split_hot(big, small, "k", how).select("i", "k", "v")
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+@pytest.mark.parametrize("rows_per_task", [10, 1_000_000])
+def test_hot_keys_join_like_the_others(spark, how, rows_per_task):
+    rows = [(i, "hot" if i % 3 else f"k{i % 40}", {"m": i}) for i in range(600)] + [(600, None, None)]
+    big = spark.createDataFrame(rows, "i int, k string, m map<string,int>")
+    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3), (None, 4)], "k string, v int")
+    columns = ["i", "k"] + (["v"] if how != "left_anti" else [])
+    expected = big.join(small, "k", how).select(columns)
+    found = tables.join_split_hot(big, small, "k", how, rows_per_task=rows_per_task).select(columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_half_the_keys_null_or_hot_fill_no_single_task(spark):
+    """The largest shuffle partition of the big side stays near the mean, without adaptive execution."""
+    big = spark.range(40_000).select(
+        "id", F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 4 == 1, F.lit("hot")).otherwise(
+            F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
+    small = spark.createDataFrame([("hot", 1)], "k string, v int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = tables.join_split_hot(big, small.hint("merge"), "k", rows_per_task=500)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 40_000 and len(sizes) == 8 and max(sizes) < 1.5 * 40_000 / 8
+
+
+def test_join_condition(spark):
+    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(600)], "i int, k string")
+    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, v int")
+    expected = big.join(small, "k").select("i", "k", "v")
     some = tables.join_split_hot(big, small, "k", "inner", F.col("i") > 300)
     assert some.count() == expected.filter("v is not null and i > 300").count()
 
 
+def test_null_class_and_repeated_keys_in_samples(spark):
+    rows = [(k, x, None if k % 3 == 0 else k % 3) for k in range(60) for x in (1, 2)]
+    df = spark.createDataFrame(rows, "id int, x int, label int")
+    assert S.sample_exactly(df, "id", 7).count() == 7
+    split = {(r["label"], r["split"]): r["count"] for r in S.stratified_split(df, "id").groupBy("label", "split").count().collect()}
+    assert split == {(c, s): n for c in (None, 1, 2) for s, n in (("test", 8), ("train", 32))}
+    assert {r["count"] for r in S.sample_per_class(df, "id", 5).groupBy("label").count().collect()} == {5}
+
+
 def test_splits_are_exact_and_disjoint(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("label"))
     split = S.stratified_split(df, "k").groupBy("label", "split").count().collect()
@@ -159,16 +193,14 @@ def test_token_vectors_ignore_unknown(spark):
     assert {r["k"]: r["vector"] for r in rows} == {1: [1.0, 4.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [3.0, 2.0]}
 
 
-def test_char_sequences_inlined_and_joined_agree(spark, monkeypatch):
-    urls = ["http://A.b/c d", "x" * 250, "", "http://éé/?#"]
-    df = spark.createDataFrame(list(enumerate(urls)), "k int, url string")
-    vocabulary = H.char_vocabulary(df).filter("char != '#'")
-    inlined = {r["k"]: r["sequence"] for r in H.char_sequences(df, vocabulary, "k").collect()}
-    monkeypatch.setattr(H, "INLINE_VOCABULARY", 1)
-    joined = {r["k"]: r["sequence"] for r in H.char_sequences(df, vocabulary, "k").collect()}
-    assert all(len(s) == 200 for s in inlined.values())
-    assert inlined[1] == [inlined[1][0]] * 200
-    assert joined == inlined
+def test_char_sequences_of_repeated_keys_and_sparse_ids(spark):
+    urls = ["http://A.b/c d", "x" * 250, "", "http://éé/?#", "x" * 250]
+    df = spark.createDataFrame([(k % 2, u) for k, u in enumerate(urls)], "k int, url string")
+    vocabulary = H.char_vocabulary(df).filter("char != '#'").withColumn("id", F.col("id") * 3)
+    ids = {r["char"]: r["id"] for r in vocabulary.collect()}
+    for r in H.char_sequences(df, vocabulary).collect():
+        known = [ids[c] for c in r["url"].lower().replace(" ", "") if c in ids]
+        assert r["sequence"] == (known + [0] * 200)[:200]
 
 
 def test_url_tokens_may_be_empty(spark):
@@ -189,7 +221,9 @@ def test_domain_rules(spark):
         AS t(domain, domain_names, creation_dates, expiration_dates, lookup_status)"""
     )
     df = spark.createDataFrame([(d,) for d in ["a.com", "b.com", "c.com", "d.com", "e.com"]], "domain string")
-    rows = D.registry_features(df, registry, as_of).collect()
+    nothing = spark.createDataFrame([], "domain string, ns_count int, rank int, url string, status string")
+    sites = df.withColumn("url", F.col("domain"))
+    rows = D.domain_features(sites, registry, nothing, nothing, nothing, as_of).collect()
     found = {r["domain"][0]: (r["whois_reg_domain"], r["domain_reg_len"], r["domain_age"]) for r in rows}
     assert found == {"a": (0, 0, 0), "b": (1, 0, -2), "c": (1, 3, -2), "d": (0, 0, 0), "e": (1, -1, -1)}
 
@@ -213,7 +247,46 @@ def test_dataset_has_140_columns_and_splits_off_skipped(spark):
 
 def test_crawled_url(spark):
     df = spark.createDataFrame([("a", "b", 1), ("a", "b", 0), ("a", None, 1)], "url string, final_url string, is_alive int")
-    assert [r["url"] for r in G.crawled_url(df).collect()] == ["b", "a", "a"]
+    assert [r["u"] for r in df.select(G.crawled_url().alias("u")).collect()] == ["b", "a", "a"]
+
+
+def test_dataset_pages(spark):
+    """A repeated page gives one row; NULL of a live page stays, a dead page and no page have defaults."""
+    features = ", ".join(f"CAST({2 if c != 'is_alive' else 1} AS DOUBLE) AS {c}" for c in C.PAGE_FEATURE_COLUMNS)
+    page = spark.sql(f"SELECT 'http://a.com/x' AS url, {features}").withColumn(
+        "punctuation_density", F.lit(None).cast("double"))
+    moved = F.lit("http://b.org/y")
+    pages = page.withColumn("final_url", moved).unionByName(page.withColumn("is_alive", F.lit(0.0)).withColumn("final_url", moved))
+    pages = pages.unionByName(page.withColumns({"url": F.lit("http://d.com/"), "is_alive": F.lit(0.0), "final_url": moved}))
+    urls = spark.createDataFrame([("http://a.com/x", 1), ("http://a.com/x", 0), ("http://c.com/", 1), ("http://d.com/", 0)], "url string, label int")
+    empty = spark.createDataFrame([], "domain string, ns_count int, rank int, ip string, url string, status string, "
+                                  "domain_names array<string>, creation_dates array<timestamp>, expiration_dates array<timestamp>")
+    index = spark.createDataFrame([("http://b.org/y", "indexed"), ("http://c.com/", "blocked")], "url string, status string")
+    ranks = spark.createDataFrame([("b.org", 7)], "domain string, rank int")
+    rows = G.build_dataset(urls, pages, ["b"], empty, empty, empty, index, ranks, F.current_timestamp()).collect()
+    got = sorted((r["url"], r["label"], r["nb_divs"], r["punctuation_density"], r["google_index"], r["page_rank"], r["reason"]) for r in rows)
+    assert got == [
+        ("http://b.org/y", 0, 2, None, 0, 7, None), ("http://b.org/y", 1, 2, None, 0, 7, None),
+        ("http://c.com/", 1, 0, 0, -1, -1, G.NOT_ALIVE), ("http://d.com/", 0, 0, 0, 1, -1, G.NOT_ALIVE),
+    ]
+
+
+def test_word_vectors_know_their_neighbours(spark):
+    """Tokens that share their contexts lie closer than others; unknown rows are zero."""
+    rows = [(i, ["login", "verify", "a" if i % 2 else "b", "account", "secure"] if i % 4 < 2 else ["blog", "post", "c" if i % 8 < 4 else "d", "news", "read"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    model = H.word2vec_fit(df)
+    found = {r["token"]: r["vector"] for r in H.vectors_of(model).collect()}
+    assert set(found) == {t for _, ts in rows for t in ts} and all(len(v) == 50 for v in found.values())
+
+    def near(x, y):
+        dot = sum(p * q for p, q in zip(found[x], found[y]))
+        return dot / (sum(p * p for p in found[x]) * sum(q * q for q in found[y])) ** 0.5
+
+    assert near("a", "b") > near("a", "c") and near("c", "d") > near("b", "d")
+    zero = H.url_vectors(spark.createDataFrame([(1, ["zzz"])], "k int, tokens array<string>"), H.vectors_of(model), "k")
+    assert zero.first()["vector"] == [0.0] * 50
+    assert H.word2vec_fit(df, min_count=200).getVectors().count() < len(found)
 
 
 def test_answers_and_argmax(spark):

@@ -130,9 +130,9 @@ def test_resumed_build_equals_one_go(spark, tmp_path):
         return part.withColumn("n", F.length("url"))
 
     folder = str(tmp_path / "chunks")
-    resumable.build_resumable(rows.filter("row_idx < 400"), build, folder, step=100, chunks_per_write=2)
+    resumable.build_resumable(rows.filter("row_idx < 400"), build, folder, step=100, writes=2)
     assert len(calls) == 2
-    assert resumable.build_resumable(rows, build, folder, step=100, chunks_per_write=2) == 3
+    assert resumable.build_resumable(rows, build, folder, step=100, writes=3) == 3
     assert resumable.build_resumable(rows, build, folder, step=100) == 0
     done = spark.read.parquet(folder)
     assert done.count() == 1000 and done.select("row_idx").distinct().count() == 1000
@@ -141,7 +141,7 @@ def test_resumed_build_equals_one_go(spark, tmp_path):
 def test_url_list_with_quotes(spark, tmp_path):
     path = tmp_path / "list.csv"
     path.write_text('url;label\n"http://a/;x";1\n"http://b/""q""";0\n"two\nlines";1\n', encoding="utf-8")
-    rows = files.read_url_list(spark, str(path)).collect()
+    rows = files.read_url_list(spark, str(path), multi_line=True).collect()
     assert [(r["url"], r["label"]) for r in rows] == [("http://a/;x", 1), ('http://b/"q"', 0), ("two\nlines", 1)]
 
 

@@ -114,7 +114,7 @@ BRAND_URLS = [
 ]
 
 
-def test_brands_inlined_and_joined_agree(spark, monkeypatch):
+def test_brands(spark, monkeypatch):
     df = UF.decompose(spark.createDataFrame([(u,) for u in BRAND_URLS], "url string"))
     names = ["paypal", "apple", "co.op"]
     brands = spark.createDataFrame([(n,) for n in names], "brand string")
@@ -136,8 +136,9 @@ def test_brands_inlined_and_joined_agree(spark, monkeypatch):
         )
     assert result(names) == sorted(expected)
     assert result(brands) == sorted(expected)
-    monkeypatch.setattr(UF, "INLINE_BRANDS", 1)
-    assert result(brands) == sorted(expected)
+    monkeypatch.setattr(UF, "MOST_BRANDS", 2)
+    with pytest.raises(ValueError):
+        result(brands)
 
 
 def test_lookalikes_equal_brute_force(spark):
