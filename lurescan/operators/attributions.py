@@ -53,7 +53,7 @@ def token_frequency(attributions: DataFrame, k: int) -> DataFrame:
 
 def token_matrix(attributions: DataFrame, k: int) -> DataFrame:
     """sample_id, token, value (sum for class 1), present for the k most frequent tokens."""
-    top = F.broadcast(token_frequency(attributions, k).select("token"))  # k rows
+    top = token_frequency(attributions, k).select("token")
     return (
         of_class(attributions)
         .withColumn("token", F.trim("token"))
@@ -140,30 +140,29 @@ def cumulative_values(
     """Running sum of the value over the positions of each sample; the top tokens are marked.
 
     A sample is cut into chunks of positions that are summed on their own, so a very long sample
-    does not end in one task.
+    does not end in one task. The rows are shuffled once, by chunk: the sums before a chunk and the
+    last of the top tokens come from small tables of at most one row and ``marked`` rows per chunk.
     """
-    rows = of_class(attributions, class_idx).withColumn(
-        "_chunk", F.floor(F.col("pos") / CHUNK)
-    )
+    size = F.struct((-F.abs("value")).alias("size"), "pos")
+    chunk = W.partitionBy("sample_id", "_chunk")
+    rows = of_class(attributions, class_idx).withColumn("_chunk", F.floor(F.col("pos") / CHUNK)).withColumns({
+        "_inside": F.sum("value").over(chunk.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)),
+        "_place": F.row_number().over(chunk.orderBy(size)),
+    })
     totals = rows.groupBy("sample_id", "_chunk").agg(F.sum("value").alias("_sum"))
     earlier = W.partitionBy("sample_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         "sample_id", "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before")
     )
-    inside = W.partitionBy("sample_id", "_chunk").orderBy("pos").rowsBetween(
-        W.unboundedPreceding, 0
-    )
-    top = top_tokens(attributions, marked, class_idx).select(
-        "sample_id", "pos", F.lit(1).alias("_top")
-    )
-    return (
-        rows.join(offsets, ["sample_id", "_chunk"])
-        .withColumn("cumulative", F.sum("value").over(inside) + F.col("_before"))
-        .join(top, ["sample_id", "pos"], "left")
-        .select(
-            "sample_id", "pos", "token", "value", "cumulative",
-            F.coalesce("_top", F.lit(0)).alias("is_top"),
-        )
+    best = rows.filter(F.col("_place") <= marked).withColumn(
+        "_rank", F.row_number().over(W.partitionBy("sample_id").orderBy(size))
+    ).filter(F.col("_rank") <= marked)
+    last = best.groupBy("sample_id").agg(F.max(size).alias("_last"))
+    per_chunk = offsets.join(last, "sample_id")
+    return rows.join(per_chunk, ["sample_id", "_chunk"]).select(
+        "sample_id", "pos", "token", "value",
+        (F.col("_inside") + F.col("_before")).alias("cumulative"),
+        (size <= F.col("_last")).cast("int").alias("is_top"),
     )
 
 

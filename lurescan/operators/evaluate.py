@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescan.operators.tables import attach, running_totals
+from lurescan.operators.tables import attach, cut_lineage, running_totals
 
 HISTOGRAM_BINS = 50
 
@@ -82,8 +82,12 @@ def classification_report(df: DataFrame) -> DataFrame:
 
 def binary_metrics(df: DataFrame) -> DataFrame:
     """One row: accuracy, precision, recall, f1, fpr, fnr."""
+    return _binary_metrics(confusion_counts(df))
+
+
+def _binary_metrics(counts: DataFrame) -> DataFrame:
     p, r, f, _ = _class_scores("tp", "fp", "fn")
-    return confusion_counts(df).select(
+    return counts.select(
         ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
         p.alias("precision"),
         r.alias("recall"),
@@ -93,11 +97,25 @@ def binary_metrics(df: DataFrame) -> DataFrame:
     )
 
 
+def score_counts(df: DataFrame) -> DataFrame:
+    """score, pred, rows of class 1, of class 0 and in all; stored, since summaries read it often."""
+    counts = df.groupBy("score", "pred").agg(
+        count_if(F.col("label") == 1).alias("_pos"),
+        count_if(F.col("label") == 0).alias("_neg"),
+        F.count("*").alias("_n"),
+    )
+    return cut_lineage(counts)
+
+
 def score_points(df: DataFrame) -> DataFrame:
     """score, tp, fp, tp_before, fp_before per distinct score: rows at or above, and above, it."""
     counts = df.groupBy("score").agg(
         count_if(F.col("label") == 1).alias("_pos"), count_if(F.col("label") == 0).alias("_neg")
     )
+    return _points(counts)
+
+
+def _points(counts: DataFrame) -> DataFrame:
     running = running_totals(counts, "score", {"tp": "_pos", "fp": "_neg"}, descending=True)
     return running.select(
         "score",
@@ -141,13 +159,17 @@ def roc_curve(df: DataFrame) -> DataFrame:
 
 def areas(df: DataFrame) -> DataFrame:
     """One row: pr_auc (trapezoid), average_precision and roc_auc (ties count half)."""
+    return _areas(score_points(df))
+
+
+def _areas(points: DataFrame) -> DataFrame:
     tp, fp, tp0, fp0 = (F.col(c) for c in ("tp", "fp", "tp_before", "fp_before"))
     precision = ratio(tp, tp + fp)
     before = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(ratio(tp0, tp0 + fp0))
     step = ratio(tp - tp0, F.col("positives"))
     fpr_step = ratio(fp - fp0, F.col("negatives"))
     mean_tpr = ratio(tp + tp0, 2 * F.col("positives"))
-    return score_points(df).agg(
+    return points.agg(
         F.sum(step * (precision + before) / 2).alias("pr_auc"),
         F.sum(step * precision).alias("average_precision"),
         F.sum(fpr_step * mean_tpr).alias("roc_auc"),
@@ -199,11 +221,20 @@ def best_step(history: DataFrame, metric: str) -> DataFrame:
 
 
 def metric_summary(df: DataFrame) -> DataFrame:
-    """metric, value in report order."""
+    """metric, value in report order; the scored rows are read once."""
     names = [
         "accuracy", "roc_auc", "pr_auc", "average_precision", "precision", "recall", "f1", "fpr",
         "fnr",
     ]
-    from_curve = areas(df).select(F.struct("roc_auc", "pr_auc", "average_precision")).scalar()
-    joined = binary_metrics(df).withColumn("_areas", from_curve).select("*", "_areas.*")
+    counts = score_counts(df)
+    predicted = F.coalesce(F.col("pred") == 1, F.lit(False))
+    cells = counts.agg(*[
+        F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0)).alias(name)
+        for name, test, c in (
+            ("tp", predicted, "_pos"), ("fp", predicted, "_neg"), ("fn", ~predicted, "_pos"), ("tn", ~predicted, "_neg"),
+        )
+    ], F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    by_score = counts.groupBy("score").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    from_curve = _areas(_points(by_score)).select(F.struct("roc_auc", "pr_auc", "average_precision")).scalar()
+    joined = _binary_metrics(cells).withColumn("_areas", from_curve).select("*", "_areas.*")
     return _rows(joined, [{"metric": F.lit(m), "value": F.col(m)} for m in names])

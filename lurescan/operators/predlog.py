@@ -147,9 +147,9 @@ def scoring_schedule(
     """The visits that must be scored: per key the first, then each first one after expiry.
 
     ``visits`` has doc_id, request_id and ts_us. Expiry counts from the scoring, not from the last
-    use. Round r finds the r-th scoring of every key with one minimum per key; only that small
-    table is carried to the next round, so the rounds are as many as times to live fit in the time
-    span and no key's visits are gathered. ``hot`` comes with visits that are stored already.
+    use. Round r finds the r-th scoring of every key with one minimum per key. Only the visits after
+    its expiry go on to the next round, so a key without any is finished, and no key's visits are
+    gathered. ``hot`` comes with visits that are stored already.
     """
     ttl = ttl_seconds * 1_000_000
     if hot is None:
@@ -160,24 +160,22 @@ def scoring_schedule(
         found = open_visits.groupBy("doc_id").agg(earliest)
         return cut_lineage(found.select("doc_id", "_first.ts_us", "_first.request_id"))
 
-    def after(previous: DataFrame) -> DataFrame:
+    def after(open_visits: DataFrame, previous: DataFrame) -> DataFrame:
         last = previous.select("doc_id", F.col("ts_us").alias("_last"))
         expired = F.col("ts_us") > F.col("_last") + ttl
-        return join_split_hot(visits, last, "doc_id", "inner", expired, hot)
+        return cut_lineage(join_split_hot(open_visits, last, "doc_id", "inner", expired, hot).drop("_last"))
 
-    if log is None:
-        current = firsts(visits)
-    else:
+    if log is not None:
         known = log.groupBy("doc_id").agg(F.max("created_us").alias("_last"))
-        opened = join_split_hot(visits, known, "doc_id", hot=hot).filter(
+        visits = cut_lineage(join_split_hot(visits, known, "doc_id", hot=hot).filter(
             F.col("_last").isNull() | (F.col("ts_us") > F.col("_last") + ttl)
-        )
-        current = firsts(opened)
-    rounds = current
+        ).drop("_last"))
+    rounds = current = firsts(visits)
     while True:
-        current = firsts(after(current))
-        if current.isEmpty():
+        visits = after(visits, current)
+        if visits.isEmpty():
             return rounds
+        current = firsts(visits)
         rounds = rounds.unionByName(current)
 
 

@@ -137,11 +137,19 @@ def last_rows_split(df: DataFrame, order: str, share: float = 0.15) -> DataFrame
 
 
 def row_range(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
-    """Rows ``[start, end)`` by position, with the position as ``row_idx``; bounds are checked."""
-    n = df.count()
+    """Rows ``[start, end)`` by position, with the position as ``row_idx``; bounds are checked.
+
+    Only the order column is numbered; the rows themselves are filtered by the two values found.
+    """
+    numbered = with_row_number(df.select(order), order)
+    n = numbered.count()
     if start < 0 or end > n or start >= end:
         raise ValueError(f"bad range [{start}, {end}) of {n} rows")
-    return with_row_number(df, order).filter(F.col("row_idx").between(start, end - 1))
+    wanted = numbered.filter(F.col("row_idx").between(start, end - 1))
+    bounds = wanted.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
+    inside = F.col(order).between(bounds["low"], bounds["high"])
+    rows = df.filter(inside | F.col(order).isNull() if bounds["n"] < end - start else inside)
+    return attach(rows, wanted, [order], "inner")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -111,9 +111,10 @@ def join_split_hot(
 def ordered_parts(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``_part``: ranges of a column with about ``rows_per_task`` rows each, in its order.
 
-    Spark's range partitioner finds the cuts from a sample of every split. The result is stored, so
-    that every reader sees the same parts. NULL comes first.
+    Spark's range partitioner finds the cuts from a sample of every split. The input is computed once,
+    and the result is stored, so that every reader sees the same parts. NULL comes first.
     """
+    df = cut_lineage(df)
     parts = max(1, -(-df.count() // rows_per_task))
     ranged = df.repartitionByRange(parts, F.col(order).asc_nulls_first())
     return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))

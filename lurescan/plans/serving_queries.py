@@ -354,13 +354,15 @@ def as_visits(t: Tables, events):
     )
 
 
-def event_stream(t: Tables):
-    """The events table as a file stream."""
-    return (
-        t.spark.readStream.schema(t.events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(t.folder)
-    )
+def event_stream(t: Tables, files: int = 4):
+    """The events as a file stream: one file per quarter of the time span, one file per batch."""
+    folder = run_folder(t, "events")
+    at = micros(t.events, "ts")
+    span = t.events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    for k in range(files):
+        quarter = F.least(F.floor((at - span["low"]) * files / (span["high"] - span["low"] + 1)), F.lit(files - 1))
+        t.events.filter(quarter == k).coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def run_folder(t: Tables, name: str) -> str:

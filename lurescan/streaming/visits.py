@@ -21,7 +21,7 @@ VISIT_DEFAULTS = {"model": "rf", "threshold": 0.6, "scan_mode": "full"}
 
 LOG_SCHEMA = (
     "doc_id string, url string, original_url string, model string, pred int, proba double, "
-    "created_us bigint, request_id bigint, batch_id bigint"
+    "created_us bigint, request_id bigint, batch_id bigint, day int"
 )
 
 
@@ -58,15 +58,21 @@ def verdict_rows(served: DataFrame) -> DataFrame:
     )
 
 
-def read_log(spark: SparkSession, folder: str, before_batch: int) -> DataFrame | None:
-    """Log rows of earlier batches, None before the first."""
+DAY_US = 86_400_000_000
+
+
+def read_log(spark: SparkSession, folder: str, before_batch: int, since_us: int = 0) -> DataFrame | None:
+    """Log rows of earlier batches from the day of ``since_us`` on, None before the first.
+
+    The log is partitioned by batch and day, so what has expired is not read.
+    """
     try:
         rows = spark.read.schema(LOG_SCHEMA).parquet(folder)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return rows.filter(F.col("batch_id") < before_batch)
+    return rows.filter((F.col("batch_id") < before_batch) & (F.col("day") >= since_us // DAY_US))
 
 
 def serve_batch(
@@ -135,10 +141,14 @@ def run_visits(
 
         def store(rows: DataFrame) -> DataFrame:
             path = f"{log_folder}/batch_id={batch_id}"
-            rows.write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
-
-        log = read_log(spark, log_folder, batch_id)
+            dated = rows.withColumn("day", F.floor(F.col("created_us") / DAY_US).cast("int"))
+            dated.write.mode("overwrite").partitionBy("day").parquet(path)
+            return spark.read.schema(f"{rows.schema.toDDL()}, day int").parquet(path).drop("day")
+
+        # an older row covers no visit of this batch
+        first = batch.agg(F.min("ts_us")).first()[0]
+        since = (first or 0) - ttl_seconds * 1_000_000
+        log = read_log(spark, log_folder, batch_id, since)
         served = serve_batch(batch, log, scorer, known_models, ttl_seconds, store)
         served.write.mode("overwrite").parquet(f"{out_folder}/batch_id={batch_id}")
 
