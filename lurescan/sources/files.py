@@ -12,6 +12,7 @@ from lurescan import schemas
 
 BOM = "\ufeff"
 CORRUPT = "_corrupt_record"
+MOST_RULES = 100_000
 
 
 def read_url_list(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -93,9 +94,15 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_suffix_rules(spark: SparkSession, path: str) -> list[str]:
-    """Public-suffix rules from a published list; comments and blank lines are left out."""
+    """Public-suffix rules from a published list; comments and blank lines are left out.
+
+    The rules become part of the plan, so a list of more than ``MOST_RULES`` is refused.
+    """
     lines = spark.read.text(path).select(F.trim("value").alias("rule"))
-    return [r["rule"] for r in lines.filter("rule != '' AND NOT rule LIKE '//%'").collect()]
+    rules = lines.filter("rule != '' AND NOT rule LIKE '//%'").limit(MOST_RULES + 1).collect()
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} suffix rules")
+    return [r["rule"] for r in rules]
 
 
 def save_sets(sets: dict[str, DataFrame], folder: str) -> None:
