@@ -202,3 +202,36 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 10
     packed = documents.select(row.alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = matches(packed, benchmark, window).filter(F.size("hit_words") == 0)
     return found.select(*[F.col("doc_id").getField(c).alias(c) for c in columns])
+
+
+def oracle_sql(window: int = 10) -> str:
+    """The same rows in SQL: every window of every length is joined as text."""
+    words = (
+        "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    )
+    return f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL
+), item_window AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS x
+  FROM (SELECT item, w, least({window}, len(w)) AS k, unnest(range(1, len(w) - least({window}, len(w)) + 2)) AS i
+        FROM b WHERE len(w) > 0)
+), place AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS x
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM item_window) WHERE len(w) >= k)
+), hit AS (
+  SELECT r, place.k, i, item FROM place JOIN item_window ON place.x = item_window.x AND place.k = item_window.k
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r
+), found AS (
+  SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS items
+  FROM hit GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""

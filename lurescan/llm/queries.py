@@ -58,6 +58,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents, benchmark, window=10)
 
 
+ORACLES["op7_decontaminate"] = decontaminate.oracle_sql(window=10)
+
+
 @register
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), threshold=0.5)
