@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -496,18 +497,35 @@ def spans_of(text: str, tags: np.ndarray) -> list[dict]:
     return sorted(out, key=lambda x: (KINDS.index(x["kind"]), x["start"]))
 
 
+def decoded(buf: np.ndarray, offsets: np.ndarray, w: dict) -> Iterator[tuple[str, list[dict]]]:
+    """The texts of a slice with their spans."""
+    raw, cut = buf.tobytes(), offsets.tolist()
+    texts = [raw[a:b].decode() for a, b in zip(cut, cut[1:])]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+    tags = tags_of(w, codes, ends)
+    for t, a, b in zip(texts, ends, ends[1:]):
+        yield t, spans_of(t, tags[a:b])
+
+
+def without_spans(text: str, spans: list[dict]) -> str | None:
+    """The text with each span replaced by its kind in brackets, spans that overlap by the first of
+    them; None if there is no span."""
+    parts, at = [], 0
+    for s in sorted(spans, key=lambda x: (x["start"], x["end"])):
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    return "".join([*parts, text[at:]]) if spans else None
+
+
 def find_spans(documents: DataFrame, model: bytes, keep: list[str] | None = None) -> DataFrame:
     """``spans`` of each whole text: kind, start, end (code points, end exclusive), base.
 
     NULL and empty texts have none. The model has a fixed size.
     """
     def work(buf, offsets, w, part):
-        raw, cut = buf.tobytes(), offsets.tolist()
-        texts = [raw[a:b].decode() for a, b in zip(cut, cut[1:])]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([0, *map(len, texts)]).astype(np.int64)
-        tags = tags_of(w, codes, ends)
-        return [pa.array([spans_of(t, tags[a:b]) for t, a, b in zip(texts, ends, ends[1:])], ARROW_SPANS)]
+        return [pa.array([spans for _, spans in decoded(buf, offsets, w)], ARROW_SPANS)]
 
     return map_slices(
         documents, "text", keep or ["doc_id"], work, [T.StructField("spans", SPANS)], prepare=lambda: unpack(model))
@@ -542,28 +560,21 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced as one. NULL texts stay NULL; all columns are kept.
     """
+    model = train(documents)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     packed = documents.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    found = find_spans(packed, train(documents), keep=["row"])
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s.start, s.end, s.kind)))
-    text = F.col("row").getField("text")
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(done, s):
-        gap = F.substring(text, (done.at + 1).cast("int"), F.greatest(s.start - done.at, F.lit(0)).cast("int"))
-        mark = F.when(s.start >= done.at, F.concat(gap, F.lit("["), F.upper(s.kind), F.lit("]"))).otherwise("")
-        return F.struct(F.concat(done.text, mark).alias("text"), F.greatest(done.at, s.end).alias("at"))
-
-    rest = F.aggregate(
-        by_start, zero, step,
-        lambda done: F.concat(done.text, F.substring(text, (done.at + 1).cast("int"), F.lit(2147483647))))
-    new = F.when(F.size("spans") > 0, rest).otherwise(text)
+
+    def work(buf, offsets, w, part):
+        return [pa.array([without_spans(t, spans) for t, spans in decoded(buf, offsets, w)], pa.string())]
+
+    found = map_slices(
+        packed, "text", ["row"], work, [T.StructField("clean", T.StringType())], prepare=lambda: unpack(model))
     columns = []
     for c in documents.columns:
         value = F.col("row").getField(c)
         if c == "text":
-            value = new
+            value = F.coalesce("clean", value)
         elif c == "n_chars":
-            value = F.when(F.size("spans") > 0, F.length(new).cast(documents.schema[c].dataType)).otherwise(value)
+            value = F.coalesce(F.length("clean").cast(documents.schema[c].dataType), value)
         columns.append(value.alias(c))
     return found.select(*columns)
