@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lurescan.functions import constants as C
 from lurescan.operators.domains import LOOKED_UP, all_values, domain_table, index_record
 from lurescan.operators.page_features import default_page_features
-from lurescan.operators.tables import join_split_hot
+from lurescan.operators.tables import hot_keys, join_split_hot
 from lurescan.operators.url_features import addresses, decompose, described, report_flag, url_features
 
 NOT_ALIVE = "crawler_not_alive"
@@ -38,12 +38,22 @@ def url_table(pages: DataFrame, index_status: DataFrame) -> DataFrame:
     chosen = pages.select("url", *C.PAGE_FEATURE_COLUMNS, "final_url", "redirect_chain")
     page = one_page_per_url(chosen).withColumn("_crawled", crawled_url())
     index = index_record(index_status)
-    of_page = join_split_hot(page, index.withColumnRenamed("url", "_crawled"), "_crawled")
+    ends = chosen.select(F.coalesce("final_url", "url").alias("_crawled"))
+    of_page = join_split_hot(
+        page, index.withColumnRenamed("url", "_crawled"), "_crawled", hot=hot_keys(ends, "_crawled"))
     of_page = of_page.withColumn("_has_page", F.lit(True))
     alone = index.join(page.select("url"), "url", "left_anti")
     return of_page.unionByName(alone, allowMissingColumns=True)
 
 
+def hot_domains(urls: DataFrame, pages: DataFrame, suffix_rules: Sequence[str]) -> DataFrame:
+    """Domains with many rows among the requested and the crawled URLs; no page feature is computed."""
+    listed = urls.select("url")
+    if "final_url" in pages.columns:
+        listed = listed.unionByName(pages.select(F.col("final_url").alias("url")).filter("url IS NOT NULL"))
+    return hot_keys(decompose(listed, "url", suffix_rules).select("domain"), "domain")
+
+
 def filled_page_features() -> list[Column]:
     """Page features of a live page as they are, the defaults for a dead page or none."""
     live = F.coalesce(F.col("_has_page") & (F.col("is_alive") == 1), F.lit(False))
@@ -74,7 +84,8 @@ def build_dataset(
     paged = join_split_hot(urls, url_table(pages, index_status), "url")
     paged = paged.withColumn("url", F.coalesce("_crawled", "url"))
     known = domain_table(registry, dns_ns, domain_rank, addresses(dns_snapshot))
-    joined = join_split_hot(decompose(paged, "url", suffix_rules), known, "domain")
+    joined = join_split_hot(
+        decompose(paged, "url", suffix_rules), known, "domain", hot=hot_domains(urls, pages, suffix_rules))
     columns = [c for c in joined.columns if c not in C.PAGE_FEATURE_COLUMNS]
     full = joined.select(
         *columns, *filled_page_features(), *[c.alias(k) for k, c in all_values(as_of).items()],
