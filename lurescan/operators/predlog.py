@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lurescan.functions import url as U
@@ -262,6 +262,18 @@ def page_of(rows: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
     return rows.offset((page - 1) * size).limit(size)
 
 
+def page_after(log: DataFrame, last: Row | None, size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind the row ``last`` of :func:`list_logs`, or the first one.
+
+    The rows before it are filtered out instead of being skipped, so a late page costs no more than
+    the first and nothing but one page is gathered.
+    """
+    if last is not None:
+        same = F.col("created_us") == last["created_us"]
+        log = log.filter((F.col("created_us") < last["created_us"]) | (same & (F.col("doc_id") > last["doc_id"])))
+    return list_logs(log, size)
+
+
 def page_count(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """One row: pages, at least 1."""
     return rows.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("pages"))

@@ -158,6 +158,18 @@ def newest_logs(t: Tables):
     return M.list_logs(existing_log(t), 25)
 
 
+@query(
+    "page_after_a_row",
+    LOG_SPEC,
+    f"""WITH {NORMALISED_SQL}, {LOG_SQL}
+    SELECT * FROM log ORDER BY created_us DESC, doc_id LIMIT 10 OFFSET 25""",
+)
+def page_after_a_row(t: Tables):
+    log = existing_log(t)
+    last = M.list_logs(log, 25).collect()[-1]
+    return M.page_after(log, last)
+
+
 # Reviews of the log: domain-mode rows are corrected, XGB rows verified, RF rows named without change.
 def updates(t: Tables):
     domain = F.col("doc_id").endswith("_domain")
