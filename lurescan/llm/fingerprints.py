@@ -79,8 +79,12 @@ def followed(rows: DataFrame, parts: int) -> DataFrame:
     return lagged.select("doc_id", "h", F.coalesce("before", edge).alias("before"))
 
 
-def same_key(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+KEY = ["id", "known", "h"]
+
+
+def keyed(doc_id: Column, h: Column, dtype) -> list[Column]:
+    """The key of a document without NULL, so that joins and groups on it share one partitioning."""
+    return [F.coalesce(doc_id, F.lit(0).cast(dtype)).alias("id"), doc_id.isNotNull().alias("known"), h.alias("h")]
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, rows_per_range: int = 50_000) -> DataFrame:
@@ -103,18 +107,22 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, scale: int = SCAL
     total = places.count()
     order = followed(places, max(1, min(4096, -(-total // rows_per_range))))
 
-    sketched = base.select(
-        "doc_id", F.xxhash64("text").alias("h"), "text", sketch(F.col("text"), shingle, scale).alias("kept"))
-    sent = sketched.alias("d").join(order.alias("o"), same_key("d", "o")).select(
-        "o.before.doc_id", "o.before.h",
-        F.substring("d.text", F.lit(1), F.col("o.before.half").cast("int")).alias("head"),
-        F.col("d.kept").alias("next_kept"))
-    sent = sent.groupBy("doc_id", "h").agg(F.first("head").alias("head"), F.first("next_kept").alias("next_kept"))
-    met = sketched.alias("d").join(sent.alias("s"), same_key("d", "s"), "left")
+    dtype = base.schema["doc_id"].dataType
+    own = keyed(F.col("doc_id"), F.xxhash64("text"), dtype)
+    sketched = base.select(*own, "text", sketch(F.col("text"), shingle, scale).alias("kept"))
+    earlier = order.select(
+        *keyed(F.col("doc_id"), F.col("h"), dtype),
+        F.struct(*keyed(F.col("before.doc_id"), F.col("before.h"), dtype)).alias("before"), "before.half")
+    sent = sketched.join(earlier, KEY).select(
+        "before.*", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"),
+        F.col("kept").alias("next_kept"))
+    sent = sent.groupBy(*KEY).agg(F.first("head").alias("head"), F.first("next_kept").alias("next_kept"))
+    met = sketched.alias("d").join(sent.alias("s"), KEY, "left")
     n = F.length("d.text")
     edited = F.concat(F.substring("d.text", F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("s.head"))
+    doc_id = F.when(F.col("known"), F.col("id")).alias("doc_id")
     rows = met.select(
-        "d.doc_id", n.cast("bigint").alias("n_chars"), "d.kept", "s.next_kept", edited.alias("edited"))
+        doc_id, n.cast("bigint").alias("n_chars"), "d.kept", "s.next_kept", edited.alias("edited"))
     rows = rows.withColumn("edited_kept", sketch(F.col("edited"), shingle, scale))
     return rows.select(
         "doc_id", "n_chars",
