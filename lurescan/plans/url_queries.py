@@ -60,7 +60,10 @@ urls AS (
 
 
 def decomposed(t: Tables):
-    return UF.decompose(t.pages.select("page_id", "url"), "url", SUFFIX_RULES)
+    """The pages' URL parts; the plan is built once per set of tables."""
+    if "_decomposed" not in vars(t):
+        t._decomposed = UF.decompose(t.pages.select("page_id", "url"), "url", SUFFIX_RULES)
+    return t._decomposed
 
 
 def www_brands(t: Tables):
