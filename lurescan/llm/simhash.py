@@ -195,8 +195,9 @@ def labelled(rows: DataFrame, distance: int) -> DataFrame:
     rank = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = neighbours(rank.select("fp"), distance)
     found = components(links, rank)
-    names = rank.join(found, "fp", "left").select(
-        "fp", F.coalesce("label", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    # stored, so that the join below has a shuffle of its own and a group of copies can be split there
+    names = stored(rank.join(found, "fp", "left").select(
+        "fp", F.coalesce("label", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
     return rows.join(names, "fp", "left")
 
 
