@@ -93,7 +93,7 @@ def checked(kind: str, text: str, start: int, end: int) -> tuple[int, int] | Non
     elif kind == "card":
         hits = [m.span() for m in CARD.finditer(part) if is_card(m[0])]
         inner = text[start:end]
-        if not hits and is_card(inner) and inner[0].isdigit() and inner[-1].isdigit():
+        if not hits and CARD.fullmatch(inner) and is_card(inner):
             hits = [(start - low, end - low)]
     else:
         hits = [

@@ -1,6 +1,6 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives.
 
-Candidates are long strings of key characters with a digit. The forest sees their length, character
+Candidates are long strings of key characters with a digit or an issuer's head. The forest sees their length, character
 classes and transitions, how likely their letters follow each other in the corpus, how much of them
 is dictionary words, the path and the neighbouring words. Only DataFrame functions and the forest of
 Spark's own library are used.
@@ -23,7 +23,8 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{12,}={0,2}"
 NAMING = "(?i)(secret|token|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer|_key|key$)"
 
 #: Heads by which issuers mark their keys.
-ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_live_|^AIza[A-Za-z0-9_-]{35}$"
+HEADS = r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|sk_live_|AIza[A-Za-z0-9_-]{35}"
+ISSUED = f"^({HEADS})"
 
 #: Labelled findings that the forest is trained on at most: generated, and taken from the table.
 GENERATED, FROM_TABLE = 6_000, 6_000
@@ -51,7 +52,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     word = lambda i: F.coalesce(F.when(i >= 0, F.get("words", i)), F.lit(""))
     long = F.filter(
         F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (F.length(word(i)) >= 12) & word(i).rlike(CANDIDATE) & word(i).rlike("[0-9]"),
+        lambda i: (F.length(word(i)) >= 12) & word(i).rlike(CANDIDATE) & word(i).rlike(f"[0-9]|{HEADS}"),
     )
     places = F.transform(long, lambda i: F.struct(
         i.alias("at"), word(i).alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
@@ -64,7 +65,7 @@ def values(rows: DataFrame) -> DataFrame:
     each = rows.select("row", "path", F.explode("places").alias("p")).select("row", "path", "p.*")
     each = each.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
     lead = F.expr("substring(word, 1, instr(word, value) - 1)")
-    each = each.filter(F.col("value").rlike("[0-9]"))
+    each = each.filter(F.col("value").rlike(f"[0-9]|{ISSUED}"))
     return each.select("row", "at", "value", lead.alias("lead"), "before", "after", "path")
 
 
