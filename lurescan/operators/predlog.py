@@ -132,10 +132,10 @@ def responses(
     }).drop("_scored_by")
 
 
-def materialised_visits(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def materialised_visits(visits: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Keys and times of the visits, stored so that no round derives them again, and hot keys."""
-    stored = cut_lineage(visits.select("doc_id", "request_id", "ts_us"))
-    return stored, hot_keys(stored, "doc_id")
+    stored = cut_lineage(visits.select("doc_id", "request_id", "ts_us"), folder)
+    return stored, hot_keys(stored, "doc_id", folder=folder)
 
 
 def scoring_schedule(
@@ -143,33 +143,37 @@ def scoring_schedule(
     log: DataFrame | None = None,
     ttl_seconds: int = TTL_SECONDS,
     hot: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """The visits that must be scored: per key the first, then each first one after expiry.
 
     ``visits`` has doc_id, request_id and ts_us. Expiry counts from the scoring, not from the last
     use. Round r finds the r-th scoring of every key with one minimum per key. Only the visits after
     its expiry go on to the next round, so a key without any is finished, and no key's visits are
-    gathered. ``hot`` comes with visits that are stored already.
+    gathered. ``hot`` comes with visits that are stored already. The tables of the rounds are
+    checkpoints, or written below ``folder``.
     """
     ttl = ttl_seconds * 1_000_000
     if hot is None:
-        visits, hot = materialised_visits(visits)
+        visits, hot = materialised_visits(visits, folder)
     earliest = F.min(F.struct("ts_us", "request_id")).alias("_first")
 
     def firsts(open_visits: DataFrame) -> DataFrame:
         found = open_visits.groupBy("doc_id").agg(earliest)
-        return cut_lineage(found.select("doc_id", "_first.ts_us", "_first.request_id"))
+        return cut_lineage(found.select("doc_id", "_first.ts_us", "_first.request_id"), folder)
 
     def after(open_visits: DataFrame, previous: DataFrame) -> DataFrame:
         last = previous.select("doc_id", F.col("ts_us").alias("_last"))
         expired = F.col("ts_us") > F.col("_last") + ttl
-        return cut_lineage(join_split_hot(open_visits, last, "doc_id", "inner", expired, hot).drop("_last"))
+        later = join_split_hot(open_visits, last, "doc_id", "inner", expired, hot)
+        return cut_lineage(later.drop("_last"), folder)
 
     if log is not None:
         known = log.groupBy("doc_id").agg(F.max("created_us").alias("_last"))
-        visits = cut_lineage(join_split_hot(visits, known, "doc_id", hot=hot).filter(
+        opened = join_split_hot(visits, known, "doc_id", hot=hot).filter(
             F.col("_last").isNull() | (F.col("ts_us") > F.col("_last") + ttl)
-        ).drop("_last"))
+        )
+        visits = cut_lineage(opened.drop("_last"), folder)
     rounds = current = firsts(visits)
     while True:
         visits = after(visits, current)

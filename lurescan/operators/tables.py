@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,10 +41,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small table that an iteration carries along."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """A small table computed once: a reliable checkpoint, or a table below ``folder``.
+
+    Spark removes checkpoints with ``spark.cleaner.referenceTracking.cleanCheckpoints``; a caller that
+    runs for ever gives a folder and removes it (:func:`remove_folder`).
+    """
+    if folder is None:
+        shared_folder(df.sparkSession)
+        return df.checkpoint(eager=True)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder in whatever file system holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows without a key are dealt over so many values.
@@ -69,14 +84,17 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left
     return joined.select("left.*", *[F.col(f"right.{c}") for c in added])
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(
+    df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, folder: str | None = None
+) -> DataFrame:
     """``_hot, _salts``: the keys with more rows than a task should get, and the tasks they need.
 
     There are fewer than rows / ``rows_per_task`` of them.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
     hot = counts.filter(F.col("_n") > rows_per_task)
-    return cut_lineage(hot.select("_hot", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
+    salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
+    return cut_lineage(hot.select("_hot", salts), folder)
 
 
 def join_split_hot(

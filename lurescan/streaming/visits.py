@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lurescan.operators import predlog as M
-from lurescan.operators.tables import join_split_hot
+from lurescan.operators.tables import join_split_hot, remove_folder
 
 # --- fixed values: visit configuration -------------------------------------------------------------
 VISIT_DEFAULTS = {"model": "rf", "threshold": 0.6, "scan_mode": "full"}
@@ -82,18 +82,20 @@ def serve_batch(
     known_models: Sequence[str],
     ttl_seconds: int,
     store: Callable[[DataFrame], DataFrame],
+    folder: str | None = None,
 ) -> DataFrame:
     """Verdict rows of one batch of visits; ``store`` keeps the new log rows and returns them.
 
     ``visits`` has request_id, tab_id, ts_us, url, model, threshold and scan_mode. A scored row
     covers the visits of its key from its creation until it expires, so at most one row covers a
     visit. A visit that is older than the log row of an earlier batch is answered by that row.
+    Intermediate tables are checkpoints, or written below ``folder``.
     """
     ttl = ttl_seconds * 1_000_000
     gated = configured(visits, known_models).withColumn("is_web", is_web_url(F.col("url")).cast("int"))
     usable = gated.filter("is_web = 1 AND error IS NULL")
-    keys, hot = M.materialised_visits(usable)
-    schedule = M.scoring_schedule(keys, log, ttl_seconds, hot)
+    keys, hot = M.materialised_visits(usable, folder)
+    schedule = M.scoring_schedule(keys, log, ttl_seconds, hot, folder)
     to_score = usable.join(schedule.select("request_id"), "request_id", "left_semi")
     scored = M.score_requests(to_score, scorer, F.col("ts_us"))
     new_rows = store(scored.filter("pred IS NOT NULL"))
@@ -149,8 +151,11 @@ def run_visits(
         first = batch.agg(F.min("ts_us")).first()[0]
         since = (first or 0) - ttl_seconds * 1_000_000
         log = read_log(spark, log_folder, batch_id, since)
-        served = serve_batch(batch, log, scorer, known_models, ttl_seconds, store)
+        scratch = f"{folder}/scratch/batch_id={batch_id}"
+        remove_folder(spark, scratch)  # of an attempt that was cut off
+        served = serve_batch(batch, log, scorer, known_models, ttl_seconds, store, scratch)
         served.write.mode("overwrite").parquet(f"{out_folder}/batch_id={batch_id}")
+        remove_folder(spark, scratch)
 
     return (
         visits.writeStream.foreachBatch(process)

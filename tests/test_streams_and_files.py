@@ -1,5 +1,6 @@
 """Streams in several batches, resumable builds and file formats."""
 
+import os
 import random
 
 import pytest
@@ -69,6 +70,7 @@ def test_stream_equals_visit_by_visit(spark, tmp_path, n_files):
     N.run_visits(stream, folder, scorer, MODELS, TTL).awaitTermination()
     found = spark.read.parquet(f"{folder}/verdicts")
     assert found.select("batch_id").distinct().count() == n_files
+    assert os.listdir(f"{folder}/scratch") == []
     expected = expected_verdicts(rows)
     probas = {
         r["request_id"]: r["proba"]
