@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lurescan.operators import predlog as M
-from lurescan.operators.tables import join_split_hot, remove_folder
+from lurescan.operators.tables import cut_lineage, join_split_hot, remove_folder
 
 # --- fixed values: visit configuration -------------------------------------------------------------
 VISIT_DEFAULTS = {"model": "rf", "threshold": 0.6, "scan_mode": "full"}
@@ -95,7 +95,11 @@ def serve_batch(
     gated = configured(visits, known_models).withColumn("is_web", is_web_url(F.col("url")).cast("int"))
     usable = gated.filter("is_web = 1 AND error IS NULL")
     keys, hot = M.materialised_visits(usable, folder)
-    schedule = M.scoring_schedule(keys, log, ttl_seconds, hot, folder)
+    newest = None
+    if log is not None:
+        row = F.max_by(F.struct("pred", "proba", "created_us"), "created_us").alias("_row")
+        newest = cut_lineage(log.groupBy("doc_id").agg(row).select("doc_id", "_row.*"), folder)
+    schedule = M.scoring_schedule(keys, newest, ttl_seconds, hot, folder)
     to_score = usable.join(schedule.select("request_id"), "request_id", "left_semi")
     scored = M.score_requests(to_score, scorer, F.col("ts_us"))
     new_rows = store(scored.filter("pred IS NOT NULL"))
@@ -104,11 +108,9 @@ def serve_batch(
     verdicts = new_rows.select(
         *columns, F.col("request_id").alias("_scored_by"), F.col("created_us").alias("_from")
     )
-    if log is not None:
-        newest = F.max_by(F.struct("pred", "proba", "created_us"), "created_us").alias("_row")
-        stored = log.groupBy("doc_id").agg(newest).select("doc_id", "_row.*")
+    if newest is not None:
         verdicts = verdicts.unionByName(
-            stored.select(
+            newest.select(
                 *columns,
                 F.lit(None).cast("bigint").alias("_scored_by"),
                 F.lit(0).cast("bigint").alias("_from"),
