@@ -438,7 +438,7 @@ def extract(pages: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
     """
     def work(buf, offsets, field, part):
         raw, cut = buf.tobytes(), offsets.tolist()
-        texts = [main_text(raw[a:b].decode(), field) for a, b in zip(cut, cut[1:])]
+        texts = [main_text(raw[a:b].decode(errors="replace"), field) for a, b in zip(cut, cut[1:])]
         return [pa.array(texts, pa.string())]
 
     names = [f"k{i}" for i in range(len(keep))]

@@ -99,7 +99,7 @@ def pieces(
         raw, cut = buf.tobytes(), offsets.tolist()
         starts, lengths, crcs, tokens, sizes, values = [], [], [], [], [0], []
         for a, b in zip(cut, cut[1:]):
-            ids = np.array([*encode(raw[a:b].decode()), end_id], dtype="<u4")
+            ids = np.array([*encode(raw[a:b].decode(errors="replace")), end_id], dtype="<u4")
             for at in range(0, len(ids), max_tokens):
                 piece = ids[at : at + max_tokens]
                 starts.append(at)

@@ -500,7 +500,7 @@ def spans_of(text: str, tags: np.ndarray) -> list[dict]:
 def decoded(buf: np.ndarray, offsets: np.ndarray, w: dict) -> Iterator[tuple[str, list[dict]]]:
     """The texts of a slice with their spans."""
     raw, cut = buf.tobytes(), offsets.tolist()
-    texts = [raw[a:b].decode() for a, b in zip(cut, cut[1:])]
+    texts = [raw[a:b].decode(errors="replace") for a, b in zip(cut, cut[1:])]
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([0, *map(len, texts)]).astype(np.int64)
     tags = tags_of(w, codes, ends)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lurescan.llm import decontaminate, fingerprints, license_scan, packing, pii, queries, simhash, text
+from lurescan.llm import decontaminate, fingerprints, html_text, license_scan, packing, pii, queries, simhash, text
 from llm_helpers import FOLDER, read
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -346,3 +346,13 @@ def test_base_spans_equal_the_patterns(spark):
 def test_long_runs_take_linear_time():
     for t in ("9" * 200_000, "a" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000):
         pii.base_spans(t)
+
+
+def test_broken_utf8_does_not_stop_a_task(spark):
+    """Bytes that are no UTF-8 can reach a string column through a cast."""
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62204D') AS string) AS text, cast(unhex('3C703EFF') AS string) AS html, 'u' AS url")
+    assert packing.pack(df).count() == 1
+    assert decontaminate.contamination(df, spark.createDataFrame([(1, "x")], "item_id int, text string")).first().n_hit == 0
+    assert simhash.near_duplicates(df).count() == 1
+    field = html_text.train(html_text.labelled_pages(20), rounds=5)
+    assert html_text.extract(df, field, ["doc_id"]).count() == 1
