@@ -186,18 +186,26 @@ def decision_path(
 ) -> DataFrame:
     """Path from the base value to the output over the n most important tokens of each sample.
 
-    ``path`` at rank r is the output once all tokens of rank r and below have been added.
+    ``path`` at rank r is the output once all tokens of rank r and below have been added. The rows are
+    shuffled once, by chunk of positions; a chunk hands on its sum and its n largest values.
     """
-    totals = of_class(attributions, class_idx).groupBy("sample_id").agg(
-        F.sum("value").alias("_total")
+    size = F.struct((-F.abs("value")).alias("size"), "pos")
+    chunk, sample = W.partitionBy("sample_id", "_chunk"), W.partitionBy("sample_id")
+    best = (
+        of_class(attributions, class_idx)
+        .withColumn("_chunk", F.floor(F.col("pos") / CHUNK))
+        .withColumns({"_place": F.row_number().over(chunk.orderBy(size)), "_sum": F.sum("value").over(chunk)})
+        .filter(F.col("_place") <= n)
     )
-    starts = totals.join(of_class(bases, class_idx).select("sample_id", "base"), "sample_id")
-    higher = W.partitionBy("sample_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    ranked = best.withColumns({
+        "_total": F.sum(F.when(F.col("_place") == 1, F.col("_sum"))).over(sample),
+        "rank": F.row_number().over(sample.orderBy(size)),
+    }).filter(F.col("rank") <= n)
+    higher = sample.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     more_important = F.coalesce(F.sum("value").over(higher), F.lit(0.0))
     return (
-        top_tokens(attributions, n, class_idx)
-        .withColumn("_more", more_important)
-        .join(starts, "sample_id")
+        ranked.withColumn("_more", more_important)
+        .join(of_class(bases, class_idx).select("sample_id", "base"), "sample_id")
         .select(
             "sample_id", "rank", "pos", "token", "value", "base",
             (F.col("base") + F.col("_total") - F.col("_more")).alias("path"),
