@@ -29,8 +29,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents that are left."""
-    return packing.pack(docs, max_tokens=2048)
+    """Token sequences of the documents that are left, with the token ids of each piece."""
+    return packing.pack(docs, max_tokens=2048, with_ids=True)
 
 
 STAGES = [

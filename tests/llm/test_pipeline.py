@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from lurescan.llm import decontaminate, pii, quality, simhash
+from lurescan.llm import decontaminate, packing, pii, quality, simhash
 from test_exact import components, expected_hits, expected_print
 
 from llm_helpers import FOLDER, read
@@ -69,3 +69,16 @@ def test_repeated_rows_and_ids(spark, edge, labels):
     benchmark = spark.createDataFrame([(1, "Alpha beta gamma delta")], "item_id bigint, text string")
     left = decontaminate.clean_documents(edge, benchmark)
     assert left.count() == edge.count() - 3 and left.columns == edge.columns
+
+
+def test_packed_result_holds_the_texts(spark, edge):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    name, stage = corpus_pipeline.STAGES[-1]
+    docs = edge.filter("doc_id IN (1, 6, 7, 8)").dropDuplicates(["doc_id"])
+    parts = {}
+    for r in stage(spark, docs, FOLDER).collect():
+        parts.setdefault(r.doc_id, []).append((r.start, r.ids))
+    texts = {d: tokenizer.decode([i for _, ids in sorted(p) for i in ids][:-1]) for d, p in parts.items()}
+    assert texts == {r.doc_id: r.text for r in docs.collect()}
