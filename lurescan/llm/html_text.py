@@ -12,6 +12,7 @@ import io
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,15 @@ BLOCK_TAGS = frozenset(
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
 UNSEEN_TAGS = frozenset(
-    "applet canvas datalist embed head iframe math noembed noframes noscript object script style svg template textarea "
-    "title".split()
+    "annotation annotation-xml applet canvas datalist embed iframe noembed noframes noscript object script style svg "
+    "template textarea title".split()
 )
 RAW_TAGS = frozenset("iframe noembed noframes script style textarea title".split())
+#: Start tags that end an open svg.
+BREAKOUT_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: An open element of the first kind ends when one of the second kind begins inside the same holder.
@@ -64,11 +70,19 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; character references decoded, white space folded, empty ones left out."""
+    """Leaf blocks in page order; character references decoded, white space folded, empty ones left out.
+
+    A head hides nothing but its elements that are not shown, so its end tag may be missing. An element
+    that is not shown ends at its end tag or where its holder is closed, an svg also at a tag that cannot
+    stand in one; where no end tag follows at all, its content is text of the page.
+    """
     found: list[Block] = []
     stack: list[tuple[str, frozenset, int]] = []
     parts: list[str] = []
     state = {"linked": 0, "link": False, "unseen": None, "serial": 0}
+    inner: list[str] = []
+    opened: Counter = Counter()
+    ends: dict[str, int] = {}
 
     def flush():
         if parts:
@@ -95,6 +109,23 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in holders:
                 return
 
+    def ended_later(tag: str) -> bool:
+        if tag not in ends:
+            ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
+        return ends[tag] >= at
+
+    def leaves(tag: str, closing: bool) -> bool:
+        """Whether a tag inside an unseen element ends that element."""
+        if not closing:
+            held = opened["foreignobject"] or opened["desc"] or opened["title"]
+            return state["unseen"] == "svg" and tag in BREAKOUT_TAGS and not held
+        while opened[tag]:
+            last = inner.pop()
+            opened[last] -= 1
+            if last == tag:
+                return False
+        return tag == state["unseen"] or tag == "a" and state["link"] or any(t == tag for t, _, _ in stack)
+
     at = 0
     while True:
         m = TOKEN.search(page, at)
@@ -108,16 +139,26 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = tag.lower(), bool(m["close"])
         if state["unseen"]:
-            if closing and tag == state["unseen"]:
-                state["unseen"] = None
-            continue
+            if not leaves(tag, closing):
+                if tag in ("script", "style") and not closing:
+                    end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at) if ended_later(tag) else None
+                    at = end.end() if end else at
+                elif not closing and tag not in VOID_TAGS and (tag in BLOCK_TAGS or not m["attrs"].endswith("/")):
+                    inner.append(tag)
+                    opened[tag] += 1
+                continue
+            ended, state["unseen"] = state["unseen"], None
+            if closing and tag == ended:
+                continue
         if tag in UNSEEN_TAGS:
             if not closing and tag not in VOID_TAGS and not m["attrs"].endswith("/"):
                 if tag in RAW_TAGS:
                     end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
                     at = end.end() if end else len(page)
-                else:
+                elif tag == "svg" or ended_later(tag):
                     state["unseen"] = tag
+                    inner.clear()
+                    opened.clear()
             continue
         if tag == "br":
             parts.append(" ")

@@ -233,6 +233,22 @@ def test_odd_markup(page, field):
     html_text.main_text(page, html_text.unpack(field))
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<head><title>x</title><meta a=b><body><p>text</p>", ["text"]),
+    ("<html><head><title>x</title><script>'</head>'</script><p>text</p>", ["text"]),
+    ("<p>a <noscript>b</p><p>c</p><noscript>no</noscript>", ["a", "c"]),
+    ("<body><noscript><p>a</p><p>b</p>", ["a", "b"]),
+    ("<div><object data=x><div>no</div></div><p>a</p><object>no</object>", ["a"]),
+    ("<object>no<object>no</object>no</object>a", ["a"]),
+    ("<p>a <svg><title>no</title><path d=z></p><p>b</p>", ["a", "b"]),
+    ("<body><svg><text>no</text><p>a</p>", ["a"]),
+    ("<svg><foreignObject><p>no</p></foreignObject></svg><p>a</p>", ["a"]),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> be</p>", ["let x=2 be"]),
+])
+def test_end_tags_that_are_left_out(page, texts):
+    assert [b.text for b in html_text.blocks(page)] == texts
+
+
 def test_field_decodes_the_best_path(field):
     f = html_text.unpack(field)
     rows = html_text.features(html_text.blocks(html_text.labelled_pages(1, seed=5)[0][0]))[:9]
