@@ -292,6 +292,30 @@ def test_sketches_keep_the_share_and_estimate(spark):
     assert abs(np.mean(sizes) / (1996 / 8) - 1) < 0.1
 
 
+def test_short_texts_inside_long_ones(spark):
+    """A text without a hash below the threshold is looked for among all hashes of the other text."""
+    words = [f"w{i * i % 997}" for i in range(4000)]
+    rows = []
+    for k in range(40):
+        short = " ".join(words[k * 100 : k * 100 + 7])
+        rows += [(2 * k, short), (2 * k + 1, " ".join(words[k * 100 + 50 : k * 100 + 90]) + " " + short)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all(r.near_next == 1 for r in fingerprints.fingerprints(docs).collect() if r.doc_id % 2 == 0)
+
+    cut = lambda s: {s[i : i + 16] for i in range(0, len(s), 16)}
+    docs = docs.unionByName(read(spark, "documents").selectExpr("doc_id + 100 AS doc_id", "text"))
+    whole = {r.doc_id: r for r in fingerprints.fingerprints(docs, scale=1).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    ids = sorted(got)
+    lone = 0
+    for i, after in zip(ids, [*ids[1:], ids[0]]):
+        if len(got[i].fingerprint) == 16 and int(got[i].fingerprint, 16) ^ 2**63 > 2**61:
+            lone += 1
+            assert got[i].near_edited == (got[i].fingerprint in cut(whole[i].edited_fingerprint))
+            assert got[i].near_next == (got[i].fingerprint in cut(whole[after].fingerprint))
+    assert lone > 10
+
+
 # ---- licenses
 
 
