@@ -1,6 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text. Tokens are ordered by their frequency over all blocks, rarest first. A
+Blocks are the lines of a text, longer ones in overlapping windows. A short template must have its word
+that names the license. Tokens are ordered by their frequency over all blocks, rarest first. A
 block that has the wanted share of a template's tokens must share one of the template's first
 ``size - needed + 1`` tokens (prefix), have ``needed`` template tokens at all (length), and still have
 enough of them from the first shared token on (position). What passes is verified by intersection.
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lurescan.functions.url import let
 from lurescan.llm.text import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +49,9 @@ TEMPLATES = [
 #: Share of a template's tokens that a block must have.
 CONTAINMENT = 0.8
 
+#: Words that name a license: a template with so few distinct tokens is not held without its own.
+NAMES, SHORT = {"mit", "apache", "nc"}, 8
+
 #: The index is broadcast up to so many template tokens; beyond, the join is shuffled.
 BROADCAST_TOKENS = 200_000
 
@@ -82,9 +87,23 @@ def phrase_places(found: Column, phrases: dict[str, str]) -> Column:
 
 
 def template_index(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """``(template, label, tokens)`` with distinct tokens."""
-    rows = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(templates)]
-    return spark.createDataFrame(rows, "template int, label string, tokens array<string>")
+    """``(template, label, tokens, names)`` with distinct tokens, and those that must not be missing."""
+    rows = []
+    for i, (label, text) in enumerate(templates):
+        tokens = sorted(set(text.split()))
+        rows.append((i, label, tokens, [w for w in tokens if w in NAMES] if len(tokens) <= SHORT else []))
+    return spark.createDataFrame(rows, "template int, label string, tokens array<string>, names array<string>")
+
+
+def span(templates: list[tuple[str, str]]) -> int:
+    """The words of the longest template."""
+    return max((len(t.split()) for _, t in templates), default=1)
+
+
+def windows(found: Column, size: int) -> Column:
+    """Words in blocks of at most ``2 * size``, one every ``size``, so that ``size`` next words share a block."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found) - size, F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda i: F.slice(found, i, 2 * size))
 
 
 def contained(profiles: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
@@ -100,9 +119,10 @@ def contained(profiles: DataFrame, templates: DataFrame, threshold: float) -> Da
     offered = F.broadcast if small else (lambda df: df)
 
     size, needed = F.size("tokens"), F.ceil(F.size("tokens") * threshold - 1e-9).cast("int")
-    ordered = templates.select("template", "label", F.explode("tokens").alias("token")).join(offered(ranks), "token")
-    ordered = ordered.groupBy("template", "label").agg(F.array_sort(F.collect_list("rank")).alias("tokens"))
-    ordered = ordered.select("template", "label", "tokens", size.alias("size"), needed.alias("needed"))
+    ordered = templates.select("template", "label", "names", F.explode("tokens").alias("token")).join(offered(ranks), "token")
+    named = F.collect_list(F.when(F.array_contains("names", F.col("token")), F.col("rank")))
+    ordered = ordered.groupBy("template", "label").agg(F.array_sort(F.collect_list("rank")).alias("tokens"), named.alias("names"))
+    ordered = ordered.select("template", "label", "tokens", "names", size.alias("size"), needed.alias("needed"))
     index = ordered.select("*", F.posexplode("tokens").alias("place", "rank")).filter("place <= size - needed")
 
     least = ordered.agg(F.min("needed")).first()[0] or 1
@@ -118,7 +138,8 @@ def contained(profiles: DataFrame, templates: DataFrame, threshold: float) -> Da
         & (F.size("block") - F.col("at") >= F.col("needed"))
     )
     shared = F.size(F.array_intersect("block", "tokens"))
-    checked = near.withColumn("shared", shared).filter(F.col("shared") >= F.col("needed"))
+    checked = near.withColumn("shared", shared).filter(
+        (F.col("shared") >= F.col("needed")) & (F.size(F.array_except("names", "block")) == 0))
     return checked.select("row", "line", "template", "label", (F.col("shared") / F.col("size")).alias("share")).distinct()
 
 
@@ -138,9 +159,9 @@ def scan(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def profile(line: Column) -> Column:
-        return F.array_intersect(words(line), vocabulary)
+        return F.transform(windows(line, span(templates)), lambda block: F.array_intersect(block, vocabulary))
 
-    lines = F.transform(F.split(text, "\n"), profile)
+    lines = F.flatten(F.transform(F.split(text, "\n"), lambda line: let(words(line), profile)))
     rows = documents.select("doc_id", words(text).alias("words"), lines.alias("lines"))
     rows = stored(rows.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.size("words").cast("bigint").alias("n_words"),

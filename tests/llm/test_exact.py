@@ -337,6 +337,16 @@ def test_license_blocks_with_a_changed_word(spark):
     assert got[2].labels == "" and (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 0, 3)
 
 
+def test_license_names_must_stand_and_tokens_must_be_near(spark):
+    isc = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+    far = " ".join(w + " word" * 40 for w in isc.split())
+    rows = [(1, "Released under the BSD license"), (2, "Licensed under the Mozilla Public License, Version 2.0"),
+            (3, "Licensed under CC BY 4.0\nLicensed under CC BY-SA 4.0"), (4, "Released under the MIT license"),
+            (5, "word " * 500 + isc + " word" * 500), (6, far), (7, "Licensed under Apache License, Version 2.0")]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "mit", 5: "isc", 6: "", 7: "apache-2"}
+
+
 # ---- base patterns of personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
