@@ -1,6 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text, longer ones in overlapping windows. A short template must have its word
+Blocks are the lines of a text, longer ones in overlapping windows, and such windows over the whole text,
+so a notice may be wrapped. The SQL twin has the lines alone. A short template must have its word
 that names the license. Tokens are ordered by their frequency over all blocks, rarest first. A
 block that has the wanted share of a template's tokens must share one of the template's first
 ``size - needed + 1`` tokens (prefix), have ``needed`` template tokens at all (length), and still have
@@ -162,6 +163,8 @@ def scan(
         return F.transform(windows(line, span(templates)), lambda block: F.array_intersect(block, vocabulary))
 
     lines = F.flatten(F.transform(F.split(text, "\n"), lambda line: let(words(line), profile)))
+    across = F.when(text.contains("\n"), let(words(text), profile)).otherwise(F.array().cast("array<array<string>>"))
+    lines = F.concat(lines, across)
     rows = documents.select("doc_id", words(text).alias("words"), lines.alias("lines"))
     rows = stored(rows.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.size("words").cast("bigint").alias("n_words"),

@@ -347,6 +347,17 @@ def test_license_names_must_stand_and_tokens_must_be_near(spark):
     assert got == {1: "", 2: "", 3: "", 4: "mit", 5: "isc", 6: "", 7: "apache-2"}
 
 
+def test_wrapped_license_notices(spark):
+    rows = [(1, "x\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided "
+                "that the following conditions are met:\ny"),
+            (2, "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by "
+                "the Free Software Foundation"),
+            (3, "word " * 100 + "\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software "
+                "and associated documentation files, to deal\nin the Software without restriction\n" + "word " * 100)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "bsd-3", 2: "gpl-3", 3: "mit"}
+
+
 # ---- base patterns of personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
