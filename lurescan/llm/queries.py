@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lurescan.llm import decontaminate, fingerprints, html_text, license_scan, packing, pii, quality, secrets, simhash, toxicity
+from lurescan.llm import (
+    decontaminate, fingerprints, html_text, license_scan, packing, pii, quality, secrets, simhash, substrings, toxicity,
+)
 from lurescan.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +77,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), max_tokens=2048)
+
+
+@register
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.deduplicated(table(spark, sf_dir, "documents"), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_substrings"] = substrings.oracle_sql(window=13)
