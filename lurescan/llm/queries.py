@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescan.llm import (
-    decontaminate, fingerprints, html_text, license_scan, packing, pii, quality, secrets, simhash, substrings, toxicity,
+    decontaminate, fingerprints, html_text, license_scan, packing, pii, prefix_trie, quality, secrets, simhash,
+    substrings, toxicity,
 )
 from lurescan.llm.text import table
 
@@ -86,3 +87,11 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_substrings"] = substrings.oracle_sql(window=13)
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.oracle_sql()
