@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lurescan.llm import (
     decontaminate, fingerprints, html_text, license_scan, packing, pii, prefix_trie, quality, secrets, simhash,
-    substrings, toxicity,
+    substrings, toxicity, whitening,
 )
 from lurescan.llm.text import table
 
@@ -89,6 +89,11 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_substrings"] = substrings.oracle_sql(window=13)
 
 
+@register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
 @register
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
