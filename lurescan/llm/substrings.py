@@ -34,7 +34,7 @@ WINDOW = 13
 ANCHOR = 5
 
 #: Text bytes of a slice (a longer text is a slice of its own), and windows that a block should have.
-SLICE, BLOCK = 1 << 22, 1 << 20
+SLICE, BLOCK = 1 << 21, 1 << 19
 
 #: A stretch has at most so many windows.
 STRETCH = 32
