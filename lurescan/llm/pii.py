@@ -8,6 +8,7 @@ if its characters pass the exact check of its kind.
 
 from __future__ import annotations
 
+import bisect
 import io
 import random
 import re
@@ -34,6 +35,9 @@ SAMPLE_TEXTS = 800
 HIDDEN, EMBED, STEPS, BATCH, LENGTH = 12, 8, 450, 64, 80
 WINDOW, OVERLAP, GROUP = 384, 48, 512
 
+#: Steps whose states are weighed for the tags at once.
+AT_ONCE = 32
+
 LATIN, LETTER, OTHER, EDGE = 128, 129, 130, 131
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -140,80 +144,103 @@ ALLOWED = np.eye(len(KINDS) + 1, dtype=bool)
 ALLOWED[0, :] = ALLOWED[:, 0] = True
 
 
-def run_way(
-    matrix: np.ndarray, table: np.ndarray, emit: np.ndarray, chars: np.ndarray, active: np.ndarray, backwards: bool,
-    score: np.ndarray, memory: dict | None = None,
-) -> None:
-    """Add to ``score`` (T, tags, B) what one direction says about the characters (T, B).
+def emissions(w: dict, chars: np.ndarray, active: np.ndarray, memory: dict | None = None) -> np.ndarray:
+    """Scores (T, tags, B) of each tag at each character; chars is (T, B).
 
-    ``active[t]`` columns have a character at t (columns are sorted by length), the others rest at
-    zero. Gates use a piecewise linear sigmoid.
+    ``active[t]`` columns have a character at t (columns are sorted by length), the others rest at zero.
+    Both directions are stepped together: the left one reads each column from its own end, so both have
+    the same columns at a step. Gates, candidates and the cell's output are piecewise linear. The states
+    of some steps at a time are weighed for the tags.
     """
     steps, width = chars.shape
     n = HIDDEN
-    scaled = matrix.copy()
-    scaled[: 3 * n] *= 0.25
-    scaled[: 3 * n, -1] += 0.5
-    joint = np.zeros((EMBED + n + 1, width), np.float32)
-    joint[-1] = 1
-    cell = np.zeros((n, width), np.float32)
-    gates, fresh, said = (np.empty((k, width), np.float32) for k in (4 * n, n, len(emit)))
+    scaled = np.stack([w["right"], w["left"]])
+    scaled[:, : 3 * n] *= 0.25
+    scaled[:, : 3 * n, -1] += 0.5
+    emit = np.ascontiguousarray(w["emit"][:, : 2 * n].reshape(-1, 2, n).transpose(1, 0, 2))
+    table = np.ascontiguousarray(w["embed"].T)
+    turned = reversed_columns(chars, active)
+    joint = np.zeros((2, EMBED + n + 1, width), np.float32)
+    joint[:, -1] = 1
+    cell = np.zeros((2, n, width), np.float32)
+    gates, fresh = np.empty((2, 4 * n, width), np.float32), np.empty((2, n, width), np.float32)
+    score = np.empty((steps, 2, len(w["emit"]), width), np.float32)
+    states = np.zeros((min(steps, AT_ONCE) if memory is None else steps, 2, n, width), np.float32)
     if memory is not None:
-        memory.update(joint=[], gates=[], cell=[], before=[], state=[None] * steps)
-    for t in range(steps - 1, -1, -1) if backwards else range(steps):
+        memory.update(joint=[], gates=[], cell=[], before=[])
+    for t in range(steps):
         a = int(active[t])
         full = a == width
-        j, c, z = (joint, cell, gates) if full else (joint[:, :a], cell[:, :a], gates[:, :a])
-        if full:
-            np.take(table, chars[t], axis=1, out=j[:EMBED], mode="clip")
-        else:
-            j[:EMBED] = table[:, chars[t, :a]]
+        j, c, z, new = (joint, cell, gates, fresh) if full else (x[:, :, :a] for x in (joint, cell, gates, fresh))
+        for k, source in enumerate((chars, turned)):
+            if full:
+                np.take(table, source[t], axis=1, out=j[k, :EMBED], mode="clip")
+            else:
+                j[k, :EMBED] = table[:, source[t, :a]]
         if memory is not None:
             memory["before"].append(cell.copy())
             memory["joint"].append(joint.copy())
         np.matmul(scaled, j, out=z)
-        np.clip(z[: 3 * n], 0, 1, out=z[: 3 * n])
-        np.tanh(z[3 * n :], out=z[3 * n :])
-        c *= z[n : 2 * n]
-        new = fresh if full else fresh[:, :a]
-        np.multiply(z[:n], z[3 * n :], out=new)
+        np.clip(z[:, : 3 * n], 0, 1, out=z[:, : 3 * n])
+        np.clip(z[:, 3 * n :], -1, 1, out=z[:, 3 * n :])
+        c *= z[:, n : 2 * n]
+        np.multiply(z[:, :n], z[:, 3 * n :], out=new)
         c += new
-        h = j[EMBED : EMBED + n]
-        np.tanh(c, out=h)
-        h *= z[2 * n : 3 * n]
-        part = said if full else said[:, :a]
-        np.matmul(emit, h, out=part)
-        score[t, :, :a] += part
+        h = j[:, EMBED : EMBED + n]
+        np.clip(c, -1, 1, out=h)
+        h *= z[:, 2 * n : 3 * n]
+        at = t % len(states)
+        states[at, :, :, :a] = h
+        if at + 1 == len(states) or t + 1 == steps:
+            np.matmul(emit, states[: at + 1], out=score[t - at : t + 1])
         if memory is not None:
             memory["gates"].append(z.copy())
             memory["cell"].append(cell.copy())
-            memory["state"][t] = h.copy()
+    if memory is not None:
+        memory["states"] = np.concatenate([states[:, 0], states[::-1, 1]], axis=1)
+    both = score[:, 0]
+    both += reversed_columns(score[:, 1], active)
+    both += w["emit"][:, -1:]
+    return both
 
 
-def emissions(w: dict, chars: np.ndarray, active: np.ndarray, memory: dict | None = None) -> np.ndarray:
-    """Scores (T, tags, B) of each tag at each character; chars is (T, B)."""
-    table = np.ascontiguousarray(w["embed"].T)
-    score = np.empty((len(chars), len(w["emit"]), chars.shape[1]), np.float32)
-    score[:] = w["emit"][:, -1:]
-    for k, way in enumerate(("right", "left")):
-        emit = np.ascontiguousarray(w["emit"][:, k * HIDDEN : (k + 1) * HIDDEN])
-        kept = None if memory is None else memory.setdefault(way, {})
-        run_way(w[way], table, emit, chars, active, way == "left", score, kept)
-    if memory is not None:
-        memory["states"] = np.concatenate([np.stack(memory[x]["state"]) for x in ("right", "left")], axis=1)
-    return score
+def reversed_columns(x: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Each column (last axis) turned round along the first axis within its own length; the rest as it was."""
+    steps, width = len(x), x.shape[-1]
+    if not steps or active[-1] == width:
+        return x[::-1]
+    length = (active[:, None] > np.arange(width)).sum(axis=0)
+    time = np.arange(steps)[:, None]
+    from_ = np.where(time < length, length - 1 - time, time)
+    return np.take_along_axis(x, from_.reshape(steps, *[1] * (x.ndim - 2), width), axis=0)
 
 
 def viterbi(score: np.ndarray, trans: np.ndarray, active: np.ndarray) -> np.ndarray:
     """The best tag sequence (T, B) under the allowed transitions.
 
-    The best score is found for all columns; the way back is walked where it beats the sequence that
+    Columns in which no tag at any character can make up for the step into it are outside everywhere.
+    The best score is found for the others, and the way back is walked where it beats the sequence that
     is outside everywhere.
     """
-    steps, _, width = score.shape
+    outside, enter, stay, leave = trans[0, 0], trans[0, 1:], np.diag(trans)[1:], trans[1:, 0]
+    back = max(0.0, float((leave - outside).max()))
+    # the most that transitions add at an inside character, the way back out included
+    most = np.maximum(np.maximum(enter - outside, 0) + back, stay - outside)
+    path = np.zeros((score.shape[0], score.shape[2]), np.uint8)
+    rest = (score[:, 1:] + (most + np.float32(1e-3))[:, None]).max(axis=1) > score[:, 0]
+    rest &= np.arange(score.shape[2]) < active[:, None]
+    columns = np.flatnonzero(rest.any(axis=0))
+    columns = columns[beats_outside(score[:, :, columns], trans, np.searchsorted(columns, active))]
+    if len(columns):
+        path[:, columns] = walked_back(score[:, :, columns], trans, np.searchsorted(columns, active))
+    return path
+
+
+def beats_outside(score: np.ndarray, trans: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Which columns have a better sequence than the one that is outside everywhere."""
     stay, enter, leave = np.diag(trans)[1:, None], trans[0, 1:, None], trans[1:, 0, None]
     best, outside = score[0].copy(), score[0, 0].copy()
-    for t in range(1, steps):
+    for t in range(1, len(score)):
         a = int(active[t])
         b = best[:, :a]
         inside = np.maximum(b[1:] + stay, b[0] + enter)
@@ -222,12 +249,8 @@ def viterbi(score: np.ndarray, trans: np.ndarray, active: np.ndarray) -> np.ndar
         b += score[t, :, :a]
         outside[:a] += trans[0, 0]
         outside[:a] += score[t, 0, :a]
-    path = np.zeros((steps, width), np.uint8)
     # both sums add the same numbers in the same order where the outside sequence is the best one
-    columns = np.flatnonzero(best.max(axis=0) != outside)
-    if len(columns):
-        path[:, columns] = walked_back(score[:, :, columns], trans, np.searchsorted(columns, active))
-    return path
+    return best.max(axis=0) != outside
 
 
 def walked_back(score: np.ndarray, trans: np.ndarray, active: np.ndarray) -> np.ndarray:
@@ -262,7 +285,14 @@ def tags_of(w: dict, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     high = np.where(place + 1 < counts[owner], begin + WINDOW - OVERLAP // 2, begin + length)
     kind = np.append(classes_of(codes), np.uint8(EDGE)).astype(np.intp)
     tags = np.zeros(len(codes), np.uint8)
-    order = np.argsort(-length, kind="stable")
+    # equal windows are decoded once
+    raw = kind[:-1].astype(np.uint8).tobytes()
+    seen: dict[bytes, int] = {}
+    same = np.array([seen.setdefault(raw[b : b + n], i) for i, (b, n) in enumerate(zip(begin.tolist(), length.tolist()))], np.int64)
+    firsts = np.flatnonzero(same == np.arange(len(same)))
+    order = firsts[np.argsort(-length[firsts], kind="stable")]
+    members = np.argsort(same, kind="stable")
+    bounds = np.searchsorted(same[members], [order, order + 1]) if len(order) else np.zeros((2, 0), np.int64)
     for at in range(0, len(order), GROUP):
         pick = order[at : at + GROUP]
         steps = int(length[pick[0]])
@@ -270,8 +300,14 @@ def tags_of(w: dict, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         spot = np.where(time < length[pick], begin[pick] + time, len(codes))
         active = (time < length[pick]).sum(axis=1)
         path = viterbi(emissions(w, kind[spot], active), w["trans"], active)
-        mine = (spot >= low[pick]) & (spot < high[pick]) & (path > 0)
-        tags[spot[mine]] = path[mine]
+        tagged = np.flatnonzero(path.any(axis=0))
+        low_at, high_at = bounds[:, at : at + GROUP][:, tagged]
+        column, place = repeated_ranges(high_at - low_at)
+        window = members[low_at[column] + place]
+        hit, which = np.nonzero(path[:, tagged[column]])
+        where = begin[window[which]] + hit
+        mine = (where >= low[window[which]]) & (where < high[window[which]])
+        tags[where[mine]] = path[hit[mine], tagged[column[which[mine]]]]
     return tags
 
 
@@ -304,21 +340,20 @@ def crf_gradients(score: np.ndarray, trans: np.ndarray, gold: np.ndarray):
     return d_score / width, np.where(ALLOWED, d_trans, 0).astype(np.float32) / width
 
 
-def back_way(matrix: np.ndarray, memory: dict, d_out: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Back-propagation through one direction: gradients of the matrix and of the inputs."""
+def back_way(matrix: np.ndarray, memory: dict, way: int, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Back-propagation through one direction, in its own order: gradients of the matrix and the inputs."""
     n = HIDDEN
     d_matrix = np.zeros_like(matrix)
     d_inputs = np.zeros((d_out.shape[0], EMBED, d_out.shape[2]), np.float32)
     d_h = np.zeros((n, d_out.shape[2]), np.float32)
     d_c = np.zeros_like(d_h)
-    for k in range(len(order) - 1, -1, -1):
-        t = order[k]
-        z, joint, cell, before = (memory[x][k] for x in ("gates", "joint", "cell", "before"))
+    for t in range(len(d_out) - 1, -1, -1):
+        z, joint, cell, before = (memory[x][t][way] for x in ("gates", "joint", "cell", "before"))
         i, f, o, g = z[:n], z[n : 2 * n], z[2 * n : 3 * n], z[3 * n :]
-        bent = np.tanh(cell)
+        bent = np.clip(cell, -1, 1)
         d_h = d_h + d_out[t]
-        d_c = d_c + d_h * o * (1 - bent * bent)
-        d_z = np.concatenate([d_c * g, d_c * before, d_h * bent, d_c * i * (1 - g * g)])
+        d_c = d_c + d_h * o * (np.abs(cell) < 1)
+        d_z = np.concatenate([d_c * g, d_c * before, d_h * bent, d_c * i * (np.abs(g) < 1)])
         open_ = (z[: 3 * n] > 0) & (z[: 3 * n] < 1)
         d_z[: 3 * n] *= 0.25 * open_
         d_matrix += d_z @ joint.T
@@ -340,9 +375,9 @@ def gradients(w: dict, chars: np.ndarray, gold: np.ndarray) -> dict:
     grads["emit"][:, :-1] = np.einsum("tkb,thb->kh", d_score, states)
     grads["emit"][:, -1] = d_score.sum(axis=(0, 2))
     d_states = np.matmul(w["emit"][:, :-1].T, d_score)
-    grads["right"], d_in = back_way(w["right"], memory["right"], d_states[:, :n], list(range(steps)))
-    grads["left"], more = back_way(w["left"], memory["left"], d_states[:, n:], list(range(steps - 1, -1, -1)))
-    d_in = d_in + more
+    grads["right"], d_in = back_way(w["right"], memory, 0, d_states[:, :n])
+    grads["left"], more = back_way(w["left"], memory, 1, d_states[::-1, n:])
+    d_in = d_in + more[::-1]
     grads["embed"] = np.zeros_like(w["embed"])
     np.add.at(grads["embed"], chars.ravel(), d_in.transpose(0, 2, 1).reshape(-1, EMBED))
     return grads
@@ -484,19 +519,37 @@ def spans_of(text: str, tags: np.ndarray) -> list[dict]:
     base = base_spans(text)
     out = [{"kind": k, "start": s, "end": e, "base": True} for k, s, e in base]
     if tags.any():
+        begins, ends = joined_spans(base)
+        last = 0  # end of the span that was added last: added spans follow one another
+
+        def is_free(s: int, e: int) -> bool:
+            i = bisect.bisect_right(ends, s)
+            return s >= last and (i == len(ends) or begins[i] >= e)
+
         edges = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))
-        taken = [(s, e) for _, s, e in base]
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if not tags[start] or any(s < end and start < e for s, e in taken):
+            if not tags[start] or not is_free(start, end):
                 continue
             kind = KINDS[tags[start] - 1]
             exact = checked(kind, text, start, end)
-            if exact and not any(s < exact[1] and exact[0] < e for s, e in taken):
-                taken.append(exact)
+            if exact and is_free(*exact):
+                last = exact[1]
                 out.append({"kind": kind, "start": exact[0], "end": exact[1], "base": False})
     return sorted(out, key=lambda x: (KINDS.index(x["kind"]), x["start"]))
 
 
+def joined_spans(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that spans cover, in order; spans that overlap are one."""
+    begins, ends = [], []
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
+    return begins, ends
+
+
 def decoded(buf: np.ndarray, offsets: np.ndarray, w: dict) -> Iterator[tuple[str, list[dict]]]:
     """The texts of a slice with their spans."""
     raw, cut = buf.tobytes(), offsets.tolist()

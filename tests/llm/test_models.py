@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -335,3 +336,34 @@ def test_secret_edges(edge, none):
     assert all(r.n_candidates == 0 and r.secrets == "" and r.score == 0 for r in rows if r.doc_id in (3, 4, 5, 6))
     assert next(r for r in rows if r.n_secrets).secrets == "7:9f8e7d6c5b4a39281706"
     assert secrets.scan(none).count() == 0
+
+
+def test_many_spans_take_linear_time():
+    text = "".join(f"call (327) 555-{i % 10000:04} or u{i}@mail{i}.example.org, " for i in range(25_000))
+    at = time.process_time()
+    tags = np.zeros(len(text), np.uint8)
+    for m in re.finditer(r"\(327\) 555-\d{4}", text):
+        tags[m.start() : m.end()] = pii.KINDS.index("phone") + 1
+    spans = pii.spans_of(text, tags)
+    assert time.process_time() - at < 5
+    assert sum(s["base"] for s in spans) == 25_000 and len(spans) == 50_000
+
+
+def test_added_spans_never_overlap():
+    text = "10.0.0.1 (327) 555-3642 (327) 555-3642, 327-555-3642 a@b.cd"
+    tags = np.full(len(text), pii.KINDS.index("phone") + 1, np.uint8)
+    for cut in (8, 23, 38, 39, 52):
+        tags[cut] = 0
+    spans = sorted((s["start"], s["end"]) for s in pii.spans_of(text, tags))
+    assert len(spans) >= 4 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_equal_windows_are_decoded_once(monkeypatch):
+    w, calls = tiny_model(8), []
+    emissions = pii.emissions
+    monkeypatch.setattr(pii, "emissions", lambda w, c, *a: calls.append(c.shape[1]) or emissions(w, c, *a))
+    text = "call +1 555 010 4477 or a@b.cd now " * 3
+    one = pii.tags_of(w, np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)]))
+    codes = np.frombuffer((text * 50).encode("utf-32-le"), np.uint32)
+    all_ = pii.tags_of(w, codes, np.arange(51) * len(text))
+    assert one.any() and (all_ == np.tile(one, 50)).all() and calls == [1, 1]
