@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,8 +27,8 @@ PIECE = T.ArrayType(
 #: Fixed value: how byte-level BPE files split a text before merging (published pattern).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Ranks are dealt into this many groups per length at most; each is numbered by itself.
-MOST_GROUPS = 4096
+#: The fast encoder looks back over a run of blanks with a call for each; longer runs take the file as is.
+BLANK_RUN = 10_000
 
 
 def default_tokenizer() -> str:
@@ -40,7 +41,8 @@ def encoder(path: str):
     """``encode(text) -> ids``, equal to the tokenizer file's own result.
 
     A byte-level BPE file without normaliser whose ids follow its merge order is run through the faster
-    rank-based encoder; other files, and texts with one of the file's added tokens, take the file as is.
+    rank-based encoder; other files, texts with one of the file's added tokens, and texts with a long run
+    of blanks take the file as is.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -61,13 +63,23 @@ def encoder(path: str):
     fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if any(t in text for t in added):
+        if any(t in text for t in added) or has_blank_run(text):
             return plain(text)
         return fast.encode_ordinary(text)
 
     return encode
 
 
+def has_blank_run(text: str, limit: int = BLANK_RUN) -> bool:
+    """Whether ``limit`` blanks of any kind follow one another."""
+    if len(text) < limit:
+        return False
+    data = np.frombuffer(text.encode(), np.uint8)
+    solid = np.flatnonzero((data > 32) & (data < 128))
+    gaps = np.diff(solid, prepend=-1, append=len(data))
+    return bool(gaps.max() > limit) and re.search(rf"\s{{{limit}}}", text) is not None
+
+
 def merge_ranks(spec: dict, added: set[str]) -> dict[bytes, int] | None:
     """Bytes to id, if ids are merge ranks; None if the file is of another kind."""
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -173,7 +185,7 @@ def pack(
     cut = stored(
         pieces(documents, max_tokens, tokenizer, end_id, with_ids).withColumn("piece", F.monotonically_increasing_id()))
     total = cut.count()
-    groups = max(1, min(MOST_GROUPS, -(-total // rows_per_group)))
+    groups = max(1, -(-total // rows_per_group))
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("piece"), F.lit(groups)).cast("int"))
     counts = stored(dealt.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -401,3 +401,18 @@ def test_broken_utf8_does_not_stop_a_task(spark):
     assert simhash.near_duplicates(df).count() == 1
     field = html_text.train(html_text.labelled_pages(20), rounds=5)
     assert html_text.extract(df, field, ["doc_id"]).count() == 1
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t\n", " ", "a", "7", "-", "东"])
+def test_long_runs_give_the_ids_of_the_file(run):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    text = f"before{run * (2_000_000 // len(run))}after  the run"
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_blank_runs():
+    for blank in (" ", " ", "\n\t"):
+        assert packing.has_blank_run("x" + blank * 40 + "y", 40) and not packing.has_blank_run("x" + "y".join([blank * 15] * 9), 40)
+    assert not packing.has_blank_run("东" * 100, 40) and not packing.has_blank_run("", 40)
