@@ -1,6 +1,7 @@
 """Prediction cache, log and visits. Requests are events on the page that their ``k`` names."""
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from lurescan.operators import scoring as J
 from lurescan.operators.tables import shared_folder
 from lurescan.plans.dataset_queries import hash_number, hash_sql
 from lurescan.plans.registry import Tables, query
+from lurescan.streaming import state as K
 from lurescan.streaming import visits as N
 
 MODELS = ["xgb", "rf", "albert", "mobile_bert"]
@@ -366,15 +368,29 @@ def as_visits(t: Tables, events):
     )
 
 
-def event_stream(t: Tables, files: int = 4):
-    """The events as a file stream: one file per quarter of the time span, one file per batch."""
-    folder = run_folder(t, "events")
+#: Quarters of the time span, each a micro-batch, and the files of each.
+QUARTERS, QUARTER_FILES = 4, 4
+
+
+def write_quarters(t: Tables, folder: str, quarters: Iterable[int]) -> None:
+    """Append quarters of the events' time span to a folder, :data:`QUARTER_FILES` files each."""
     at = micros(t.events, "ts")
     span = t.events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
-    for k in range(files):
-        quarter = F.least(F.floor((at - span["low"]) * files / (span["high"] - span["low"] + 1)), F.lit(files - 1))
-        t.events.filter(quarter == k).coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    place = F.floor((at - span["low"]) * QUARTERS / (span["high"] - span["low"] + 1))
+    for k in quarters:
+        rows = t.events.filter(F.least(place, F.lit(QUARTERS - 1)) == k)
+        rows.repartition(QUARTER_FILES).write.mode("append").parquet(folder)
+
+
+def read_quarters(t: Tables, folder: str):
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", QUARTER_FILES).parquet(folder)
+
+
+def event_stream(t: Tables):
+    """The events as a file stream, a quarter of the time span per batch."""
+    folder = run_folder(t, "events")
+    write_quarters(t, folder, range(QUARTERS))
+    return read_quarters(t, folder)
 
 
 def run_folder(t: Tables, name: str) -> str:
@@ -422,6 +438,22 @@ def scoring_schedule(t: Tables):
     return M.scoring_schedule(usable.select("doc_id", "request_id", "ts_us"), None, TTL)
 
 
+@query(
+    "scoring_schedule_by_state",
+    "doc_id:s ts_us:i request_id:i",
+    f"WITH RECURSIVE {VISITS_SQL}, {SCHEDULE_SQL} SELECT s.doc_id, s.ts_us, o.request_id FROM schedule s JOIN ordered o ON s.doc_id = o.doc_id AND s.ts_us = o.ts_us",
+)
+def scoring_schedule_by_state(t: Tables):
+    """Half of the batches, then a new query on the same checkpoint for the rest."""
+    events, folder = run_folder(t, "events"), run_folder(t, "schedule")
+    for quarters in (range(QUARTERS // 2), range(QUARTERS // 2, QUARTERS)):
+        write_quarters(t, events, quarters)
+        gated = N.configured(as_visits(t, read_quarters(t, events)), MODELS)
+        usable = gated.filter(N.is_web_url(F.col("url")) & F.col("error").isNull())
+        K.run_schedule(usable, folder, TTL).awaitTermination()
+    return K.scheduled(t.spark, folder)
+
+
 VERDICTS_SQL = f"""
 rows_scored AS (
   SELECT s.doc_id, s.ts_us AS created_us, u.request_id AS scored_by, {hash_sql("u.url || '|' || u.model", 1, 6)} / 16777216 AS proba, u.threshold
@@ -472,6 +504,6 @@ def latest_verdict_per_tab(t: Tables):
 )
 def latest_visit_per_tab(t: Tables):
     folder = run_folder(t, "tabs")
-    running = N.run_latest_per_tab(as_visits(t, event_stream(t)), folder)
-    running.awaitTermination()
-    return N.current_tabs(t.spark, folder)
+    visits = as_visits(t, event_stream(t))
+    K.run_tabs(visits, folder).awaitTermination()
+    return K.tabs_now(t.spark, folder, visits.schema)
