@@ -10,6 +10,7 @@ from lurescan.operators import scoring as J
 from lurescan.operators.tables import shared_folder
 from lurescan.plans.dataset_queries import hash_number, hash_sql
 from lurescan.plans.registry import Tables, query
+from lurescan.sources.keyed import KeyedLog
 from lurescan.streaming import state as K
 from lurescan.streaming import visits as N
 
@@ -146,6 +147,48 @@ def log_after_scoring(t: Tables):
     return M.upsert(log, new_rows.drop("request_id"))
 
 
+#: Folders of the keyed log in the queries.
+BUCKETS = 32
+
+
+def keyed_log(t: Tables) -> KeyedLog:
+    """The existing log in a folder of its own."""
+    log = KeyedLog(t.spark, run_folder(t, "log"), BUCKETS)
+    log.put(existing_log(t))
+    return log
+
+
+@query(
+    "keyed_log_after_scoring",
+    LOG_SPEC,
+    f"""WITH {NORMALISED_SQL}, {LOG_SQL}
+    SELECT doc_id, url, original_url, model, pred, proba, {CUTOFF_US} AS created_us FROM added
+    UNION ALL SELECT * FROM log WHERE doc_id NOT IN (SELECT doc_id FROM added)""",
+)
+def keyed_log_after_scoring(t: Tables):
+    log, requests = keyed_log(t), new_requests(t)
+    known = log.rows_of(requests.filter("error IS NULL"))
+    log.put(M.rows_to_score(requests, known, hash_scorer, cutoff(), TTL))
+    return log.rows()
+
+
+@query(
+    "keyed_log_after_edits",
+    LOG_SPEC + " is_verified:i updated_us:i",
+    f"""WITH {NORMALISED_SQL}, {LOG_SQL}, edited AS (
+      SELECT doc_id, url, original_url, model, CASE WHEN ends_with(doc_id, '_domain') THEN 1 - pred ELSE pred END AS pred, proba, created_us,
+        CASE WHEN model = 'xgb' THEN 1 END AS is_verified,
+        CASE WHEN model = 'xgb' OR ends_with(doc_id, '_domain') THEN {CUTOFF_US} END AS updated_us FROM log)
+    SELECT * FROM edited WHERE NOT (pred = 0 AND model <> 'rf') AND {CUTOFF_US} - created_us <= {TTL} * 1000000::BIGINT""",
+)
+def keyed_log_after_edits(t: Tables):
+    log = keyed_log(t)
+    log.update(updates(t), cutoff())
+    log.delete(log.rows().filter("pred = 0 AND model <> 'rf'"))
+    log.expire(CUTOFF_US, TTL)
+    return log.rows()
+
+
 @query("live_log_rows", LOG_SPEC, f"WITH {NORMALISED_SQL}, {LOG_SQL} SELECT * FROM live")
 def live_log_rows(t: Tables):
     return M.live_rows(existing_log(t), cutoff(), TTL)
