@@ -34,6 +34,20 @@ def url_list_round_trip(t: Tables):
     return files.read_url_list(t.spark, folder)
 
 
+@query(
+    "quoted_url_list",
+    "url:s label:i",
+    "SELECT nullif(text, '') AS url, CAST(doc_id % 2 AS INTEGER) AS label FROM documents",
+)
+def quoted_url_list(t: Tables):
+    """A list whose fields hold line breaks, quotes and separators: the texts in place of the URLs."""
+    folder = new_folder(t, "quoted")
+    texts = t.documents.select(F.col("text").alias("url"), (F.col("doc_id") % 2).cast("int").alias("label"))
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    texts.write.options(**kept).csv(folder, sep=";", header=True, quote='"', escape='"')
+    return files.read_url_list(t.spark, folder)
+
+
 @query(
     "tolerant_read",
     "url:s label:i",
@@ -147,6 +161,31 @@ def resumable_build(t: Tables):
     return t.spark.read.parquet(folder)
 
 
+@query(
+    "resumable_stream_build",
+    "row_idx:i url:s url_len:i nb_slash:i chunk_id:i reason:s label:i",
+    f"""WITH {PARTS_SQL}
+    SELECT page_id AS row_idx, url, length(url) AS url_len, len(string_split(url, '/')) - 1 AS nb_slash, page_id // 40 AS chunk_id,
+      NULL AS reason, CASE WHEN scheme = 'https' THEN 1 ELSE 0 END AS label FROM urls""",
+)
+def resumable_stream_build(t: Tables):
+    """The static dataset as a stream over chunks; a second query goes on from the checkpoint of the first."""
+    folder = new_folder(t, "stream-build")
+    rows = t.pages.select(F.col("page_id").alias("row_idx"), "url", F.col("url").startswith("https").cast("int").alias("label"))
+    dns = url_queries.dns_snapshot(t)
+    brands = url_queries.www_brands(t)
+
+    def build(part):
+        return G.build_static_dataset(part, brands, dns, url_queries.SUFFIX_RULES)
+
+    last = rows.agg(F.floor(F.max("row_idx") / 40)).first()[0]
+    per_batch = last // 4 + 1
+    for part in (rows.filter(F.col("row_idx") < (last // 2) * 40), rows):
+        resumable.stage_chunks(part, folder, step=40)
+        resumable.run_build(t.spark, rows.schema, folder, build, per_batch).awaitTermination()
+    return resumable.built(t.spark, folder)
+
+
 @query(
     "prepared_sets",
     "set_name:s label:i n:i",

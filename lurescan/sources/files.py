@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lurescan import schemas
+from lurescan.sources.quoted import read_quoted
 
 BOM = "\ufeff"
 CORRUPT = "_corrupt_record"
 MOST_RULES = 100_000
 
 
-def read_url_list(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_url_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Labelled URL list: ``;`` between fields, ``"`` around them.
 
-    With ``multi_line`` a field may hold line breaks; a file is then read by one task.
+    A quoted field may hold line breaks, and a file is read by many tasks (:mod:`lurescan.sources.quoted`).
+    Without ``multi_line`` every line is a record, which saves counting the quotes of a list without breaks.
     """
-    return spark.read.csv(
-        path, schema=schemas.URL_LIST, sep=";", quote='"', escape='"', header=True, multiLine=multi_line
-    )
+    if multi_line:
+        return read_quoted(spark, path, schemas.URL_LIST, sep=";")
+    return spark.read.csv(path, schema=schemas.URL_LIST, sep=";", quote='"', escape='"', header=True)
 
 
 def read_table(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:

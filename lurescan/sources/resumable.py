@@ -1,4 +1,8 @@
-"""Resumable builds: the output is partitioned by chunk, and finished chunks are not built again."""
+"""Resumable builds: the output is partitioned by chunk, and finished chunks are not built again.
+
+:func:`build_resumable` finds the missing chunks by what has been written. :func:`run_build` is a stream over
+staged chunks: Spark's own checkpoint is the resume point, and the rate of the source is the size of a step.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 
 def finished_chunks(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -45,11 +51,56 @@ def build_resumable(
     for start in starts:
         # on the row number itself, so that the range reaches the scan
         wave = todo.filter((F.col(index) >= start * step) & (F.col(index) < (start + size) * step))
-        (
-            build(wave)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("chunk_id")
-            .parquet(folder)
-        )
+        write_chunks(build(wave), folder)
     return len(starts)
+
+
+def write_chunks(rows: DataFrame, folder: str) -> None:
+    """Replace the chunks that the rows have. A chunk is written by one task, as one file."""
+    writer = rows.repartition("chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("chunk_id").parquet(folder)
+
+
+def stage_chunks(rows: DataFrame, folder: str, index: str = "row_idx", step: int = 100_000) -> None:
+    """Lay the rows out by chunk of ``step`` consecutive row numbers, one file each, as input of :func:`run_build`.
+
+    Chunks that are staged already stay as they are, so a call that was cut off is repeated, and rows
+    that come later are added by the next call if they begin a new chunk. Rows without a number are
+    left out.
+    """
+    chunked = rows.filter(F.col(index).isNotNull()).withColumn("chunk_id", F.floor(F.col(index) / step).cast("int"))
+    done = finished_chunks(rows.sparkSession, _staged(folder))
+    write_chunks(chunked if done is None else chunked.join(done, "chunk_id", "left_anti"), _staged(folder))
+
+
+def _staged(folder: str) -> str:
+    return f"{folder}/staged"
+
+
+def run_build(
+    spark: SparkSession, schema: T.StructType, folder: str, build: Callable[[DataFrame], DataFrame],
+    chunks_per_batch: int = 16,
+) -> StreamingQuery:
+    """Build the staged chunks that no earlier run has built; :func:`built` reads the result.
+
+    ``schema`` is that of the staged rows, without chunk_id. The staged files are a stream of
+    ``chunks_per_batch`` chunks a batch, and its checkpoint below ``folder`` knows which are done. A batch
+    that was cut off is built again as a whole and replaces its own chunks, so at most one batch of work
+    is lost and no chunk that is finished is built again. ``build`` keeps the ``chunk_id`` column.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        write_chunks(build(batch), f"{folder}/built")
+
+    fields = T.StructType([*(f for f in schema.fields if f.name != "chunk_id"), T.StructField("chunk_id", T.IntegerType())])
+    return (
+        spark.readStream.schema(fields).option("maxFilesPerTrigger", chunks_per_batch).parquet(_staged(folder))
+        .writeStream.foreachBatch(process)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def built(spark: SparkSession, folder: str) -> DataFrame:
+    """What :func:`run_build` has written."""
+    return spark.read.parquet(f"{folder}/built")
