@@ -89,12 +89,15 @@ def hot_keys(
 ) -> DataFrame:
     """``_hot, _salts``: the keys with more rows than a task should get, and the tasks they need.
 
-    There are fewer than rows / ``rows_per_task`` of them.
+    There are fewer than rows / ``rows_per_task`` of them. The count reads the key column alone. It is part
+    of the plan that uses it, no job of its own; with ``folder`` it is stored there first, for callers that
+    use it in many plans.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
     hot = counts.filter(F.col("_n") > rows_per_task)
     salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
-    return cut_lineage(hot.select("_hot", salts), folder)
+    found = hot.select("_hot", salts)
+    return found if folder is None else cut_lineage(found, folder)
 
 
 def join_split_hot(
