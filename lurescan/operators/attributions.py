@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +64,41 @@ def token_matrix(attributions: DataFrame, k: int) -> DataFrame:
     )
 
 
+def token_ids(attributions: DataFrame, k: int) -> DataFrame:
+    """token, id of the k most frequent tokens, the most frequent first."""
+    order = W.orderBy(F.desc("n"), "token")  # at most k rows
+    return token_frequency(attributions, k).select("token", (F.row_number().over(order) - 1).cast("int").alias("id"))
+
+
+def token_vectors(attributions: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """sample_id, features: one sparse vector of size k per sample with the sums of class 1 by token id.
+
+    ``ids`` has token and id below k (:func:`token_ids`), and may be of any length: it is joined, not made
+    columns. A sample without any of the tokens has an empty vector. A token that adds up to 0 stays an
+    explicit entry.
+    """
+    sums = (
+        of_class(attributions)
+        .withColumn("token", F.trim("token"))
+        .groupBy("sample_id", "token")
+        .agg(F.sum("value").alias("value"))
+        .join(ids, "token", "left")
+    )
+    entry = F.when(F.col("id").isNotNull(), F.struct("id", F.coalesce("value", F.lit(0.0)).alias("value")))
+    sparse = F.udf(
+        lambda entries: SparseVector(k, [e["id"] for e in entries], [e["value"] for e in entries]), VectorUDT())
+    lists = sums.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return lists.select("sample_id", sparse("entries").alias("features"))
+
+
+def vector_entries(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """sample_id, token, value, present: the entries of token vectors as rows, as :func:`token_matrix` has them."""
+    entries = F.udf(
+        lambda v: [(int(i), float(x)) for i, x in zip(v.indices, v.values)], "array<struct<id: int, value: double>>")
+    rows = vectors.select("sample_id", F.inline(entries("features")))
+    return rows.join(ids, "id").select("sample_id", "token", "value", F.lit(1).alias("present"))
+
+
 def token_matrix_wide(attributions: DataFrame, tokens: list[str]) -> DataFrame:
     """sample_id and one value column per given token, 0 where it is absent."""
     return (

@@ -126,15 +126,60 @@ def score_external(
     return df.withColumn("proba", predict(*[F.col(c) for c in inputs]))
 
 
-def score_models(
-    df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], models: Sequence[str]
+def score_external_models(
+    df: DataFrame,
+    make_predict_fns: dict[str, Callable],
+    models: Sequence[str],
+    inputs: Sequence[str],
+    shapes: Sequence[list[int] | None] | None = None,
+    batch_size: int = 512,
 ) -> DataFrame:
-    """Rows scored by every requested model, with the model's name."""
+    """``proba`` and ``model`` for every row and requested user model, in one pass over the rows.
+
+    A Python worker loads each model once and every batch goes to it once, for all models together.
+    Model names are those of :func:`score_models`; the loaders those of :func:`score_external`.
+    """
+    _known(models, make_predict_fns)
+    loaders = [make_predict_fns[m] for m in models]
+    names = [f"m{i}" for i in range(len(models))]
+
+    def load() -> Callable:
+        loaded = [make() for make in loaders]
+        return lambda *batch: {name: predict(*batch) for name, predict in zip(names, loaded)}
+
+    predict = predict_batch_udf(
+        load,
+        return_type=T.StructType([T.StructField(name, T.DoubleType()) for name in names]),
+        batch_size=batch_size,
+        input_tensor_shapes=list(shapes) if shapes else None,
+    )
+    columns = [c for c in df.columns if c not in ("proba", "model")]
+    scored = df.select(*[F.col(f"`{c}`") for c in columns], predict(*[F.col(c) for c in inputs]).alias("_scores"))
+    each = [F.struct(F.col(f"_scores.{n}").alias("proba"), F.lit(m).alias("model")) for n, m in zip(names, models)]
+    return scored.select(*[F.col(f"`{c}`") for c in columns], F.inline(F.array(*each)))
+
+
+def _known(models: Sequence[str], scorers: dict) -> None:
     unknown = [m for m in models if m not in scorers]
     if unknown:
         raise ValueError(f"unknown models {unknown}; known: {sorted(scorers)}")
-    parts = [scorers[m](df).withColumn("model", F.lit(m)) for m in models]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return scored
+
+
+def score_models(
+    df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], models: Sequence[str]
+) -> DataFrame:
+    """Rows scored by every requested model, with the model's name.
+
+    The scorers add their columns to the same rows one after the other, so the input is read and its
+    features are computed once. A scorer keeps the rows and columns it gets; all add the same columns.
+    """
+    _known(models, scorers)
+    own = [c for c in df.columns if c not in ("proba", "model")]
+    scored, each = df.select(*[F.col(f"`{c}`") for c in own]), []
+    for i, model in enumerate(models):
+        before = set(scored.columns)
+        scored = scorers[model](scored)
+        added = sorted(c for c in scored.columns if c not in before)
+        scored = scored.withColumnsRenamed({c: f"_{i}_{c}" for c in added})
+        each.append(F.struct(*[F.col(f"`_{i}_{c}`").alias(c) for c in added], F.lit(model).alias("model")))
+    return scored.select(*[F.col(f"`{c}`") for c in own], F.inline(F.array(*each)))

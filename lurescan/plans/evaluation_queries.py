@@ -241,6 +241,19 @@ def token_matrix(t: Tables):
     return L.token_matrix(attributions(t), 30)
 
 
+@query(
+    "token_vectors",
+    "sample_id:i token:s value:d present:i",
+    f"""WITH {ATTRIBUTIONS_SQL} SELECT sample_id, trim(token) AS token, sum(value) AS value, 1 AS present
+    FROM ones WHERE trim(token) IN (SELECT token FROM top_words) GROUP BY 1, 2""",
+)
+def token_vectors(t: Tables):
+    """One sparse vector per sample, taken apart again."""
+    rows = attributions(t)
+    ids = L.token_ids(rows, 30)
+    return L.vector_entries(L.token_vectors(rows, ids, 30), ids)
+
+
 @query(
     "sample_summary",
     "sample_id:i pred_class:i mean_abs:d",

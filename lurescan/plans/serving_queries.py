@@ -345,6 +345,32 @@ def external_scores(t: Tables):
     return scored.withColumn("pred", J.threshold_pred(F.col("proba"), 0.5))
 
 
+def make_scaled(factor: float):
+    """Loader of a stand-in model: the linear layer of :func:`make_logistic` with other weights."""
+    def load():
+        import numpy as np
+
+        def predict(batch):
+            weights = np.linspace(-1.0, 1.0, batch.shape[1]) * factor
+            return 1.0 / (1.0 + np.exp(-(batch.astype("float64") @ weights)))
+
+        return predict
+
+    return load
+
+
+@query(
+    "external_scores_by_model",
+    "vec_id:i model:s proba:d",
+    """WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings),
+    s AS (SELECT vec_id, sum(x * (-1 + 2 * i / 63)) AS m FROM p GROUP BY vec_id)
+    SELECT vec_id, model, 1 / (1 + exp(-m * f)) AS proba FROM s, (VALUES ('albert', 1.0), ('rf', -0.5), ('xgb', 2.0)) v(model, f)""",
+)
+def external_scores_by_model(t: Tables):
+    loaders = {"albert": make_scaled(1.0), "rf": make_scaled(-0.5), "xgb": make_scaled(2.0), "unused": make_scaled(0.0)}
+    return J.score_external_models(t.embeddings, loaders, ["albert", "rf", "xgb"], ["embedding"], [[64]])
+
+
 @query(
     "scores_by_model",
     "page_id:i model:s proba:d",
