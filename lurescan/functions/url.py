@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurescan.functions import constants as C
+from lurescan.operators.tables import join_split_hot
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
@@ -164,6 +165,30 @@ def with_registered_domain(
         kept = F.get(F.filter(endings, lambda e: e.isin(exceptions)), F.lit(0))
         return F.coalesce(parent(kept), found)
 
+    return _with_site(df, _address(url), suffix)
+
+
+def _address(url: str) -> Column:
+    """The host as it stands between ``//`` and the path, without user and port; a scheme may be missing."""
+    address = F.regexp_extract(
+        F.regexp_replace(F.col(url), r"^(?:[A-Za-z0-9+.\-]*:)?//", ""), r"^([^/?#]*)", 1
+    )
+    address = F.regexp_replace(address, r"^.*@", "")
+
+    def bare(address: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(address, r":[^:]*$", ""), r"[\s.]+$", "")
+        bracketed = F.regexp_extract(address, r"^(\[[^\]]*\]?)", 1)
+        return F.when(address.startswith("["), bracketed).otherwise(plain)
+
+    return let(address, bare)
+
+
+def _is_address(host: Column) -> Column:
+    return host.rlike(_IPV4) | host.startswith("[")
+
+
+def _with_site(df: DataFrame, host: Column, suffix: Callable[[Column], Column]) -> DataFrame:
+    """Add subdomain, domain and tld; ``suffix`` gives the public suffix of a host's labels, '' without one."""
     def site(host: Column, labels: Column, tld: Column) -> Column:
         used = F.when(tld == "", 0).otherwise(F.size(F.split(tld, r"\.")))
         return let(F.size(labels) - used, lambda keep: named_site(host, labels, tld, keep))
@@ -179,7 +204,6 @@ def with_registered_domain(
         return F.struct(under.alias("subdomain"), domain.alias("domain"), tld.alias("tld"))
 
     def of_host(host: Column) -> Column:
-        is_address = host.rlike(_IPV4) | host.startswith("[")
         address = F.struct(
             F.lit("").alias("subdomain"), host.alias("domain"), F.lit("").alias("tld")
         )
@@ -187,19 +211,10 @@ def with_registered_domain(
             F.split(host, r"\."),
             lambda labels: let(suffix(labels), lambda tld: site(host, labels, tld)),
         )
-        return F.when(is_address, address).otherwise(named)
-
-    def bare_host(address: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(address, r":[^:]*$", ""), r"[\s.]+$", "")
-        bracketed = F.regexp_extract(address, r"^(\[[^\]]*\]?)", 1)
-        return F.when(address.startswith("["), bracketed).otherwise(plain)
+        return F.when(_is_address(host), address).otherwise(named)
 
-    address = F.regexp_extract(
-        F.regexp_replace(F.col(url), r"^(?:[A-Za-z0-9+.\-]*:)?//", ""), r"^([^/?#]*)", 1
-    )
-    address = F.regexp_replace(address, r"^.*@", "")
     return (
-        df.withColumn("_site", let(let(address, bare_host), of_host))
+        df.withColumn("_site", let(host, of_host))
         .withColumns(
             {c: F.coalesce(f"_site.{c}", F.lit("")) for c in ("subdomain", "domain", "tld")}
         )
@@ -207,6 +222,46 @@ def with_registered_domain(
     )
 
 
+def suffix_table(rules: DataFrame) -> DataFrame:
+    """``name, shift`` of public-suffix rules in a column ``rule``; repeats and empty rules go.
+
+    ``shift`` is how many labels left of the name the suffix begins: 0 for a normal rule, 1 for a
+    wildcard, -1 for an exception.
+    """
+    rule = F.col("rule")
+    return rules.select(
+        F.when(rule.startswith("*."), F.substring(rule, 3, 1 << 20)).when(rule.startswith("!"), F.substring(rule, 2, 1 << 20))
+        .otherwise(rule).alias("name"),
+        F.when(rule.startswith("*."), 1).when(rule.startswith("!"), -1).otherwise(0).alias("shift"),
+    ).filter("name != ''").distinct()
+
+
+def with_registered_domain_by_table(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """:func:`with_registered_domain` with rules of any number, as a table with a column ``rule``.
+
+    Each distinct host is looked up once: its endings, one per label, meet the rules in an equi join, and
+    the suffixes come back by host. Needs ``hostname`` from :func:`with_url_parts`. Endings and hosts that many rows share are spread
+    (:func:`lurescan.operators.tables.join_split_hot`).
+    """
+    hosted = df.withColumn("_host", _address(url))
+    hosts = hosted.select("_host").filter(~_is_address(F.col("_host"))).distinct()
+    labels = F.split("_host", r"\.")
+    endings = hosts.select("_host", F.posexplode(labels).alias("_at", "_label"), labels.alias("_labels")).select(
+        "_host", "_at", F.size("_labels").alias("_n"), F.lower(F.array_join(F.slice("_labels", F.col("_at") + 1, F.size("_labels")), ".")).alias("_ending"))
+    met = join_split_hot(endings, suffix_table(rules).withColumnRenamed("name", "_ending"), "_ending", "inner")
+    begin = F.col("_at") - F.col("shift")
+    # the longest exception counts before the longest other rule; a wildcard needs a label of its own
+    first = met.filter((begin >= 0) & (begin < F.col("_n"))).groupBy("_host").agg(
+        F.coalesce(F.min(F.when(F.col("shift") < 0, begin)), F.min(F.when(F.col("shift") >= 0, begin))).alias("_begin"))
+    found = join_split_hot(hosted, first, "_host")
+
+    def suffix(labels: Column) -> Column:
+        tld = F.lower(F.array_join(F.slice(labels, F.col("_begin") + 1, F.size(labels)), "."))
+        return F.when(F.col("_begin").isNull(), "").otherwise(tld)
+
+    return _with_site(found, F.col("_host"), suffix).drop("_host", "_begin")
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), C.WORD_SEPARATORS), lambda w: w != "")
 

@@ -129,6 +129,16 @@ def registered_domain(t: Tables):
     )
 
 
+@query(
+    "registered_domain_by_table",
+    "page_id:i subdomain:s domain:s tld:s",
+    f"WITH {PARTS_SQL} SELECT * FROM split",
+)
+def registered_domain_by_table(t: Tables):
+    rules = t.spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    return U.with_registered_domain_by_table(U.with_url_parts(t.pages.select("page_id", "url")), rules, "url")
+
+
 @query(
     "url_words",
     "page_id:i words:s words_host:s words_path:s n_words:i",

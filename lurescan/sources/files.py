@@ -98,15 +98,21 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
 def read_suffix_rules(spark: SparkSession, path: str) -> list[str]:
     """Public-suffix rules from a published list; comments and blank lines are left out.
 
-    The rules become part of the plan, so a list of more than ``MOST_RULES`` is refused.
+    The rules become part of the plan, so a list of more than ``MOST_RULES`` is refused; a list of any
+    length is a table (:func:`read_suffix_table`).
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("rule"))
-    rules = lines.filter("rule != '' AND NOT rule LIKE '//%'").limit(MOST_RULES + 1).collect()
+    rules = read_suffix_table(spark, path).limit(MOST_RULES + 1).collect()
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} suffix rules")
     return [r["rule"] for r in rules]
 
 
+def read_suffix_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a published suffix list as a table with the column ``rule``."""
+    lines = spark.read.text(path).select(F.trim("value").alias("rule"))
+    return lines.filter("rule != '' AND NOT rule LIKE '//%'")
+
+
 def save_sets(sets: dict[str, DataFrame], folder: str) -> None:
     """Prepared train and test sets, one parquet table each."""
     for name, df in sets.items():
