@@ -61,23 +61,27 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    """Text of a leaf block, the tags above it, their class and id words, and the characters in links."""
+    """Text of a leaf block, its own tag and all tags above it, their class and id words, and the characters in links."""
 
-    __slots__ = ("text", "tags", "names", "linked", "holder")
+    __slots__ = ("text", "own", "tags", "names", "linked", "holder")
 
-    def __init__(self, text, tags, names, linked, holder):
-        self.text, self.tags, self.names, self.linked, self.holder = text, tags, names, linked, holder
+    def __init__(self, text, own, tags, names, linked, holder):
+        self.text, self.own, self.tags, self.names, self.linked, self.holder = text, own, tags, names, linked, holder
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, known: frozenset | None = None) -> list[Block]:
     """Leaf blocks in page order; character references decoded, white space folded, empty ones left out.
 
     A head hides nothing but its elements that are not shown, so its end tag may be missing. An element
     that is not shown ends at its end tag or where its holder is closed, an svg also at a tag that cannot
     stand in one; where no end tag follows at all, its content is text of the page.
+
+    An open element shares the sets of tags and words with the one it stands in, unless it adds to them.
+    ``known`` bounds the words that count, so that deep pages take linear time and space.
     """
     found: list[Block] = []
-    stack: list[tuple[str, frozenset, int]] = []
+    stack: list[tuple[str, frozenset, frozenset, int]] = []  # tag, tags and words down to it, number
+    standing: Counter = Counter()  # open elements by tag
     parts: list[str] = []
     state = {"linked": 0, "link": False, "unseen": None, "serial": 0}
     inner: list[str] = []
@@ -88,9 +92,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                names = frozenset().union(*(n for _, n, _ in stack))
-                holder = stack[-2][2] if len(stack) > 1 else 0
-                found.append(Block(text, [t for t, _, _ in stack], names, state["linked"], holder))
+                own, tags, names, _ = stack[-1] if stack else ("none", frozenset(), frozenset(), 0)
+                holder = stack[-2][3] if len(stack) > 1 else 0
+                found.append(Block(text, own, tags, names, state["linked"], holder))
             parts.clear()
         state["linked"] = 0
 
@@ -102,8 +106,11 @@ def blocks(page: str) -> list[Block]:
                 state["linked"] += len("".join(text.split()))
 
     def close(names: set, holders: set):
+        if not any(standing[n] for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
+                standing.subtract(t for t, *_ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in holders:
@@ -124,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             opened[last] -= 1
             if last == tag:
                 return False
-        return tag == state["unseen"] or tag == "a" and state["link"] or any(t == tag for t, _, _ in stack)
+        return tag == state["unseen"] or tag == "a" and state["link"] or standing[tag] > 0
 
     at = 0
     while True:
@@ -178,7 +185,13 @@ def blocks(page: str) -> list[Block]:
                 continue
             words = " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"])) if m["attrs"] else ""
             state["serial"] += 1
-            stack.append((tag, frozenset(w.lower() for w in WORDS.findall(words)), state["serial"]))
+            tags, names = stack[-1][1:3] if stack else (frozenset(), frozenset())
+            more = {w.lower() for w in WORDS.findall(words)}
+            if known is not None:
+                more &= known
+            stack.append((
+                tag, tags if tag in tags else tags | {tag}, names if more <= names else names | more, state["serial"]))
+            standing[tag] += 1
     flush()
     return found
 
@@ -192,9 +205,8 @@ def features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
         words = b.text.count(" ") + 1
-        own = b.tags[-1] if b.tags else "none"
-        f = ["any", "own:" + own, f"words:{step(words, 4, 8, 15, 30, 60)}"]
-        f += ["in:" + t for t in {*b.tags}]
+        f = ["any", "own:" + b.own, f"words:{step(words, 4, 8, 15, 30, 60)}"]
+        f += ["in:" + t for t in b.tags]
         f += ["name:" + n for n in b.names]
         share = b.linked / max(1, len(b.text) - b.text.count(" "))
         f.append(f"linked:{step(share, 0.01, 0.3, 0.7)}")
@@ -218,6 +230,7 @@ class Field:
     def __init__(self, names: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.index = {n: i for i, n in enumerate(names)}
         self.names, self.weights, self.trans, self.start = names, weights, trans, start
+        self.words = frozenset(n[5:] for n in names if n.startswith("name:"))
         self.pull = (weights[:, 1] - weights[:, 0]).tolist()
 
     def decode(self, rows: list[list[str]]) -> list[bool]:
@@ -467,7 +480,7 @@ def labelled_pages(count: int = 600, seed: int = 29) -> list[tuple[str, list[boo
 
 
 def main_text(page: str, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.words)
     return "\n".join(b.text for b, main in zip(found, field.decode(features(found))) if main)
 
 

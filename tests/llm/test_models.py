@@ -367,3 +367,14 @@ def test_equal_windows_are_decoded_once(monkeypatch):
     codes = np.frombuffer((text * 50).encode("utf-32-le"), np.uint32)
     all_ = pii.tags_of(w, codes, np.arange(51) * len(text))
     assert one.any() and (all_ == np.tile(one, 50)).all() and calls == [1, 1]
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "<p>deep text</p>", "<div>t" * 100_000, "<p>x</p>" + "<div class=menu>" * 50_000 + "deep text" + "</p>" * 50_000,
+    "".join(f"<div class=c{i} id=n{i}>t" for i in range(30_000)), "<ul><li>" * 50_000 + "x",
+])
+def test_deep_pages_take_linear_time(page):
+    field = html_text.unpack(html_text.train(html_text.labelled_pages(20)))
+    at = time.process_time()
+    html_text.main_text(page, field)
+    assert time.process_time() - at < 8
