@@ -21,6 +21,9 @@ from lurescan.llm.text import longs, lower_ascii, map_slices, mixed, repeated_ra
 LANE_WORDS = 1024
 TABLE_BITS = 18
 
+#: Text of the items that are compiled at a time.
+BLOCK_BYTES = 1 << 24
+
 FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("hit_words", T.ArrayType(T.LongType())),
@@ -107,7 +110,7 @@ def compile_patterns(rows: list[tuple[str, str]], window: int) -> list[Patterns]
     sizes = [len(t.encode()) + 1 for _, t in rows]
     low, begins, ends, first, hashes = words_of(buf, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
     raw = low.tobytes()
-    owners: dict[bytes, set[str]] = {}
+    owners: dict[bytes, set[str | None]] = {}
     place: dict[bytes, tuple[int, int]] = {}
     for i, (item, _) in enumerate(rows):
         f, to = int(first[i]), int(first[i + 1])
@@ -121,7 +124,7 @@ def compile_patterns(rows: list[tuple[str, str]], window: int) -> list[Patterns]
         groups.setdefault(size, []).append(text)
     return [
         Patterns(
-            np.stack([hashes[place[t][0] : place[t][0] + size] for t in texts]), texts, [sorted(owners[t]) for t in texts]
+            np.stack([hashes[place[t][0] : place[t][0] + size] for t in texts]), texts, [sorted(owners[t] - {None}) for t in texts]
         )
         for size, texts in sorted(groups.items())
     ]
@@ -133,12 +136,14 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_
     Texts are lower-cased (A-Z) and cut into words; a window is ``window`` consecutive words of an item,
     or the whole item if it is shorter. ``block_items`` items are compiled at a time, so that what a
     task holds has a bound; further blocks follow in the same pass over the rows and nothing is
-    shuffled. NULL or empty texts and items have no words; items without words are never found;
-    repeated items are found under each id; rows repeat as they come; other columns are dropped.
+    shuffled. NULL or empty texts and items have no words; items without words are never found; an item
+    without id hits words like any other, but has no name to be listed under; repeated items are found under
+    each id; rows repeat as they come; other columns are dropped.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    items = items.filter(F.col("item").isNotNull() & F.col("text").isNotNull())
-    blocks = max(1, -(-items.count() // block_items))
+    items = items.filter(F.col("text").isNotNull())
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-size["size"] // BLOCK_BYTES))
     number = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     out = documents.select("doc_id", "text")
     for k in range(blocks):
@@ -195,7 +200,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Documents without the contaminated ones, all their columns kept.
 
-    The search runs on the text column only; a document is dropped when one of its words is hit.
+    The search runs on the text column only; a document is dropped when one of its words is hit, by an item
+    without id as well. NULL and empty texts stay, and repeated rows stay or go together.
     """
     columns = documents.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
@@ -214,7 +220,7 @@ def oracle_sql(window: int = 10) -> str:
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents
 ), b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark
 ), item_window AS (
   SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS x
   FROM (SELECT item, w, least({window}, len(w)) AS k, unnest(range(1, len(w) - least({window}, len(w)) + 2)) AS i
