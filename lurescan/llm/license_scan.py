@@ -1,8 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
 Blocks are the lines of a text, longer ones in overlapping windows, and such windows over the whole text,
-so a notice may be wrapped. The SQL twin has the lines alone. A short template must have its word
-that names the license. Tokens are ordered by their frequency over all blocks, rarest first. A
+so a notice may be wrapped. A block must have the words that name the license of a template, and none
+of those that name a rival. Tokens are ordered by their frequency over all blocks, rarest first. A
 block that has the wanted share of a template's tokens must share one of the template's first
 ``size - needed + 1`` tokens (prefix), have ``needed`` template tokens at all (length), and still have
 enough of them from the first shared token on (position). What passes is verified by intersection.
@@ -26,33 +26,46 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices that are looked for as token sets; a label may have several.
+#: Notices that are looked for as token sets: the label, which a license may share over several notices,
+#: the words, those of them that must not be missing, and words of rivals that must not stand beside
+#: them. A label counts only where no longer one of its family (``gpl`` of ``gpl-3``) was found.
+_GNU = "gnu general public license"
+_TERMS = f"you can redistribute it and or modify it under the terms of the {_GNU} as published by the free software foundation"
+_OTHER_GNU = "lesser affero library"
 TEMPLATES = [
-    ("mit", "released under the mit license"),
+    ("mit", "released under the mit license", "mit", ""),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
+            "associated documentation files to deal in the software without restriction", "granted charge", ""),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2", ""),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the "
-                 "license at www apache org"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as "
-              "published by the free software foundation"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted "
-              "provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+                 "license at www apache org", "apache", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc", ""),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative noncommercial", ""),
+    ("cc-by-nc", "licensed under a creative commons attribution non commercial 4 0 international license", "creative commercial", ""),
+    ("gpl", f"this work is licensed under the {_GNU}", "gnu general", _OTHER_GNU),
+    ("gpl-2", f"this work is licensed under the {_GNU} version 2", "gnu general 2", _OTHER_GNU),
+    ("gpl-3", f"this work is licensed under the {_GNU} version 3", "gnu general 3", _OTHER_GNU),
+    ("gpl", _TERMS, "gnu general", _OTHER_GNU),
+    ("gpl-2", f"{_TERMS} either version 2 of the license", "gnu general 2", f"{_OTHER_GNU} 3"),
+    ("gpl-3", f"{_TERMS} either version 3 of the license", "gnu general 3", _OTHER_GNU),
+    ("lgpl", "this work is licensed under the gnu lesser general public license", "gnu lesser", ""),
+    ("agpl", "this work is licensed under the gnu affero general public license", "gnu affero", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
+            "provided that the following conditions are met", "redistribution binary", ""),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission", "neither endorse", ""),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
+    ("epl-2", "made available under the terms of the eclipse public license v 2 0", "eclipse 2", ""),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-            "hereby granted"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
+            "hereby granted", "permission fee", ""),
+    ("public-domain", "this is free and unencumbered software released into the public domain", "unencumbered", ""),
 ]
 
+Template = tuple[str, str, str, str]
+
 #: Share of a template's tokens that a block must have.
 CONTAINMENT = 0.8
 
-#: Words that name a license: a template with so few distinct tokens is not held without its own.
-NAMES, SHORT = {"mit", "apache", "nc"}, 8
-
 #: The index is broadcast up to so many template tokens; beyond, the join is shuffled.
 BROADCAST_TOKENS = 200_000
 
@@ -87,18 +100,17 @@ def phrase_places(found: Column, phrases: dict[str, str]) -> Column:
     ])
 
 
-def template_index(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """``(template, label, tokens, names)`` with distinct tokens, and those that must not be missing."""
-    rows = []
-    for i, (label, text) in enumerate(templates):
-        tokens = sorted(set(text.split()))
-        rows.append((i, label, tokens, [w for w in tokens if w in NAMES] if len(tokens) <= SHORT else []))
-    return spark.createDataFrame(rows, "template int, label string, tokens array<string>, names array<string>")
+def template_index(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    """``(template, label, tokens, names, rivals)``: distinct tokens, those that must and those that must not stand."""
+    rows = [(i, label, sorted({*text.split(), *names.split()}), names.split(), rivals.split())
+            for i, (label, text, names, rivals) in enumerate(templates)]
+    return spark.createDataFrame(
+        rows, "template int, label string, tokens array<string>, names array<string>, rivals array<string>")
 
 
-def span(templates: list[tuple[str, str]]) -> int:
+def span(templates: list[Template]) -> int:
     """The words of the longest template."""
-    return max((len(t.split()) for _, t in templates), default=1)
+    return max((len(t[1].split()) for t in templates), default=1)
 
 
 def windows(found: Column, size: int) -> Column:
@@ -113,7 +125,7 @@ def contained(profiles: DataFrame, templates: DataFrame, threshold: float) -> Da
     ``profiles`` has ``row, line, tokens``: the distinct template tokens of each block of each row.
     """
     counts = profiles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    vocabulary = templates.select(F.explode("tokens").alias("token")).distinct()
+    vocabulary = templates.select(F.explode(F.concat("tokens", "rivals")).alias("token")).distinct()
     ranked = vocabulary.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
     ranks = stored(ranked.withColumn("rank", F.row_number().over(W.orderBy("n", "token"))).select("token", "rank"))
     small = ranks.count() <= BROADCAST_TOKENS
@@ -123,7 +135,11 @@ def contained(profiles: DataFrame, templates: DataFrame, threshold: float) -> Da
     ordered = templates.select("template", "label", "names", F.explode("tokens").alias("token")).join(offered(ranks), "token")
     named = F.collect_list(F.when(F.array_contains("names", F.col("token")), F.col("rank")))
     ordered = ordered.groupBy("template", "label").agg(F.array_sort(F.collect_list("rank")).alias("tokens"), named.alias("names"))
-    ordered = ordered.select("template", "label", "tokens", "names", size.alias("size"), needed.alias("needed"))
+    rivals = templates.select("template", F.explode("rivals").alias("token")).join(offered(ranks), "token")
+    rivals = rivals.groupBy("template").agg(F.collect_list("rank").alias("rivals"))
+    ordered = ordered.join(rivals, "template", "left").select(
+        "template", "label", "tokens", "names", F.coalesce("rivals", F.array().cast("array<int>")).alias("rivals"),
+        size.alias("size"), needed.alias("needed"))
     index = ordered.select("*", F.posexplode("tokens").alias("place", "rank")).filter("place <= size - needed")
 
     least = ordered.agg(F.min("needed")).first()[0] or 1
@@ -140,12 +156,13 @@ def contained(profiles: DataFrame, templates: DataFrame, threshold: float) -> Da
     )
     shared = F.size(F.array_intersect("block", "tokens"))
     checked = near.withColumn("shared", shared).filter(
-        (F.col("shared") >= F.col("needed")) & (F.size(F.array_except("names", "block")) == 0))
+        (F.col("shared") >= F.col("needed")) & (F.size(F.array_except("names", "block")) == 0)
+        & ~F.arrays_overlap("rivals", "block"))
     return checked.select("row", "line", "template", "label", (F.col("shared") / F.col("size")).alias("share")).distinct()
 
 
 def scan(
-    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
+    documents: DataFrame, templates: list[Template] = TEMPLATES, phrases: dict[str, str] = PHRASES,
     threshold: float = CONTAINMENT,
 ) -> DataFrame:
     """Per row: words, places of the fixed phrases, labels of both kinds, and the best share.
@@ -156,7 +173,7 @@ def scan(
     could hold a template, its template tokens.
     """
     spark = documents.sparkSession
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in templates for w in t.split()})])
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in templates for part in t[1:] for w in part.split()})])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def profile(line: Column) -> Column:
@@ -174,7 +191,8 @@ def scan(
     by_row = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     joined = rows.drop("lines").join(by_row, "row", "left")
     at, base = F.transform("places", lambda p: p.at), F.array_distinct(F.transform("places", lambda p: p.label))
-    more = F.coalesce("more", F.array().cast("array<string>"))
+    every = F.coalesce("more", F.array().cast("array<string>"))
+    more = F.filter(every, lambda x: ~F.exists(every, lambda y: F.startswith(y, F.concat(x, F.lit("-")))))
     return joined.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
         F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
@@ -185,25 +203,29 @@ def scan(
 
 
 def oracle_sql(
-    templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = CONTAINMENT
+    templates: list[Template] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = CONTAINMENT
 ) -> str:
-    """The same result in SQL: every line is compared with every template."""
+    """The same result in SQL: every block is compared with every template."""
     def literal(items) -> str:
-        return "[" + ", ".join("'" + x + "'" for x in items) + "]"
+        return "CAST([" + ", ".join("'" + x + "'" for x in items) + "] AS VARCHAR[])"
+
+    def row(label: str, text: str, names: str, rivals: str) -> str:
+        tokens = sorted({*text.split(), *names.split()})
+        needed = math.ceil(len(tokens) * threshold - 1e-9)
+        return f"({literal(tokens)}, '{label}', {len(tokens)}, {needed}, {literal(names.split())}, {literal(rivals.split())})"
 
     split = (
         "list_filter(regexp_split_to_array(translate({t}, '" + UPPER + "', '" + LOWER + "'), "
         "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     )
-    kinds = ", ".join(
-        f"({literal(sorted(set(t.split())))}, '{label}', {len(set(t.split()))}, "
-        f"{math.ceil(len(set(t.split())) * threshold - 1e-9)})" for label, t in templates)
+    kinds = ", ".join(row(*t) for t in templates)
     wanted = ", ".join(f"({literal(p.split())}, '{label}')" for p, label in phrases.items())
+    size = span(templates)
     return f"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT doc_id, r, {split.format(t="t")} AS words FROM d
+  SELECT doc_id, r, t, {split.format(t="t")} AS words FROM d
 ), phrase(p, label) AS (VALUES {wanted}),
 spot AS (
   SELECT r, i - 1 AS pos, label
@@ -212,14 +234,21 @@ spot AS (
   WHERE words[i:i + len(p) - 1] = p
 ), base AS (
   SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_distinct(list(label)) AS labels FROM spot GROUP BY r
-), line AS (
+), part AS (
   SELECT r, {split.format(t="l")} AS words FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
-), template(tokens, label, size, needed) AS (VALUES {kinds}),
+  UNION ALL SELECT r, words FROM w WHERE contains(t, chr(10))
+), block AS (
+  SELECT r, list_distinct(words[i:i + {2 * size} - 1]) AS b
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - {size}, 1) + 1, {size})) AS i FROM part WHERE len(words) > 0)
+), template(tokens, label, size, needed, names, rivals) AS (VALUES {kinds}),
 hit AS (
-  SELECT r, label, len(list_intersect(list_distinct(words), tokens)) / size AS share FROM line, template
-  WHERE len(list_intersect(list_distinct(words), tokens)) >= needed
-), more AS (
+  SELECT r, label, len(list_intersect(b, tokens)) / size AS share FROM block, template
+  WHERE len(b) >= needed AND len(list_intersect(names, b)) = len(names) AND len(list_intersect(b, tokens)) >= needed
+    AND len(list_intersect(rivals, b)) = 0
+), every AS (
   SELECT r, list_distinct(list(label)) AS labels, max(share) AS share FROM hit GROUP BY r
+), more AS (
+  SELECT r, share, list_filter(labels, lambda x: len(list_filter(labels, lambda y: starts_with(y, x || '-'))) = 0) AS labels FROM every
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
   CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,

@@ -21,6 +21,8 @@ TEXTS = [
     (None, None),
     (9, "Licensed under the Apache License, Version 2.0.\npassword=9f8e7d6c5b4a39281706 here"),
     (9, "two texts of one id"),
+    (10, "This work is licensed\nunder the GNU General Public\nLicense version 2.\n\nThis work is licensed under the GNU Lesser General Public License"),
+    (11, "Licensed under a Creative Commons\nAttribution 4.0 International License. " + "word " * 90 + "\nLicensed under CC BY-NC 4.0"),
 ]
 
 

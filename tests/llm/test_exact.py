@@ -356,7 +356,29 @@ def test_wrapped_license_notices(spark):
             (3, "word " * 100 + "\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software "
                 "and associated documentation files, to deal\nin the Software without restriction\n" + "word " * 100)]
     got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: "bsd-3", 2: "gpl-3", 3: "mit"}
+    assert got == {1: "bsd", 2: "gpl", 3: "mit"}
+
+
+def test_rival_licenses(spark):
+    terms = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public "
+             "License as published by\nthe Free Software Foundation, either version {} of the License")
+    rows = [
+        (1, "Licensed under a Creative Commons Attribution 4.0 International License", ""),
+        (2, "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        (3, "This work is licensed under the GNU General Public License version 2", "gpl-2"),
+        (4, "This work is licensed under the GNU Lesser General Public License version 3", "lgpl"),
+        (5, "This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        (6, terms.format("", 2), "gpl-2"), (7, terms.format("", 3), "gpl-3"), (8, terms.format("Lesser ", 3), "lgpl"),
+        (9, "made available under the terms of the Eclipse Public License, v. 2.0", "epl-2"),
+        (10, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
+        (11, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+             "following conditions are met:\n * Neither the name of the copyright holder nor the names of its\ncontributors may be "
+             "used to endorse or promote products derived from\nthis software without specific prior written permission.", "bsd-3"),
+        (12, "This work is licensed under the GNU Affero General Public License", "agpl"),
+        (13, "Licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License", "cc-by-nc"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == {r[0]: r[2] for r in rows}
 
 
 # ---- base patterns of personal data
