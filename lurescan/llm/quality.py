@@ -189,7 +189,11 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Documents that the classifier does not reject, all columns kept."""
+    """Documents that the classifier does not reject, all columns kept.
+
+    NULL and empty texts are scored as empty ones; equal texts stay or go together, repeated rows each; rows
+    without doc_id are scored like any other.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     packed = documents.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     kept = score(packed, train(documents, labels), keep=["row"]).filter(F.col("score") >= threshold)
