@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -58,10 +59,19 @@ def map_slices(
                 buf, offsets = as_bytes(part.column(part.num_columns - 1))
                 made = work(buf, offsets, prepared, part)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *names])
+        give_back()
 
     return chosen.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the last column holds at most ``limit`` bytes, or one row."""
     if batch.num_rows == 0:
@@ -189,7 +199,10 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list], bytes]) -> bytes:
         rows = [row for batch in batches for row in batch.to_pylist()]
         rows.sort(key=lambda r: str(r.get("id")))
         np.random.default_rng(11).shuffle(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], pa.binary())], names=["model"])
+        model = fit(rows)
+        del rows
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     row = sample.coalesce(1).mapInArrow(run, "model binary").first()
     return bytes(row["model"]) if row is not None else fit([])
