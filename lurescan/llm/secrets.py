@@ -1,9 +1,9 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives.
 
-Candidates are long strings of key characters with a digit or an issuer's head. The forest sees their length, character
-classes and transitions, how likely their letters follow each other in the corpus, how much of them
-is dictionary words, the path and the neighbouring words. Only DataFrame functions and the forest of
-Spark's own library are used.
+Candidates are long strings of key characters with a digit or an issuer's head, and whatever follows a
+naming word and ``=`` or ``:``. The forest sees their length, character classes and transitions, how
+likely their letters follow each other in the corpus, how much of them is dictionary words, words of the
+path and the neighbouring words. Only DataFrame functions and the forest of Spark's own library are used.
 """
 
 from __future__ import annotations
@@ -22,6 +22,27 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{12,}={0,2}"
 #: Words that name a secret next to it.
 NAMING = "(?i)(secret|token|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer|_key|key$)"
 
+#: A naming word and the sign that assigns; they are at most 40 characters apart.
+ASSIGNED = (
+    "(?i)(?:secret|token|passw|pass.?phrase|pwd|key|credential|auth|bearer)[^\\s=:]{0,40}?[\"'`]?\\s?(?::=|=>|[=:]+)>?"
+)
+
+#: Quotes, brackets and stops around an assigned value.
+OPENING, CLOSING = "^[\"'`(\\[{<]+", "[\"'`,;)\\]}>]+$"
+
+#: So many characters before a word are searched for a naming word.
+REACH = 120
+
+#: Words of a path where keys are kept, and where they are made up.
+KEEPING = "(?i)(config|env|secret|credential|deploy|settings|vault)"
+TRYING = "(?i)(test|example|sample|fixture|mock|docs|demo)"
+
+#: What stands for a value that is given elsewhere.
+PLACEHOLDERS = ["none", "null", "true", "false", "string", "required", "xxxxxxxx", "********", "${PASSWORD}", "your-token"]
+
+#: The most frequent words, which are no secrets where a naming word stands before them.
+COMMON_WORDS = 500
+
 #: Heads by which issuers mark their keys.
 HEADS = r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|sk_live_|AIza[A-Za-z0-9_-]{35}"
 ISSUED = f"^({HEADS})"
@@ -36,7 +57,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 INPUTS = [
     "length", "digits", "uppers", "lowers", "symbols", "changes", "distinct", "likelihood", "coverage", "named",
-    "assigned", "quoted", "issued", "before_length", "after_length", "path_bucket",
+    "assigned", "quoted", "issued", "before_length", "after_length", "path_keeps", "path_tries",
 ]
 
 
@@ -50,22 +71,41 @@ def candidates(documents: DataFrame) -> DataFrame:
     words = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\\s+")
     rows = documents.select("doc_id", path.alias("path"), words.alias("words"))
     word = lambda i: F.coalesce(F.when(i >= 0, F.get("words", i)), F.lit(""))
-    long = F.filter(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (F.length(word(i)) >= 12) & word(i).rlike(CANDIDATE) & word(i).rlike(f"[0-9]|{HEADS}"),
-    )
-    places = F.transform(long, lambda i: F.struct(
-        i.alias("at"), word(i).alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
-        word(i + 1).alias("after")))
+    before = lambda i: F.concat_ws(" ", word(i - 2), word(i - 1))
+    run = lambda i: (F.length(word(i)) >= 12) & word(i).rlike(CANDIDATE) & word(i).rlike(f"[0-9]|{HEADS}")
+    named = lambda i: (
+        word(i).rlike(f"{ASSIGNED}(?s:.)") | word(i - 1).rlike("[=:]>?[\"'`]?$") & led(before(i)))
+    kept = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: run(i) | named(i))
+    places = F.transform(kept, lambda i: F.struct(
+        i.alias("at"), word(i).alias("word"), before(i).alias("before"), word(i + 1).alias("after")))
     return rows.select("doc_id", "path", F.monotonically_increasing_id().alias("row"), places.alias("places"))
 
 
+def led(before: Column) -> Column:
+    """Whether the words before end with a naming word and the sign that assigns."""
+    return F.right(before, F.lit(REACH)).rlike(f"{ASSIGNED}[\"'`]?$")
+
+
+def bare(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, OPENING, ""), CLOSING, "")
+
+
 def values(rows: DataFrame) -> DataFrame:
-    """One row per candidate: its ``value``, and as ``lead`` what stands before it in its word."""
+    """One row per candidate: its ``value``, and as ``lead`` what stands before it in its word.
+
+    A word gives the runs of key characters in it that have a digit or an issuer's head, and the value
+    that a naming word assigns: the rest of the word behind the sign, or the whole word if the sign stands
+    before it, without quotes and brackets. Equal values of one word count once; a run inside a longer
+    assigned value is a candidate beside it.
+    """
     each = rows.select("row", "path", F.explode("places").alias("p")).select("row", "path", "p.*")
-    each = each.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
+    runs = F.filter(
+        F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike(f"[0-9]|{ISSUED}"))
+    behind = bare(F.regexp_extract("word", f"{ASSIGNED}((?s:.+))$", 1))
+    assigned = F.when(behind != "", behind).when(led(F.col("before")), bare(F.col("word"))).otherwise("")
+    found = F.array_distinct(F.concat(runs, F.filter(F.array(assigned), lambda v: v != "")))
+    each = each.withColumn("value", F.explode(found))
     lead = F.expr("substring(word, 1, instr(word, value) - 1)")
-    each = each.filter(F.col("value").rlike(f"[0-9]|{ISSUED}"))
     return each.select("row", "at", "value", lead.alias("lead"), "before", "after", "path")
 
 
@@ -77,8 +117,10 @@ def corpus_words(documents: DataFrame) -> DataFrame:
 
 
 def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    """Pairs of neighbouring characters; none in a text of one character."""
+    letters = F.split(text, "")
+    pairs = F.greatest(F.size(letters) - 1, F.lit(0))
+    return F.zip_with(F.slice(letters, F.lit(1), pairs), F.slice(letters, F.lit(2), pairs), lambda a, b: F.concat(a, b))
 
 
 def transitions(words: DataFrame) -> DataFrame:
@@ -98,7 +140,7 @@ def with_features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataF
     lowered = F.lower("value")
     each = found.select("id", F.explode(bigrams(lowered)).alias("pair")).join(F.broadcast(pairs), "pair", "left")
     likely = each.groupBy("id").agg(F.avg(F.coalesce("logp", F.lit(-12.0))).alias("likelihood"))
-    runs = found.select("id", F.explode(F.regexp_extract_all(lowered, F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    runs = found.select("id", F.explode(F.regexp_extract_all(lowered, F.lit("\\p{L}{3,}"), F.lit(0))).alias("word"))
     known = words.filter(F.col("n") >= DICTIONARY_COUNT).select("word")
     covered = runs.join(known, "word", "left_semi").groupBy("id").agg(F.sum(F.length("word")).alias("covered"))
     value, lead, before = F.col("value"), F.col("lead"), F.col("before")
@@ -116,13 +158,26 @@ def with_features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataF
         "assigned": (lead.rlike("[=:]") | before.rlike("[=:]\\s*$")).cast("double"),
         "quoted": lead.rlike("[\"'`]$").cast("double"), "issued": value.rlike(ISSUED).cast("double"),
         "before_length": F.length("before"), "after_length": F.length("after"),
-        "path_bucket": F.pmod(F.xxhash64(F.coalesce("path", F.lit(""))), F.lit(16)),
+        "path_keeps": F.coalesce(F.col("path").rlike(KEEPING), F.lit(False)),
+        "path_tries": F.coalesce(F.col("path").rlike(TRYING), F.lit(False)),
     }
     return joined.select(*found.columns, *[c.cast("double").alias(k) for k, c in out.items()])
 
 
-def generated_findings(spark: SparkSession, count: int = GENERATED) -> DataFrame:
-    """Labelled findings in the usual forms, written from hashes: half keys, half other long strings."""
+def common_words(words: DataFrame, count: int = COMMON_WORDS) -> DataFrame:
+    """``number, common``: the most frequent words of three letters or more, numbered from 0."""
+    top = words.filter("length(word) >= 3").orderBy(F.desc("n"), "word").limit(count)
+    listed = top.agg(F.array_sort(F.collect_list("word")).alias("listed"))
+    return listed.select(F.posexplode("listed").alias("number", "common"))
+
+
+def generated_findings(words: DataFrame, count: int = GENERATED) -> DataFrame:
+    """Labelled findings in the usual forms, written from hashes.
+
+    Half are secrets: keys, short passwords with signs, keys of letters alone and pass phrases. The others are
+    numbers, identifiers, paths and names, and behind a naming word the common words of the corpus and placeholders.
+    """
+    spark = words.sparkSession
     base = spark.range(count, numPartitions=4)
 
     def dice(name: str, sides: int) -> Column:
@@ -135,38 +190,56 @@ def generated_findings(spark: SparkSession, count: int = GENERATED) -> DataFrame
     mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "7")
     cut = lambda c, n: F.substring(c, F.lit(1), n)
     size = F.lit(16) + dice("size", 28)
-    key = F.when(dice("kind", 5) == 0, F.concat(F.lit("AKIA"), F.upper(cut(mixed, F.lit(16))))).when(
-        dice("kind", 5) <= 2, cut(hexes, size)).otherwise(cut(mixed, size))
+    sign = pick("sign", ["!", "@", "#", "$", "%", "&", "*", "?"])
     digits = F.translate(hexes, "abcdef", "")
     syllable = lambda i: F.substring(F.translate(
         F.sha2(F.concat_ws("s", "id", F.lit(i)).cast("binary"), 256), "0123456789", "aeiouraeio"), 1, 4)
+    key = (
+        F.when(dice("kind", 10) == 0, F.concat(F.lit("AKIA"), F.upper(cut(mixed, F.lit(16)))))
+        .when(dice("kind", 10) <= 3, cut(hexes, size))
+        .when(dice("kind", 10) == 4, F.concat(syllable(1), cut(digits, F.lit(1) + dice("tail", 4)), sign))
+        .when(dice("kind", 10) == 5, F.concat(cut(mixed, F.lit(3) + dice("tail", 6)), sign, syllable(1), sign))
+        .when(dice("kind", 10) == 6, F.regexp_replace(cut(mixed, size), "[0-9]", "q"))
+        .when(dice("kind", 10) == 7, F.concat(syllable(1), syllable(2), syllable(3), syllable(4), syllable(5)))
+        .otherwise(cut(mixed, size))
+    )
+    only_named = dice("kind", 10).between(4, 7)
     other = (
-        F.when(dice("kind", 8) == 0, cut(digits, F.lit(12) + dice("size", 8)))
-        .when(dice("kind", 8) == 1, F.concat_ws(
+        F.when(dice("kind", 10) == 8, F.coalesce("common", F.lit("the")))
+        .when(dice("kind", 10) == 9, pick("given", PLACEHOLDERS))
+        .when(dice("kind", 10) == 0, cut(digits, F.lit(12) + dice("size", 8)))
+        .when(dice("kind", 10) == 1, F.concat_ws(
             "-", cut(hexes, F.lit(8)), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4)))
-        .when(dice("kind", 8) == 2, F.concat_ws("-", F.lit("2021"), F.lit("05"), cut(digits, F.lit(2)), F.lit("report")))
-        .when(dice("kind", 8) == 3, F.concat(syllable(1), syllable(2), syllable(3), cut(digits, F.lit(1))))
-        .when(dice("kind", 8) == 4, F.concat(syllable(1), F.lit("_"), syllable(2), F.lit("_"), syllable(3), F.lit("2")))
-        .when(dice("kind", 8) == 5, F.concat(F.lit("/"), syllable(1), F.lit("/"), syllable(2), F.lit("/v1/"), syllable(3)))
-        .when(dice("kind", 8) == 6, hexes.substr(1, 40))
+        .when(dice("kind", 10) == 2, F.concat_ws("-", F.lit("2021"), F.lit("05"), cut(digits, F.lit(2)), F.lit("report")))
+        .when(dice("kind", 10) == 3, F.concat(syllable(1), syllable(2), syllable(3), cut(digits, F.lit(1))))
+        .when(dice("kind", 10) == 4, F.concat(syllable(1), F.lit("_"), syllable(2), F.lit("_"), syllable(3), F.lit("2")))
+        .when(dice("kind", 10) == 5, F.concat(F.lit("/"), syllable(1), F.lit("/"), syllable(2), F.lit("/v1/"), syllable(3)))
+        .when(dice("kind", 10) == 6, hexes.substr(1, 40))
         .otherwise(F.concat(F.upper(syllable(1)), F.lit("-"), cut(digits, F.lit(10))))
     )
     secret = dice("label", 2) == 1
     naming = pick("name", ["password=", "token = \"", "api_key: ", "secret=", "access_key = ", "auth_token=", "pwd="])
     plain = pick("word", ["commit ", "the ", "number ", "see ", "file ", "order: ", "sha256 ", "id=", "und ", "les "])
-    context = F.when(secret & (dice("bare", 6) > 0), naming).otherwise(plain)
+    context = F.when(secret & (only_named | (dice("bare", 6) > 0)) | ~secret & (dice("kind", 10) >= 8), naming).otherwise(plain)
     spaced = F.concat(plain, context)
-    return base.select(
+    place = F.when(secret, pick("path", ["src", "web", "config/app.env", "deploy/keys"])).otherwise(
+        pick("path", ["src", "web", "tests/fixtures", "docs/example"]))
+    # at most COMMON_WORDS rows
+    numbered = base.withColumn("number", dice("common", COMMON_WORDS)).join(
+        F.broadcast(common_words(words)), "number", "left")
+    return numbered.select(
         F.col("id"), F.when(secret, key).otherwise(other).alias("value"),
         F.regexp_extract(spaced, "(\\S*)$", 1).alias("lead"),
         F.regexp_replace(F.regexp_replace(spaced, "\\S*$", ""), "\\s+$", "").alias("before"),
         pick("after", ["the", "", "und", "la", "of", ";", "is"]).alias("after"),
-        F.concat(F.lit("src"), dice("path", 20)).alias("path"), secret.cast("int").alias("label"))
+        place.alias("path"), secret.cast("int").alias("label"))
 
 
 def table_findings(found: DataFrame, limit: int = FROM_TABLE) -> DataFrame:
-    """Findings of the table whose label is certain: an issuer's head marks a key, digits alone do not."""
-    label = F.when(F.col("value").rlike(ISSUED), 1).when(F.col("value").rlike("^[0-9]+$"), 0)
+    """Findings of the table whose label is certain: an issuer's head marks a key, digits alone do not
+    where no naming word assigns them."""
+    named = (F.col("named") > 0) & (F.col("assigned") > 0)
+    label = F.when(F.col("value").rlike(ISSUED), 1).when(F.col("value").rlike("^[0-9]+$") & ~named, 0)
     sure = found.withColumn("label", label).filter("label IS NOT NULL")
     return sure.orderBy(F.xxhash64("value", F.lit(5)), "id").limit(limit)
 
@@ -193,7 +266,7 @@ def secret_findings(documents: DataFrame, rows: DataFrame) -> DataFrame:
     words = stored(corpus_words(documents))
     pairs = stored(transitions(words))
     seen = stored(with_features(found, words, pairs))
-    made = generated_findings(documents.sparkSession)
+    made = stored(generated_findings(words))
     labelled = with_features(made, words, pairs).select("label", *INPUTS).unionByName(
         table_findings(seen).select("label", *INPUTS))
     return scored(seen, train(stored(labelled)))
