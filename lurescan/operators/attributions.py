@@ -180,21 +180,24 @@ def cumulative_values(
     last of the top tokens come from small tables of at most one row and ``marked`` rows per chunk.
     """
     size = F.struct((-F.abs("value")).alias("size"), "pos")
-    chunk = W.partitionBy("sample_id", "_chunk")
+    chunk, sample = W.partitionBy("sample_id", "_chunk"), W.partitionBy("sample_id")
     rows = of_class(attributions, class_idx).withColumn("_chunk", F.floor(F.col("pos") / CHUNK)).withColumns({
         "_inside": F.sum("value").over(chunk.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)),
         "_place": F.row_number().over(chunk.orderBy(size)),
+        "_sum": F.sum("value").over(chunk),
     })
-    totals = rows.groupBy("sample_id", "_chunk").agg(F.sum("value").alias("_sum"))
-    earlier = W.partitionBy("sample_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        "sample_id", "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before")
-    )
-    best = rows.filter(F.col("_place") <= marked).withColumn(
-        "_rank", F.row_number().over(W.partitionBy("sample_id").orderBy(size))
-    ).filter(F.col("_rank") <= marked)
-    last = best.groupBy("sample_id").agg(F.max(size).alias("_last"))
-    per_chunk = offsets.join(last, "sample_id")
+    first = F.col("_place") == 1
+    # a chunk hands on its sum, once, and its largest values
+    best = rows.filter((F.col("_place") <= marked) | first).select(
+        "sample_id", "_chunk", "_place", "_sum", size.alias("_size"))
+    earlier = sample.orderBy("_chunk").rangeBetween(W.unboundedPreceding, -1)
+    ranked = best.withColumns({
+        "_before": F.coalesce(F.sum(F.when(first, F.col("_sum"))).over(earlier), F.lit(0.0)),
+        "_rank": F.row_number().over(sample.orderBy("_size")),
+    })
+    per_chunk = ranked.withColumn(
+        "_last", F.max(F.when(F.col("_rank") <= marked, F.col("_size"))).over(sample)
+    ).filter(first).select("sample_id", "_chunk", "_before", "_last")
     return rows.join(per_chunk, ["sample_id", "_chunk"]).select(
         "sample_id", "pos", "token", "value",
         (F.col("_inside") + F.col("_before")).alias("cumulative"),

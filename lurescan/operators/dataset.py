@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lurescan.functions import constants as C
 from lurescan.operators.domains import LOOKED_UP, all_values, domain_table, index_record
 from lurescan.operators.page_features import default_page_features
-from lurescan.operators.tables import hot_keys, join_split_hot
+from lurescan.operators.tables import hot_keys, join_bucketed, join_split_hot, write_bucketed
 from lurescan.operators.url_features import addresses, decompose, described, report_flag, url_features
 
 NOT_ALIVE = "crawler_not_alive"
@@ -72,6 +72,7 @@ def build_dataset(
     domain_rank: DataFrame,
     as_of: Column,
     suffix_rules: Sequence[str] = C.DEFAULT_SUFFIX_RULES,
+    brands_by_table: bool = False,
 ) -> DataFrame:
     """The 140 columns in dataset order plus ``reason`` (NULL for usable rows).
 
@@ -80,18 +81,55 @@ def build_dataset(
     other features are those of the crawled URL of a live page. The rows are joined once by url and
     once by domain, before the URL features make them wide.
     """
-    extra = [c for c in urls.columns if c not in ("url", "label")]
-    paged = join_split_hot(urls, url_table(pages, index_status), "url")
-    paged = paged.withColumn("url", F.coalesce("_crawled", "url"))
     known = domain_table(registry, dns_ns, domain_rank, addresses(dns_snapshot))
-    joined = join_split_hot(
-        decompose(paged, "url", suffix_rules), known, "domain", hot=hot_domains(urls, pages, suffix_rules))
+    hot = hot_domains(urls, pages, suffix_rules)
+    joined = join_split_hot(paged_urls(urls, pages, index_status, suffix_rules), known, "domain", hot=hot)
+    return _dataset_columns(urls, joined, brands, as_of, brands_by_table)
+
+
+def prepare_domains(
+    registry: DataFrame, dns_ns: DataFrame, domain_rank: DataFrame, dns_snapshot: DataFrame,
+    name: str, folder: str, buckets: int,
+) -> DataFrame:
+    """The snapshots as one table per domain, stored once in buckets for any number of builds."""
+    known = domain_table(registry, dns_ns, domain_rank, addresses(dns_snapshot))
+    return write_bucketed(known, "domain", name, folder, buckets)
+
+
+def build_dataset_prepared(
+    urls: DataFrame,
+    pages: DataFrame,
+    brands: Sequence[str] | DataFrame,
+    known: DataFrame,
+    index_status: DataFrame,
+    as_of: Column,
+    suffix_rules: Sequence[str] = C.DEFAULT_SUFFIX_RULES,
+    brands_by_table: bool = False,
+) -> DataFrame:
+    """:func:`build_dataset` with the table of :func:`prepare_domains`, which is not shuffled again."""
+    hot = hot_domains(urls, pages, suffix_rules)
+    joined = join_bucketed(paged_urls(urls, pages, index_status, suffix_rules), known, "domain", hot)
+    return _dataset_columns(urls, joined, brands, as_of, brands_by_table)
+
+
+def paged_urls(
+    urls: DataFrame, pages: DataFrame, index_status: DataFrame, suffix_rules: Sequence[str]
+) -> DataFrame:
+    """The rows with their page and index status, decomposed by the crawled URL."""
+    paged = join_split_hot(urls, url_table(pages, index_status), "url")
+    return decompose(paged.withColumn("url", F.coalesce("_crawled", "url")), "url", suffix_rules)
+
+
+def _dataset_columns(
+    urls: DataFrame, joined: DataFrame, brands: Sequence[str] | DataFrame, as_of: Column, brands_by_table: bool
+) -> DataFrame:
+    extra = [c for c in urls.columns if c not in ("url", "label")]
     columns = [c for c in joined.columns if c not in C.PAGE_FEATURE_COLUMNS]
     full = joined.select(
         *columns, *filled_page_features(), *[c.alias(k) for k, c in all_values(as_of).items()],
         report_flag().alias("has_statistical_report"),
     ).drop(*LOOKED_UP, "_ip")
-    enriched = described(full, brands, "redirect_chain")
+    enriched = described(full, brands, "redirect_chain", brands_by_table)
     reason = F.coalesce("skip_reason", F.when(F.col("is_alive") == 0, NOT_ALIVE))
     return enriched.select(
         *extra,

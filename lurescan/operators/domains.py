@@ -114,7 +114,8 @@ def index_record(index_status: DataFrame) -> DataFrame:
 def domain_table(registry: DataFrame, dns_ns: DataFrame, domain_rank: DataFrame, *more: DataFrame) -> DataFrame:
     """One row per domain with all that the snapshots know of it.
 
-    The records are put under each other and combined by one aggregate instead of a chain of joins.
+    The records are put under each other and combined by one aggregate instead of a chain of joins. A
+    snapshot with several records of a domain gives one of them whole, chosen by a hash of the record.
     ``more`` are further tables with a domain and columns of their own.
     """
     records = [
@@ -123,11 +124,15 @@ def domain_table(registry: DataFrame, dns_ns: DataFrame, domain_rank: DataFrame,
         lookup_record(domain_rank, "domain", "rank", "rank"),
         *more,
     ]
-    stacked = records[0]
-    for record in records[1:]:
+    columns = [[c for c in record.columns if c != "domain"] for record in records]
+    whole = [r.select("domain", F.struct(*c).alias(f"_r{i}")) for i, (r, c) in enumerate(zip(records, columns))]
+    stacked = whole[0]
+    for record in whole[1:]:
         stacked = stacked.unionByName(record, allowMissingColumns=True)
-    known = [F.first(c, ignorenulls=True).alias(c) for c in stacked.columns if c != "domain"]
-    return stacked.filter("domain IS NOT NULL").groupBy("domain").agg(*known)
+    names = [f"_r{i}" for i in range(len(records))]
+    chosen = [F.max_by(r, F.when(F.col(r).isNotNull(), F.xxhash64(r))).alias(r) for r in names]
+    combined = stacked.filter("domain IS NOT NULL").groupBy("domain").agg(*chosen)
+    return combined.select("domain", *[F.col(f"{r}.{c}") for r, listed in zip(names, columns) for c in listed])
 
 
 def domains_to_look_up(df: DataFrame, *snapshots: DataFrame) -> DataFrame:

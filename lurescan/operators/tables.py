@@ -129,6 +129,38 @@ def join_split_hot(
     return salted.join(other, match, how).drop("_join_key", "_salt", "_small_salt")
 
 
+def write_bucketed(df: DataFrame, key: str, name: str, folder: str, buckets: int) -> DataFrame:
+    """Store a table with one row per key below ``folder`` as the table ``name``, bucketed and sorted by the key.
+
+    One file a bucket. :func:`join_bucketed` joins it without shuffling or sorting it again.
+    """
+    placed = df.filter(F.col(key).isNotNull()).repartition(buckets, key)
+    placed.write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def join_bucketed(big: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Left join with a table of :func:`write_bucketed`, which is read bucket by bucket.
+
+    The rows of hot keys get their record from a broadcast of the few hot records; like the rows without a key
+    they go by a string of their own that no record has, so they are spread over all buckets.
+    """
+    hot = hot_keys(big, key) if hot is None else hot
+    added = [c for c in table.columns if c != key]
+    record = F.struct(*[F.col(c) for c in added])
+    few = table.join(F.broadcast(hot), F.col(key) == F.col("_hot")).select("_hot", record.alias("_hot_record"))
+    plain = [f.name for f in big.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    apart = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*plain), F.lit(NULL_SALTS)).cast("string"))
+    cold = F.when(F.col("_hot").isNull(), F.col(key))
+    # fewer than rows / rows_per_task records
+    parted = big.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_bucket_key", F.coalesce(cold, apart))
+    other = table.select(F.col(key).alias("_join_key"), record.alias("_record"))
+    joined = parted.join(other, F.col("_bucket_key") == F.col("_join_key"), "left")
+    found = F.coalesce("_hot_record", "_record")
+    return joined.select(*big.columns, *[found[c].alias(c) for c in added])
+
+
 def ordered_parts(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``_part``: ranges of a column with about ``rows_per_task`` rows each, in its order.
 

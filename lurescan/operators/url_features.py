@@ -11,7 +11,7 @@ from lurescan.functions import constants as C
 from lurescan.functions import url as U
 from lurescan.operators.tables import join_split_hot
 
-#: A brand list is a parameter of the plan; a longer one is refused.
+#: A brand list inside the plan; a longer one is refused there (see :func:`brand_features_by_table`).
 MOST_BRANDS = 100_000
 
 
@@ -158,6 +158,60 @@ def brand_features(df: DataFrame, brands: Sequence[str] | DataFrame) -> DataFram
     )
 
 
+def _row_key(*columns: str) -> Column:
+    """One string for several columns, each with its length in front, so that no two rows share it by chance."""
+    parts = [F.concat(F.coalesce(F.length(c), F.lit(-1)), F.lit(":"), F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    return F.concat(*parts)
+
+
+def _places(segments: str) -> str:
+    """SQL of the runs of neighbouring segments with as many of them as some brand has (column ``_sizes``)."""
+    run = f"array_join(slice({segments}, i, k), '.')"
+    starts = f"sequence(1, size({segments}) - k + 1)"
+    return f"flatten(transform(filter(_sizes, k -> k <= size({segments})), k -> transform({starts}, i -> {run})))"
+
+
+def brand_hits(df: DataFrame, brands: DataFrame) -> DataFrame:
+    """``_brand_key, _in_word, _in_path, _in_subdomain``: the hosts and paths where a brand stands.
+
+    A brand of k dotted parts is looked for among the runs of k segments with a dot on both sides, as an equi
+    join, so neither the number of brands nor their length is bounded. The numbers of parts that occur are one
+    row. A segment that many paths have is spread over several tasks.
+    """
+    names = brands.select(F.col(brands.columns[0]).alias("_brand")).filter("_brand IS NOT NULL").distinct()
+    sizes = names.select(F.size(F.split("_brand", "[.]")).alias("k"))
+    sizes = sizes.agg(F.array_sort(F.collect_set("k")).alias("_sizes"))
+    narrow = df.select(
+        "_brand_key", "domain", "subdomain", F.get("words_host", F.lit(0)).alias("_word"),
+        _interior_segments(F.col("path")).alias("_interior"),
+    ).dropDuplicates(["_brand_key"])
+    sized = narrow.withColumn("_sizes", sizes.scalar())
+    kinds = {"word": "array(_word)", "path": _places("_interior"), "subdomain": "split(subdomain, '[.]')"}
+    pieces = F.concat(*[
+        F.expr(f"transform(array_distinct({p}), v -> named_struct('kind', '{k}', 'piece', v))") for k, p in kinds.items()
+    ])
+    each = sized.select("_brand_key", "domain", F.explode(pieces).alias("p")).select("_brand_key", "domain", "p.*")
+    found = join_split_hot(each, names.withColumnRenamed("_brand", "piece"), "piece", "inner")
+    counted = found.filter("kind = 'word' OR NOT contains(domain, piece)")
+    return counted.groupBy("_brand_key").agg(*[F.max(U.flag(F.col("kind") == k)).alias(f"_in_{k}") for k in kinds])
+
+
+def brand_features_by_table(df: DataFrame, brands: DataFrame) -> DataFrame:
+    """The columns of :func:`brand_features` for a table of brands of any number and length.
+
+    Only hosts and paths with a brand come back to the rows, by one join.
+    """
+    word = F.get("words_host", F.lit(0))
+    keyed = df.withColumn("_word", word).withColumn("_brand_key", _row_key("_word", "subdomain", "domain", "path"))
+    hits = brand_hits(keyed, brands)
+    flags = {"has_domain_in_brand": "_in_word", "has_brand_in_path": "_in_path", "has_brand_in_subdomain": "_in_subdomain"}
+    return (
+        join_split_hot(keyed, hits, "_brand_key")
+        .withColumns({name: F.coalesce(c, F.lit(0)) for name, c in flags.items()})
+        .drop("_brand_key", "_word", *flags.values())
+    )
+
+
 def brand_lookalikes(df: DataFrame, brands: DataFrame) -> DataFrame:
     """Distinct first host words with a brand at edit distance 0 or 1.
 
@@ -243,12 +297,16 @@ def url_features(
     dns_snapshot: DataFrame,
     suffix_rules: Sequence[str] = C.DEFAULT_SUFFIX_RULES,
     redirect_chain: str | None = None,
+    brands_by_table: bool = False,
 ) -> DataFrame:
     """Input columns, URL parts and the 57 URL features (``skip_reason`` marks unusable rows)."""
     reported = statistical_report(decompose(df, "url", suffix_rules), dns_snapshot)
-    return described(reported, brands, redirect_chain)
+    return described(reported, brands, redirect_chain, brands_by_table)
 
 
-def described(df: DataFrame, brands: Sequence[str] | DataFrame, redirect_chain: str | None = None) -> DataFrame:
+def described(
+    df: DataFrame, brands: Sequence[str] | DataFrame, redirect_chain: str | None = None, brands_by_table: bool = False
+) -> DataFrame:
     """The URL features of decomposed rows that have has_statistical_report already."""
-    return lexical_features(redirect_features(brand_features(df, brands), redirect_chain))
+    branded = brand_features_by_table(df, brands) if brands_by_table else brand_features(df, brands)
+    return lexical_features(redirect_features(branded, redirect_chain))

@@ -1,11 +1,14 @@
 """Domain features and dataset assembly. The snapshots are derived from the sites of the pages."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lurescan.functions import constants as C
 from lurescan.operators import dataset as G
 from lurescan.operators import domains as D
 from lurescan.operators import page_features as P
+from lurescan.operators.tables import shared_folder
 from lurescan.plans import page_queries, url_queries
 from lurescan.plans.registry import COLUMNS, ORACLES, Tables, parse_columns, query
 
@@ -216,6 +219,18 @@ def build_dataset(t: Tables):
     return G.usable_rows(_dataset(t))
 
 
+@query("build_dataset_prepared", COLUMNS["build_dataset"], ORACLES["build_dataset"])
+def build_dataset_prepared(t: Tables):
+    """The dataset from snapshots that were stored in buckets before, with the brands as a table."""
+    c = Crawled(t.spark, t.folder)
+    name = f"domains_{uuid.uuid4().hex}"
+    known = G.prepare_domains(
+        registry(c), dns_ns(c), domain_rank(c), url_queries.dns_snapshot(c), name, f"{shared_folder(t.spark)}/{name}", 8)
+    return G.usable_rows(G.build_dataset_prepared(
+        labelled_urls(t), crawled_pages(c), url_queries.www_brands(c), known, index_status(c), as_of(),
+        url_queries.SUFFIX_RULES, brands_by_table=True))
+
+
 @query(
     "build_static_dataset",
     "url:s "

@@ -312,6 +312,29 @@ def brand_flags(t: Tables):
     return UF.brand_features(decomposed(t), www_brands(t))
 
 
+@query(
+    "brand_flags_by_table",
+    "page_id:i has_domain_in_brand:i has_brand_in_path:i has_brand_in_subdomain:i",
+    f"""WITH {PARTS_SQL}, {BRANDS_SQL},
+    names AS (SELECT brand FROM brands UNION SELECT domain FROM urls WHERE domain IS NOT NULL
+              UNION SELECT 'www.' || domain FROM urls),
+    path_hits AS (SELECT DISTINCT u.page_id FROM urls u, names b
+                  WHERE contains(u.path, '.' || b.brand || '.') AND NOT contains(u.domain, b.brand)),
+    sub_hits AS (SELECT DISTINCT u.page_id FROM urls u, names b
+                 WHERE list_contains(string_split(u.subdomain, '.'), b.brand) AND NOT contains(u.domain, b.brand))
+    SELECT u.page_id, CASE WHEN b.brand IS NULL THEN 0 ELSE 1 END AS has_domain_in_brand,
+           CASE WHEN p.page_id IS NULL THEN 0 ELSE 1 END AS has_brand_in_path,
+           CASE WHEN s.page_id IS NULL THEN 0 ELSE 1 END AS has_brand_in_subdomain
+    FROM urls u LEFT JOIN names b ON u.words_host[1] = b.brand
+    LEFT JOIN path_hits p USING (page_id) LEFT JOIN sub_hits s USING (page_id)""",
+)
+def brand_flags_by_table(t: Tables):
+    """The brands and the whole domains, also with a head, as one table."""
+    rows = decomposed(t)
+    domains = rows.select(F.explode(F.array("domain", F.concat(F.lit("www."), "domain"))).alias("brand"))
+    return UF.brand_features_by_table(rows, www_brands(t).unionByName(domains))
+
+
 @query(
     "brand_lookalikes",
     "word:s n_brands:i",
