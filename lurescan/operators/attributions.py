@@ -145,6 +145,7 @@ def direction(value: Column) -> Column:
 def token_table(attributions: DataFrame, class_idx: int = 1) -> DataFrame:
     """One row per real token: position, value, absolute value, impact, strength, direction."""
     size = F.abs("value")
+    # fixed values: the names of impact and strength
     impact = "Push to Benign" if class_idx == 1 else "Push to Phishing"
     return (
         of_class(attributions, class_idx)

@@ -109,11 +109,28 @@ def label_mismatch_report(first: DataFrame, second: DataFrame) -> DataFrame:
     return join_split_hot(a, b, "url", "inner").filter("NOT (label_first <=> label_second)")
 
 
+def labels_differ(first: DataFrame, second: DataFrame) -> bool:
+    """Whether some joined pair of rows has different labels; NULL differs from a value.
+
+    A url of both tables has such a pair if it has two labels in all, so one aggregate by url is enough.
+    """
+    a, b = (normalise(df).select("url", "label") for df in (first, second))
+    if a.schema["label"].dataType != b.schema["label"].dataType:
+        return not label_mismatch_report(first, second).isEmpty()
+    sides = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(2))).filter("url IS NOT NULL")
+    label = F.col("label")
+    by_url = sides.groupBy("url").agg(
+        F.min("_side").alias("_from"), F.max("_side").alias("_to"), F.min(label).alias("_least"),
+        F.max(label).alias("_most"), F.count(label).alias("_known"), F.count("*").alias("_n"))
+    two = (F.col("_least") != F.col("_most")) | F.col("_known").between(1, F.col("_n") - 1)
+    return not by_url.filter((F.col("_from") < F.col("_to")) & two).isEmpty()
+
+
 def merge_on_url(first: DataFrame, second: DataFrame) -> DataFrame:
     """Inner join on trimmed url with the label column(s) last.
 
     Columns in both tables get ``_first`` and ``_second``. If the labels of all joined rows agree
-    there is one ``label`` column (this is one aggregate over the join of the two label columns).
+    there is one ``label`` column (see :func:`labels_differ`).
     """
     a, b = normalise(first), normalise(second)
     shared = [c for c in a.columns if c in b.columns and c != "url"]
@@ -122,7 +139,7 @@ def merge_on_url(first: DataFrame, second: DataFrame) -> DataFrame:
     merged = join_split_hot(left, right, "url", "inner")
     if "label" not in shared:
         return merged
-    if label_mismatch_report(first, second).isEmpty():
+    if not labels_differ(first, second):
         merged = merged.drop("label_second").withColumnRenamed("label_first", "label")
     labels = [c for c in ("label", "label_first", "label_second") if c in merged.columns]
     return merged.select(*[c for c in merged.columns if c not in labels], *labels)

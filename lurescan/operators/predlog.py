@@ -45,6 +45,7 @@ def normalise_requests(
             "url": url,
         }
     )
+    # fixed values: the two messages
     return filled.withColumns(
         {
             "error": F.when(F.col("url") == "", "Missing 'url'").when(
@@ -132,6 +133,31 @@ def responses(
     }).drop("_scored_by")
 
 
+def answered_requests(
+    requests: DataFrame, log: DataFrame, scorer: Scorer, as_of_us: Column, ttl_seconds: int = TTL_SECONDS,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`responses` and :func:`rows_to_score` with one lookup in the log for both.
+
+    The requests are joined with the log once and stored; only those without a live row are joined with
+    the new rows.
+    """
+    live = live_rows(log, as_of_us, ttl_seconds).select("doc_id", "pred", "proba", F.lit(True).alias("_live"))
+    usable = F.when(F.col("error").isNull(), F.col("doc_id"))
+    looked_up = cut_lineage(join_split_hot(requests.withColumn("doc_id", usable), live, "doc_id"))
+    open_request = F.col("error").isNull() & F.col("_live").isNull()
+    missed = looked_up.filter(open_request).drop("pred", "proba", "_live")
+    new_rows = score_requests(first_requests(missed, "request_id", _REQUEST), scorer, as_of_us)
+    new_rows = cut_lineage(new_rows.filter("pred IS NOT NULL"))
+    fresh = new_rows.select("doc_id", "pred", "proba", F.col("request_id").alias("_scored_by"))
+    scored = join_split_hot(missed, fresh, "doc_id").withColumns({
+        "cached": F.when(F.col("pred").isNotNull(), (F.col("_scored_by") != F.col("request_id")).cast("int")),
+        "error": F.when(F.col("pred").isNull(), FAILED),
+    }).drop("_scored_by")
+    found = looked_up.filter(~open_request).withColumn(
+        "cached", F.when(F.col("_live"), F.lit(1))).drop("_live")
+    return found.unionByName(scored), new_rows
+
+
 def materialised_visits(visits: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Keys and times of the visits, stored so that no round derives them again, and hot keys."""
     stored = cut_lineage(visits.select("doc_id", "request_id", "ts_us"), folder)
@@ -228,6 +254,7 @@ def update_logs(log: DataFrame, updates: DataFrame, as_of_us: Column, order: str
 def update_errors(log: DataFrame, updates: DataFrame) -> DataFrame:
     """doc_id, error of the updates that cannot be applied."""
     nothing = F.col("pred").isNull() & F.col("is_verified").isNull()
+    # fixed values: the two messages
     empty = updates.filter(nothing).select("doc_id", F.lit("No valid fields to update").alias("error"))
     unknown = (
         updates.filter(~nothing)

@@ -129,9 +129,7 @@ def normalised_requests(t: Tables):
     FROM requests r LEFT JOIN v ON r.doc_id = v.doc_id WHERE r.ts_us >= {CUTOFF_US}""",
 )
 def cached_responses(t: Tables):
-    log, requests = existing_log(t), new_requests(t)
-    new_rows = M.rows_to_score(requests, log, hash_scorer, cutoff(), TTL)
-    return M.responses(requests, log, new_rows, cutoff(), TTL)
+    return M.answered_requests(new_requests(t), existing_log(t), hash_scorer, cutoff(), TTL)[0]
 
 
 @query(
