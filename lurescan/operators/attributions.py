@@ -172,16 +172,25 @@ def sorted_token_table(attributions: DataFrame, class_idx: int = 1) -> DataFrame
 
 
 def cumulative_values(
-    attributions: DataFrame, class_idx: int = 1, marked: int = 10
+    attributions: DataFrame, class_idx: int = 1, marked: int = 10, whole_samples: bool = False
 ) -> DataFrame:
     """Running sum of the value over the positions of each sample; the top tokens are marked.
 
-    A sample is cut into chunks of positions that are summed on their own, so a very long sample
-    does not end in one task. The rows are shuffled once, by chunk: the sums before a chunk and the
-    last of the top tokens come from small tables of at most one row and ``marked`` rows per chunk.
+    With ``whole_samples`` the rows of a sample lie in one partition already (``tables.grouped_by_key``), and
+    one pass over them sums and ranks without a shuffle or a join. Otherwise a sample is cut into chunks of
+    positions that are summed on their own, so a very long sample does not end in one task. The rows are
+    shuffled once, by chunk: the sums before a chunk and the last of the top tokens come from small tables
+    of at most one row and ``marked`` rows per chunk.
     """
     size = F.struct((-F.abs("value")).alias("size"), "pos")
     chunk, sample = W.partitionBy("sample_id", "_chunk"), W.partitionBy("sample_id")
+    if whole_samples:
+        places = F.rank().over(sample.orderBy(-F.abs("value"), "pos"))
+        so_far = F.sum("value").over(sample.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+        return of_class(attributions, class_idx).select(
+            "sample_id", "pos", "token", "value", so_far.alias("cumulative"),
+            (places <= marked).cast("int").alias("is_top"),
+        )
     rows = of_class(attributions, class_idx).withColumn("_chunk", F.floor(F.col("pos") / CHUNK)).withColumns({
         "_inside": F.sum("value").over(chunk.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)),
         "_place": F.row_number().over(chunk.orderBy(size)),

@@ -11,7 +11,7 @@ from lurescan.operators import attributions as L
 from lurescan.plans import evaluation_queries as E
 from lurescan.plans.registry import Tables
 
-BY_SAMPLE = ["both_classes", "top_tokens"]
+BY_SAMPLE = ["both_classes", "top_tokens", "cumulative_values"]
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,15 @@ def test_both_classes_by_sample(tables):
     plain = L.both_classes(E.attributions(tables), 20)
     keep = ["sample_id", "rank", "pos", "mean_abs"]
     assert found.select(keep).exceptAll(plain.select(keep)).count() == 0 and found.count() == plain.count()
+
+
+def test_whole_samples_equal_chunks(spark):
+    rows = [(s, p, f"t{p % 5}", 1, (p * 37 % 11 - 5) / 64) for s in (1, 2, None) for p in range(2500 if s == 1 else 12)]
+    df = spark.createDataFrame([*rows, (2, 3, "twice", 1, rows[3][4])], schemas.ATTRIBUTIONS)
+    keep = ["sample_id", "pos", "token", "value", "is_top"]
+    whole, chunks = L.cumulative_values(df, whole_samples=True), L.cumulative_values(df.filter("sample_id IS NOT NULL"))
+    named = whole.filter("sample_id IS NOT NULL")
+    assert named.select(keep).exceptAll(chunks.select(keep)).count() == 0 and named.count() == chunks.count()
+    last = F.max_by("cumulative", "pos").alias("sum")
+    sums = [{r["sample_id"]: round(r["sum"], 9) for r in found.groupBy("sample_id").agg(last).collect()} for found in (named, chunks)]
+    assert sums[0] == sums[1]
