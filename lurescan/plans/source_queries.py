@@ -221,7 +221,7 @@ def resumable_attributions(t: Tables):
         return words.withColumns({"class_idx": F.lit(1), "value": F.length("token") / 100})
 
     for _ in range(2):
-        resumable.build_resumable(samples, build, folder, index="sample_id", step=500)
+        resumable.build_resumable(samples, build, folder, index="sample_id", step=500, rowwise=True)
     stored = L.of_class(t.spark.read.parquet(folder))
     per_sample = stored.groupBy("chunk_id", "sample_id").agg(F.count("*").alias("n"))
     return per_sample.groupBy("chunk_id").agg(

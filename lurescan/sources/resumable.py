@@ -32,6 +32,7 @@ def build_resumable(
     index: str = "row_idx",
     step: int = 100_000,
     writes: int = 16,
+    rowwise: bool = False,
 ) -> int:
     """Build the missing chunks and return how many writes that took.
 
@@ -39,6 +40,10 @@ def build_resumable(
     however many there are. Each replaces exactly its partitions, so a write that was cut off is
     repeated as a whole and at most that share of the work is lost. ``build`` keeps the ``chunk_id``
     column and gives every input row back, usable or with a reason.
+
+    The rows of a write lie in few splits of the input, so they are dealt out by chunk before ``build``. With
+    ``rowwise``, for a ``build`` that moves no row to another task, they are written where they are; otherwise
+    the built rows are dealt out again.
     """
     chunked = rows.withColumn("chunk_id", F.floor(F.col(index) / step).cast("int"))
     done = finished_chunks(rows.sparkSession, folder)
@@ -51,13 +56,16 @@ def build_resumable(
     for start in starts:
         # on the row number itself, so that the range reaches the scan
         wave = todo.filter((F.col(index) >= start * step) & (F.col(index) < (start + size) * step))
-        write_chunks(build(wave), folder)
+        write_chunks(build(wave.repartition("chunk_id")), folder, placed=rowwise)
     return len(starts)
 
 
-def write_chunks(rows: DataFrame, folder: str) -> None:
-    """Replace the chunks that the rows have. A chunk is written by one task, as one file."""
-    writer = rows.repartition("chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_chunks(rows: DataFrame, folder: str, placed: bool = False) -> None:
+    """Replace the chunks that the rows have. A chunk is written by one task, as one file.
+
+    ``placed``: the rows of a chunk lie in one partition already.
+    """
+    writer = (rows if placed else rows.repartition("chunk_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("chunk_id").parquet(folder)
 
 

@@ -67,3 +67,19 @@ def test_waves_write_one_file_per_chunk(spark, tmp_path):
     folder = str(tmp_path / "w")
     resumable.build_resumable(rows_of(spark, 1000), lambda part: part, folder, step=100, writes=3)
     assert len(glob.glob(f"{folder}/chunk_id=*/*.parquet")) == 10
+
+
+def test_rowwise_build_moves_the_input_only(spark, tmp_path):
+    folder, tasks = str(tmp_path / "w"), []
+
+    def build(part):
+        places = part.withColumn("task", F.spark_partition_id())
+        tasks.append(places.groupBy("chunk_id").agg(F.countDistinct("task").alias("n")).agg(F.max("n")).first()[0])
+        return part.withColumn("word", F.explode(F.split(F.lit("a b c"), " ")))
+
+    rows = rows_of(spark, 1000)
+    resumable.build_resumable(rows, build, folder, step=100, writes=3, rowwise=True)
+    assert tasks == [1, 1, 1]  # the rows of a chunk meet before the build
+    assert len(glob.glob(f"{folder}/chunk_id=*/*.parquet")) == 10
+    done = spark.read.parquet(folder)
+    assert done.count() == 3000 and done.select("row_idx").distinct().count() == 1000
