@@ -8,7 +8,8 @@ from lurescan import schemas
 from lurescan.operators import attributions as L
 from lurescan.operators import dataset as G
 from lurescan.operators import evaluate as K
-from lurescan.operators.tables import shared_folder
+from lurescan.operators.tables import cut_lineage, shared_folder
+from lurescan.operators.url_features import brand_names
 from lurescan.plans import evaluation_queries, url_queries
 from lurescan.plans.registry import Tables, query
 from lurescan.plans.url_queries import PARTS_SQL
@@ -19,6 +20,11 @@ def new_folder(t: Tables, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def snapshots(t: Tables):
+    """Addresses and brand names, found once for all the writes of a build."""
+    return cut_lineage(url_queries.dns_snapshot(t)), brand_names(url_queries.www_brands(t))
+
+
 def url_list(t: Tables):
     return t.pages.select("url", F.col("url").startswith("https").cast("int").alias("label"))
 
@@ -149,8 +155,7 @@ def resumable_build(t: Tables):
     """Static dataset built in two goes: first the http pages' chunks, then what is missing."""
     folder = new_folder(t, "resumable")
     rows = t.pages.select(F.col("page_id").alias("row_idx"), "url", F.col("url").startswith("https").cast("int").alias("label"))
-    dns = url_queries.dns_snapshot(t)
-    brands = url_queries.www_brands(t)
+    dns, brands = snapshots(t)
 
     def build(part):
         return G.build_static_dataset(part, brands, dns, url_queries.SUFFIX_RULES)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from lurescan.operators.tables import cut_lineage
+
 
 def finished_chunks(spark: SparkSession, folder: str) -> DataFrame | None:
     """chunk_id of the partitions that have been committed."""
@@ -47,7 +49,8 @@ def build_resumable(
     """
     chunked = rows.withColumn("chunk_id", F.floor(F.col(index) / step).cast("int"))
     done = finished_chunks(rows.sparkSession, folder)
-    todo = chunked if done is None else chunked.join(done, "chunk_id", "left_anti")
+    # the finished chunks are looked up once, not in every write
+    todo = chunked if done is None else chunked.join(cut_lineage(done), "chunk_id", "left_anti")
     bounds = todo.agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).first()
     if bounds["low"] is None:
         return 0

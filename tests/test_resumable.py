@@ -69,6 +69,21 @@ def test_waves_write_one_file_per_chunk(spark, tmp_path):
     assert len(glob.glob(f"{folder}/chunk_id=*/*.parquet")) == 10
 
 
+def test_finished_chunks_are_read_once(spark, tmp_path):
+    folder, source, read = str(tmp_path / "w"), str(tmp_path / "rows"), []
+    rows_of(spark, 1000).write.parquet(source)
+    rows = spark.read.parquet(source)
+
+    def build(part):
+        read.extend(part.inputFiles())
+        return part
+
+    resumable.build_resumable(rows.filter("row_idx < 400"), build, folder, step=100, writes=2)
+    assert resumable.build_resumable(rows, build, folder, step=100, writes=3) == 3
+    assert read and not [f for f in read if f"{folder}/" in f]  # no write reads what the others have written
+    assert spark.read.parquet(folder).count() == 1000
+
+
 def test_rowwise_build_moves_the_input_only(spark, tmp_path):
     folder, tasks = str(tmp_path / "w"), []
 
