@@ -9,13 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lurescan.functions import url as U
+from lurescan.operators import word_vectors
 from lurescan.operators.clean import label_text
 from lurescan.operators.tables import join_split_hot
 
 VECTOR_SIZE = 50
 SEQUENCE_LENGTH = 200
+WINDOW = 5
 #: Tokens of a training partition; Word2Vec averages the partitions' vectors after each round.
 TOKENS_PER_PARTITION = 10_000_000
+#: Vocabulary up to which Spark's Word2Vec trains, which sends about 500 bytes a token to the driver in each round.
+DRIVER_VOCABULARY = 20_000
 
 # --- fixed values: chat example texts -------------------------------------------------------------
 SYSTEM_TEXT = "You are a cybersecurity assistant that classifies URLs as phishing or benign."
@@ -42,22 +46,27 @@ def truncated(tokens: Column, length: int) -> Column:
     return F.slice(tokens, F.lit(1), F.lit(length))
 
 
-def word2vec_fit(df: DataFrame, tokens: str = "tokens", epochs: int = 15, min_count: int = 1) -> Word2VecModel:
+def word2vec_fit(
+    df: DataFrame, tokens: str = "tokens", epochs: int = 15, min_count: int = 1, driver_vocabulary: int = DRIVER_VOCABULARY
+) -> Word2VecModel | word_vectors.WordVectors:
     """Skip-gram vectors of size 50, window 5 (5 plus 10 epochs); every token kept by default.
 
-    The vocabulary lives on the driver, so a large corpus needs a higher ``min_count``. Token lists are
+    Spark's Word2Vec collects the vectors of all tokens on the driver after each round. A vocabulary of more than
+    ``driver_vocabulary`` tokens is trained by the same method with its vectors on the executors. Token lists are
     not cut, and the training partitions follow from the number of tokens.
     """
+    if word_vectors.token_counts(df, tokens, min_count).count() > driver_vocabulary:
+        return word_vectors.fit(df, tokens, VECTOR_SIZE, WINDOW, epochs, TOKENS_PER_PARTITION, min_count)
     sizes = df.agg(F.sum(F.size(tokens)).alias("all"), F.max(F.size(tokens)).alias("longest")).first()
     return Word2Vec(
-        vectorSize=VECTOR_SIZE, windowSize=5, minCount=min_count, maxIter=epochs, seed=42,
+        vectorSize=VECTOR_SIZE, windowSize=WINDOW, minCount=min_count, maxIter=epochs, seed=42,
         maxSentenceLength=max(1, sizes["longest"] or 1),
         numPartitions=max(1, -(-(sizes["all"] or 0) // TOKENS_PER_PARTITION)),
         inputCol=tokens, outputCol="vector",
     ).fit(df)
 
 
-def vectors_of(model: Word2VecModel) -> DataFrame:
+def vectors_of(model: Word2VecModel | word_vectors.WordVectors) -> DataFrame:
     """token, vector (array of doubles)."""
     return model.getVectors().select(
         F.col("word").alias("token"), vector_to_array("vector").alias("vector")
