@@ -113,26 +113,43 @@ def train(
     Word2Vec: a round begins with the full rate, then it falls with ``done``, the part of all rounds before this
     one, and with the words so far; ``share`` is what this round adds.
     """
-    up, halves, depth = np.ascontiguousarray(up), np.ascontiguousarray(0.5 - bits), (up >= 0).sum(axis=1)
+    up, halves, depth = np.ascontiguousarray(up), np.ascontiguousarray(0.5 - bits), (up >= 0).sum(axis=1).tolist()
+    kind, size = vectors.dtype, vectors.shape[1]
+    # the arrays of a pair by the length of its path: in short arrays making a new one costs as much as the sums
+    rooms = [
+        (np.empty((n, size), kind), np.empty((n, size), kind), np.empty(n, kind), np.empty(n, kind), np.empty(n, bool))
+        for n in range(up.shape[1] + 1)
+    ]
+    step, middle = np.empty(size, kind), kind.type(0.5)
+    dot, multiply, add = np.dot, np.multiply, np.add
     rate, begin, rated = LEARNING_RATE, 0, 0
-    for end in ends:
+    for end in ends.tolist():
         text = words[begin:end].tolist()
         if begin - rated > WORDS_PER_RATE:
             rate, rated = LEARNING_RATE * max(1e-4, 1 - done - share * begin / len(words)), begin
         for at, reach in enumerate(rng.integers(1, window + 1, len(text)).tolist()):
             word, levels = text[at], depth[text[at]]
             path = up[word, :levels]
-            target, half = halves[word, :levels] * rate, rate / 2
-            y = vectors.take(path, 0)
+            target, half = halves[word, :levels] * kind.type(rate), kind.type(rate / 2)
+            y, product, f, g, open_ = rooms[levels]
+            vectors.take(path, 0, y, "clip")
+            column = g[:, None]
             # one pair at a time: what a pair learns counts for the next
             for other in text[max(0, at - reach):at] + text[at + 1:at + 1 + reach]:
                 x = vectors[other]
-                f = y @ x
+                dot(y, x, f)
+                np.abs(f, g)
+                np.less(g, SETTLED, open_)
                 # the label less the sigmoid, by its tanh form
-                g = (target - half * np.tanh(f * 0.5)) * (np.abs(f) < SETTLED)
-                step = g @ y
-                y += g[:, None] * x
-                x += step
+                multiply(f, middle, g)
+                np.tanh(g, g)
+                multiply(g, half, g)
+                np.subtract(target, g, g)
+                multiply(g, open_, g)
+                dot(g, y, step)
+                multiply(column, x, product)
+                add(y, product, y)
+                add(x, step, x)
             vectors[path] = y
         begin = end
 

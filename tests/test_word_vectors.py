@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.feature import Word2VecModel
+from pyspark.sql import functions as F
 
 from lurescan.operators import tokens as H
 from lurescan.operators import word_vectors as V
@@ -65,3 +66,36 @@ def test_one_token(spark):
     df = spark.createDataFrame([(["x", "x"],), (["x"],)], "tokens array<string>")
     (row,) = H.vectors_of(V.fit(df, "tokens", 4, 5, 2, tokens_per_part=100)).collect()
     assert row["token"] == "x" and len(row["vector"]) == 4 and all(abs(v) <= 0.125 for v in row["vector"])
+
+
+def test_vocabulary_of_a_large_table(spark):
+    """Spark's operator trains a vocabulary of the size that a table of 1 GB has."""
+    df = spark.range(70_000).select(F.array(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("tokens"))
+    model = H.word2vec_fit(df, epochs=1)
+    assert isinstance(model, Word2VecModel) and model.getVectors().count() == 70_000
+
+
+def test_train_learns_pair_by_pair():
+    """The same vectors as the plain rule gives, with tokens that come twice in a text and settled pairs."""
+    rng = np.random.default_rng(3)
+    counts = sorted((int(n) for n in rng.integers(1, 40, 30)), reverse=True)
+    up, bits = V.paths(np.arange(30), V.huffman_runs(Counter(counts).items()), 30)
+    words, ends = rng.integers(0, 30, 200), np.array([1, 8, 8, 60, 200])
+    first = rng.normal(0, 0.6, (59, 50)).astype(np.float32)
+    found, plain = first.copy(), first.astype(float)
+    V.train(words, ends, found, up, bits, 5, 0, 1, np.random.default_rng(9))
+    rng, begin, settled = np.random.default_rng(9), 0, 0
+    for end in ends:
+        for at, reach in zip(range(begin, end), rng.integers(1, 6, end - begin)):
+            path = up[words[at]][up[words[at]] >= 0]
+            label = 1 - bits[words[at], :len(path)]
+            for near in range(max(begin, at - reach), min(end, at + reach + 1)):
+                if near != at:
+                    f = plain[path] @ plain[words[near]]
+                    g = V.LEARNING_RATE * (label - 1 / (1 + np.exp(-f))) * (np.abs(f) < V.SETTLED)
+                    settled += (np.abs(f) >= V.SETTLED).sum()
+                    step = g @ plain[path]
+                    plain[path] += g[:, None] * plain[words[near]]
+                    plain[words[near]] += step
+        begin = end
+    assert settled and np.abs(found - first).max() > 0.1 and np.allclose(found, plain, atol=1e-3)
